@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsgrid.checkpoint import checkpointed, ensure_checkpoint_dir  # noqa: F401
+
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
 #: The same as a Java regular expression for a run of them.
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; only where it is unset (tests) take a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="newsgrid-checkpoint-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute df once into the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that start like the given ones and clash with none of df's."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from newsgrid.llm.mixing import op1_mixing
+from newsgrid.llm.packing import op4_packing
 from newsgrid.llm.quality import STOP_WORDS, op9_quality
 from newsgrid.llm.sharding import op8_sharding
+from newsgrid.llm.simhash import op7_simhash
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +19,8 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": _over("documents", op1_mixing),
+    "op4_packing": _over("documents", op4_packing),
+    "op7_simhash": _over("documents", op7_simhash),
     "op8_sharding": _over("documents", op8_sharding),
     "op9_quality": _over("documents", op9_quality),
 }
