@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsgrid.llm.ann import op6_ann
+from newsgrid.llm.chat import op2_chat
+from newsgrid.llm.license_scan import op3_license
 from newsgrid.llm.mixing import op1_mixing
 from newsgrid.llm.packing import op4_packing
 from newsgrid.llm.quality import STOP_WORDS, op9_quality
 from newsgrid.llm.sharding import op8_sharding
 from newsgrid.llm.simhash import op7_simhash
+from newsgrid.llm.tokens import op5_token_count
+from newsgrid.llm.warc import op10_warc
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,10 +24,15 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": _over("documents", op1_mixing),
+    "op2_chat": _over("conversations", op2_chat),
+    "op3_license": _over("documents", op3_license),
     "op4_packing": _over("documents", op4_packing),
+    "op5_token_count": _over("documents", op5_token_count),
+    "op6_ann": _over("embeddings", op6_ann),
     "op7_simhash": _over("documents", op7_simhash),
     "op8_sharding": _over("documents", op8_sharding),
     "op9_quality": _over("documents", op9_quality),
+    "op10_warc": _over("pages", op10_warc),
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
