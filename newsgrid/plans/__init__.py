@@ -1,6 +1,6 @@
 """Queries of the library over the driver's tables."""
 
-from newsgrid.plans import rank_queries  # noqa: F401
+from newsgrid.plans import publish_queries, rank_queries, state_queries  # noqa: F401
 from newsgrid.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -70,7 +70,7 @@ def cluster_category(spark, d):
     return rank.cluster_category(members(spark, d))
 
 
-@query("cluster_locations", with_views("members", "p AS (SELECT m.*, s_nationkey AS location FROM members m JOIN supplier ON source_id = s_suppkey), n AS (SELECT cluster_id, location, count(*) AS n, min((ts, item_id)) AS first FROM p GROUP BY ALL) r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, first) AS place FROM n) SELECT cluster_id, place, location, n FROM r WHERE place <= 3"))
+@query("cluster_locations", with_views("members", "p AS (SELECT m.*, s_nationkey AS location FROM members m JOIN supplier ON source_id = s_suppkey), n AS (SELECT cluster_id, location, count(*) AS n, min((ts, item_id)) AS first FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, first) AS place FROM n) SELECT cluster_id, place, location, n FROM r WHERE place <= 3"))
 def cluster_locations(spark, d):
     nations = sources(spark, d).select("source_id", F.col("nation").alias("location"))
     return rank.cluster_locations(members(spark, d).join(rank.small(nations), "source_id"))
