@@ -68,3 +68,46 @@ EDITION_MAX = 30
 
 # --- licences of images
 LICENSE_REFUSED = ("nc", "nd", "sampling")
+
+# --- checks of briefs: words that carry no content, and words that the prompt itself asks for
+BRIEF_STOP_WORDS = tuple(
+    """a an the and or but of at on in to for with by from up out as is are was were be been after before over under into
+    says say said new this that these those it its they them their his her our your will would could should has have had
+    than then when where which who whom about also just more most some such only very can according including reported
+    officials official while during""".split()
+)
+COVERAGE_SKIP = BRIEF_STOP_WORDS + tuple(
+    """sources source disagree disagrees disagreed disagreement differ differs differed difference different details
+    developing information unknown unclear ongoing number numbers""".split()
+)
+#: Phrases that never come from a source; compared in normal form.
+BANNED_PHRASES = (
+    "casualties", "casualty", "still under investigation", "no casualties", "depth under investigation", "as reported in the headline", "as reported in the excerpt",
+    "as noted in the source material", "as per the cluster locations", "as per the places", "as per places", "according to the same source", "according to the places", "us ny",
+)
+STITCHING_PHRASES = ("another story", "another report from", "a separate story", "in other news")
+AFFECTED_WORDS = tuple("affected homes customers residents displaced service people households without evacuated injured missing cases deaths hospitalized".split())
+WEEKDAYS = tuple("monday tuesday wednesday thursday friday saturday sunday mon tue tues wed thu thur thurs fri sat sun".split())
+MONTHS = {
+    1: ("january", "jan"), 2: ("february", "feb"), 3: ("march", "mar"), 4: ("april", "apr"), 5: ("may",), 6: ("june", "jun"),
+    7: ("july", "jul"), 8: ("august", "aug"), 9: ("september", "sep", "sept"), 10: ("october", "oct"), 11: ("november", "nov"), 12: ("december", "dec"),
+}
+#: Outcomes that a brief may state only if its sources do; patterns ignore case.
+OUTCOMES = {
+    "death": r"\b(?:dying|die[sd]?|dead(?:ly)?|deaths?|kill(?:s|ed|ing)?|fatal(?:ly|ity|ities)?)\b",
+    "arrest": r"\barrest(?:s|ed|ing)?\b",
+    "charge": r"\bcharg(?:e|es|ed|ing)\b",
+    "conviction": r"\b(?:convict(?:s|ed|ion|ions)?|guilty)\b",
+    "sentencing": r"\bsentenc(?:e|es|ed|ing)\b",
+    "custody": r"\b(?:custody|custodial)\b",
+    "indictment": r"\bindict(?:s|ed|ment|ments)?\b",
+    "arraignment": r"\barraign(?:s|ed|ment|ments)?\b",
+    "imprisonment": r"\b(?:jail(?:s|ed)?|imprison(?:ed)?|prison)\b",
+    "injury": r"\binjur(?:y|ies|ed)?\b|\bwound(?:s|ed)?\b",
+}
+MULTI_WORD_NAME = r"\b([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})+)\b"
+NUMBER = r"\$?\d[\d,]*(?:\.\d+)?%?"
+EVENT_IN = r"\b(?:occurred|happened|took place|takes? place|taking place)\s+in\s+(?:the\s+)?([A-Z][A-Za-z.'-]*(?:\s+[A-Z][A-Za-z.'-]*)*)"
+CONTAINED = (r"(?i)\b(?:is|are|was|were)\s+(?:located|situated)\s+in\b", r"(?i)\b(?:which|that)\s+(?:is|are)\s+(?:located|situated\s+)?in\b", r"\b(?:is|are|was|were)\s+in\s+[A-Z][A-Za-z.'\s]*?County\b")
+COUNTY = r"([A-Z][A-Za-z.'-]*(?:\s+[A-Z][A-Za-z.'-]*)*\s+County)"
+TAXONOMY = ("local", "politics", "public-safety", "weather", "sports", "business", "health", "environment", "technology", "science", "entertainment", "travel")
