@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,36 +27,79 @@ LENGTH = 2048
 END = 1
 #: Words whose ids each worker keeps at a time; speed only.
 KEPT_WORDS = 1_000_000
-_encoders: dict[str, tuple[object, dict[str, bytes]]] = {}
+#: Characters outside plain Latin, whose lower case or normal form may depend on their neighbours.
+ODD = re.compile("[^\x00-\u012f\u0131-\u024f]")
+_encoders: dict[str, "Encoder"] = {}
 
 
-def _encoder(path: str) -> tuple[object, dict[str, bytes]]:
-    if path not in _encoders:
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
+
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit numbers.
+
+    The tokenizer lowers case, drops white space and never joins across it, so ids are kept by word.  New words of
+    letters go through it many at a time, joined by spaces: a word of letters ends with the first id of an end-of-word
+    token.  A full stop or comma after such a word is a token of its own.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
-    return _encoders[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.marks = {m: _bytes(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
+
+    def whole(self, words: list[str]) -> list[bytes]:
+        return [_bytes(got.ids) for got in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words that hold letters only."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            flat = ids.tobytes()
+            out += [flat[a:b] for a, b in zip([0, *stops], stops)] if len(stops) == len(part) else self.whole(part)
+        return out
+
+    def learn(self, new: set[str]) -> None:
+        cores, rest = {}, []
+        for word in new:
+            core = word[:-1] if word[-1:] in self.marks else word
+            if core.isalpha() and not ODD.search(core):
+                cores[word] = core.lower()
+            else:
+                rest.append(word)
+        plain = list(set(cores.values()))
+        ids = dict(zip(plain, self.letters(plain)))
+        for word, core in cores.items():
+            self.known[word] = ids[core] + self.marks[word[-1]] if len(word) > len(core) else ids[core]
+        self.known.update(zip(rest, self.whole(rest)))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(texts), 1024):
+            split = [t.replace("\n", " ").split(" ") for t in texts[i : i + 1024]]
+            if len(self.known) > KEPT_WORDS:
+                self.known.clear()
+            new = set().union(*split).difference(self.known)
+            self.learn(new)
+            for words in split:
+                yield b"".join(map(self.known.__getitem__, words))
+            for word in new:
+                if len(word) > 64:
+                    del self.known[word]
 
 
 def _encode(texts: list[str], path: str) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers.
-
-    The tokenizer drops white space and never joins across it, so ids are looked up word by word.
-    """
-    tokenizer, known = _encoder(path)
-    for i in range(0, len(texts), 256):
-        split = [t.replace("\n", " ").split(" ") for t in texts[i : i + 256]]
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        new = list(set().union(*split).difference(known))
-        for word, got in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[word] = np.array(got.ids, dtype="<u4").tobytes()
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
-        for word in new:
-            if len(word) > 64:
-                del known[word]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path].encode(texts)
 
 
 def pieces_of(path: str, length: int, end: int, keep_ids: bool) -> Callable:
