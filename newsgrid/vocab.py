@@ -111,3 +111,20 @@ EVENT_IN = r"\b(?:occurred|happened|took place|takes? place|taking place)\s+in\s
 CONTAINED = (r"(?i)\b(?:is|are|was|were)\s+(?:located|situated)\s+in\b", r"(?i)\b(?:which|that)\s+(?:is|are)\s+(?:located|situated\s+)?in\b", r"\b(?:is|are|was|were)\s+in\s+[A-Z][A-Za-z.'\s]*?County\b")
 COUNTY = r"([A-Z][A-Za-z.'-]*(?:\s+[A-Z][A-Za-z.'-]*)*\s+County)"
 TAXONOMY = ("local", "politics", "public-safety", "weather", "sports", "business", "health", "environment", "technology", "science", "entertainment", "travel")
+
+# --- weather: provider icon codes, text keywords in order, symbol prefixes in order
+ICON_CONDITIONS = {
+    "CLEAR": ("skc", "hot", "cold"), "PARTLY_CLOUDY": ("few", "sct"), "CLOUDY": ("bkn", "ovc"), "FOG": ("fog", "nfg", "haze", "smoke", "dust", "ndu", "fu"),
+    "RAIN": ("rain", "nrain", "hi_rain", "fzra", "hi_fzra", "ra_sn"), "SHOWERS": ("shra", "hi_shra", "nshra", "hi_nshra"), "THUNDERSTORM": ("tsra", "hi_tsra", "ntsra", "scttsra", "hi_tsra_sct"),
+    "SNOW": ("snow", "nsnow", "hi_snow", "blizzard", "nblizzard"), "SLEET": ("snip", "ip", "mix", "rasn", "fzra_sn", "sn"), "WINDY": ("wind", "nwind", "hi_nwind"),
+}
+TEXT_CONDITIONS = (
+    ("THUNDERSTORM", ("thunder",)), ("SNOW", ("snow", "flurr", "blizzard")), ("SLEET", ("sleet", "freezing rain", "ice")), ("SHOWERS", ("shower",)), ("RAIN", ("rain",)), ("DRIZZLE", ("drizzle",)),
+    ("FOG", ("fog", "haze", "smoke")), ("WINDY", ("windy", "breezy", "gust")), ("PARTLY_CLOUDY", ("partly", "mostly")), ("CLOUDY", ("cloudy", "overcast")), ("CLEAR", ("sunny", "clear", "fair")),
+)
+SYMBOL_CONDITIONS = (
+    ("clearsky", "CLEAR"), ("fair", "PARTLY_CLOUDY"), ("partlycloudy", "PARTLY_CLOUDY"), ("cloudy", "CLOUDY"), ("fog", "FOG"), ("sleet", "SLEET"), ("snow", "SNOW"), ("drizzle", "DRIZZLE"), ("rainshowers", "SHOWERS"), ("rain", "RAIN"),
+)
+SEVERITIES = ("extreme", "severe", "moderate", "minor")
+#: Heat index in degrees Fahrenheit by temperature and humidity: constant, t, r, tr, tt, rr, ttr, trr, ttrr.
+HEAT_INDEX = (-42.379, 2.04901523, 10.14333127, -0.22475541, -0.00683783, -0.05481717, 0.00122874, 0.00085282, -0.00000199)
