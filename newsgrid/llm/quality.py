@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsgrid.llm.common import SPACES, col, fresh, text_or_empty, words_of
+from newsgrid.llm.common import SPACES, col, fresh, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Frequent function words of the four languages of the corpus; a parameter of the operator.
@@ -30,7 +31,20 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
 MEASURES = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words")
 
 
-def _repeat_words(words: Column, hashes: Column) -> Column:
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once for each row, wherever the optimizer puts the expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _windows(w: Column) -> Column:
+    """64-bit hashes of the three-word windows of a text's words."""
+    hashed = F.transform(w, lambda x: F.xxhash64(x))
+    chain = lambda h: F.zip_with(F.zip_with(h, F.slice(h, 2, F.size(h)), lambda x, y: F.xxhash64(x, y)), F.slice(h, 3, F.size(h)), lambda x, y: F.xxhash64(x, y))
+    every = _once(hashed, lambda h: F.slice(chain(h), 1, F.size(h) - 2))
+    return F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(every)
+
+
+def _repeat_words(hashes: Column) -> Column:
     """Words that lie in a three-word window found twice or more; windows are compared by 64-bit hashes.
 
     The windows are sorted with their places, equal neighbours are found twice or more, and the places they cover are
@@ -43,58 +57,55 @@ def _repeat_words(words: Column, hashes: Column) -> Column:
         near = F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(none)), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], x["i"] + 1, x["i"] + 2, y["i"], y["i"] + 1, y["i"] + 2)).otherwise(F.array().cast("array<int>")))
         return F.size(F.array_distinct(F.flatten(near)))
 
-    # transform over a one-element array binds the sorted array to a variable, so that it is sorted once
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(F.element_at(F.transform(F.array(placed), again), 1))
-
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_once(placed, again))
 
-def measure(docs: DataFrame, text: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """docs with n_words and the MEASURES (long).  A null or blank text has zero of everything.
 
-    Input columns named like these are replaced.
-    """
-    docs = docs.select(*[col(c) for c in docs.columns if c.lower() not in {"n_words", *MEASURES}])
-    w, wh = fresh(docs, "_w", "_wh")
-    body = text_or_empty(text)
+def measures(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+    """n_words, n_lines and the MEASURES of a text as one struct of longs; a null or blank text has zero of everything."""
+    body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    rows = docs.withColumn(w, words_of(body))
-    rows = rows.withColumn(wh, F.transform(col(w), lambda x: F.xxhash64(x)))
-    rows = rows.withColumn(wh, F.when(F.size(col(w)) < 3, F.array().cast("array<bigint>")).otherwise(F.zip_with(F.zip_with(col(wh), F.slice(col(wh), 2, F.size(col(wh))), lambda a, b: F.xxhash64(a, b)), F.slice(col(wh), 3, F.size(col(wh))), lambda a, b: F.xxhash64(a, b))))
-    rows = rows.withColumn(wh, F.slice(col(wh), 1, F.greatest(F.size(col(w)) - 2, F.lit(0))))
-    dup = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    added = {
-        "n_words": F.size(col(w)),
-        "word_chars": F.length(F.array_join(col(w), "")),
-        "n_symbols": F.length(body) - F.length(F.regexp_replace(body, SYMBOLS, "")),
-        "n_dup_lines": F.element_at(dup, 1),
-        "n_repeat_words": _repeat_words(col(w), col(wh)),
-        "n_stop_words": F.size(F.filter(col(w), lambda x: F.lower(x).isin(*stop_words))),
-    }
-    n_lines = F.size(lines)
-    return rows.select(*[col(c) for c in docs.columns], *[v.cast("long").alias(k) for k, v in added.items()], n_lines.cast("long").alias("_n_lines"))
-
-
-def verdict(rules: tuple[tuple[str, float | None, float | None], ...] = RULES) -> Column:
-    """The threshold table as one boolean expression over the measures."""
-    n, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("_n_lines"), F.lit(1))
-    ratios = {"n_words": F.col("n_words"), "repeat_word_ratio": F.col("n_repeat_words") / n, "mean_word_chars": F.col("word_chars") / n, "symbol_ratio": F.col("n_symbols") / n, "stop_word_ratio": F.col("n_stop_words") / n, "dup_line_ratio": F.col("n_dup_lines") / lines}
+
+    def of(w: Column, x: Column) -> Column:
+        added = {
+            "n_words": F.size(w),
+            "n_lines": F.size(x),
+            "word_chars": F.length(F.array_join(w, "")),
+            "n_symbols": F.length(body) - F.length(F.regexp_replace(body, SYMBOLS, "")),
+            "n_dup_lines": F.size(x) - F.size(F.array_distinct(x)),
+            "n_repeat_words": _once(_windows(w), _repeat_words),
+            "n_stop_words": F.size(F.filter(w, lambda v: F.lower(v).isin(*stop_words))),
+        }
+        return F.struct(*[v.cast("long").alias(k) for k, v in added.items()])
+
+    return _once(words_of(body), lambda w: _once(lines, lambda x: of(w, x)))
+
+
+def verdict(m: Column, rules: tuple[tuple[str, float | None, float | None], ...] = RULES) -> tuple[Column, Column]:
+    """(base_failed, kept) of a struct of measures: the threshold table as one boolean expression."""
+    n, lines = F.greatest(m["n_words"], F.lit(1)), F.greatest(m["n_lines"], F.lit(1))
+    ratios = {"n_words": m["n_words"], "repeat_word_ratio": m["n_repeat_words"] / n, "mean_word_chars": m["word_chars"] / n, "symbol_ratio": m["n_symbols"] / n, "stop_word_ratio": m["n_stop_words"] / n, "dup_line_ratio": m["n_dup_lines"] / lines}
     bounds = [ratios[k] >= F.lit(lo) for k, lo, _ in rules if lo is not None] + [ratios[k] <= F.lit(hi) for k, _, hi in rules if hi is not None]
-    return reduce(and_, bounds, F.lit(True))
+    base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    return base, ~base & reduce(and_, bounds, F.lit(True))
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[tuple[str, float | None, float | None], ...] = RULES, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """docs with the measures, base_failed (fewer than 50 words, or over half the words in repeated windows) and kept."""
-    rows = measure(docs, text, stop_words)
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumn("base_failed", base).withColumn("kept", ~base & verdict(rules)).drop("_n_lines")
+    """docs with n_words, the MEASURES, base_failed (fewer than 50 words, or over half the words in repeated windows) and kept.
+
+    Input columns named like these are replaced.
+    """
+    added = ("n_words", *MEASURES, "base_failed", "kept")
+    (m,) = fresh(docs, "_m")
+    rows = docs.withColumn(m, measures(col(text), stop_words))
+    base, kept = verdict(col(m), rules)
+    return rows.select(*[col(c) for c in docs.columns if c.lower() not in added], *[col(m)[k].alias(k) for k in added[:-2]], base.alias("base_failed"), kept.alias("kept"))
 
 
 def op9_quality(docs: DataFrame) -> DataFrame:
     """Measures and verdict of every document, its whole text read."""
-    return judge(docs.select("doc_id", "text")).drop("text").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words")
+    return judge(docs.select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words")
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns of documents."""
-    rows, (keep,) = docs, fresh(docs, "_text")
-    rows = rows.withColumn(keep, col("text"))
-    return judge(rows.select(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], col(keep)), keep).filter("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return docs.filter(_once(measures(col("text")), lambda m: verdict(m)[1]))
