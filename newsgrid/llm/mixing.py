@@ -125,8 +125,7 @@ def op1_mixing(docs: DataFrame) -> DataFrame:
 
 def mixing_stage(docs: DataFrame) -> DataFrame:
     """The documents of the mix with the columns of documents: each as many times as it is drawn, whole."""
-    sized, (size,) = docs, fresh(docs, "_words")
-    sized = sized.withColumn(size, word_count(text_or_empty()))
-    mixed = mix(sized, ["doc_id", "text"], size=size, cut=False)
-    (d,) = fresh(mixed, "_draw")
-    return mixed.withColumn(d, F.explode("draws")).select(*[col(c) for c in docs.columns])
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no column of documents can clash with an added one
+    rows = docs.select(*[col(c).alias(n) for c, n in names.items()], word_count(text_or_empty()).alias("_words"))
+    mixed = mix(rows, [names["doc_id"], names["text"]], size="_words", source=names["source"], cut=False)
+    return mixed.withColumn("_draw", F.explode("draws")).select(*[col(n).alias(c) for c, n in names.items()])
