@@ -6,8 +6,12 @@ RAW_ITEM columns; a document that cannot be parsed gives no items and shows up i
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BODY_CAP = 2 * 1024 * 1024
 SOURCE_SCHEMA = "id string, name string, homepage string, feedUrl string, apiUrl string, type string, coverage struct<country:string,admin1:string,admin1Name:string,admin2:array<string>,cities:array<string>,metro:string>, rightsMode string, license string, language string, enabled boolean, priority int, imageRules struct<allowReuse:boolean,requireAttribution:boolean>, notes string, lastVerified string"
@@ -33,15 +37,28 @@ def screen_raw(raw: DataFrame, cap: int = BODY_CAP) -> tuple[DataFrame, DataFram
     return marked.filter("reason IS NULL").drop("reason"), marked.filter("reason IS NOT NULL")
 
 
+def _decode(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
+    def text(body: bytes | None, charset: str | None) -> str | None:
+        if body is None:
+            return None
+        declared = re.search(rb"""encoding=["']([A-Za-z0-9_.-]+)["']""", body[:200])
+        for name in ("utf-8-sig", declared and declared[1].decode(), charset):
+            try:
+                if name:
+                    named = "windows-1252" if name.lower() in ("iso-8859-1", "latin-1", "latin1") else name
+                    return body.decode(named)
+            except (LookupError, UnicodeDecodeError):
+                continue
+        return body.decode("windows-1252", errors="replace")
+
+    return pd.Series([text(b, c) for b, c in zip(bodies, charsets)], dtype="object")
+
+
 def decode_body(body: Column, http_charset: Column) -> Column:
-    """IO6: bytes as text: valid UTF-8 as such, else the declared, else the HTTP charset if it is a known one-byte code page, else windows-1252."""
-    start = F.lower(F.decode(F.substring(body, 1, 200), "ISO-8859-1"))
-    declared = F.regexp_extract(start, r"""encoding=["']([a-z0-9_-]+)["']""", 1)
-    named = F.coalesce(F.nullif(declared, F.lit("")), F.lower(http_charset), F.lit(""))
-    text = F.when(F.is_valid_utf8(body.cast("string")), body.cast("string")).when(named.isin("iso-8859-1", "latin-1", "latin1"), F.decode(body, "windows-1252"))
-    for charset in ("utf-16", "iso-8859-15"):
-        text = text.when(named == charset, F.decode(body, charset))
-    return F.regexp_replace(text.otherwise(F.decode(body, "windows-1252")), "^﻿", "")
+    """IO6: bytes as text: UTF-8 if they are valid, else the declared charset, else the HTTP one, else windows-1252.
+
+    Spark's own decode knows no one-byte code page but ISO 8859-1, so this is done in Arrow batches."""
+    return F.pandas_udf(_decode, T.StringType())(body, http_charset)
 
 
 def parse_time(text: Column) -> Column:
