@@ -120,7 +120,14 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
     # a fingerprint stands for its group: the smallest of a group names it
     root = groups.groupBy(F.col(c)).agg(F.min(F.col(fp)).alias("root"))
     named = prints.join(groups, fp).join(root.withColumnRenamed(c, "_c2"), F.col(c).eqNullSafe(F.col("_c2")))
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(mark).alias("m"))).alias("w"), F.count(F.lit(1)).alias("n"))
-    winners = checkpointed(best.select(F.col("w.d").alias("_d"), F.col("w.m").alias("_m")).distinct())
-    kept = docs.withColumn(mark, content).join(winners, F.col(mark).eqNullSafe(F.col("_m")) & col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    return kept.dropDuplicates(["doc_id", mark]).select(*[col(x) for x in docs.columns])
+    rows = named.groupBy("root", col("doc_id").alias("_d"), F.col(mark).alias("_m")).agg(F.count(F.lit(1)).alias("_same"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("_d").isNull().alias("n"), F.col("_d"), F.col("_m"), F.col("_same"))).alias("w"))
+    winners = checkpointed(best.select("w._d", "w._m", "w._same"))
+    marked = docs.withColumn(mark, content)
+    won = F.col(mark).eqNullSafe(F.col("_m")) & col("doc_id").eqNullSafe(F.col("_d"))
+    kept = marked.join(winners, won, "left_semi")
+    again = winners.filter("_same > 1")
+    if not again.isEmpty():  # rows that are there more than once: the others need no second shuffle
+        twice = marked.join(again, won, "left_semi").dropDuplicates(["doc_id", mark])
+        kept = marked.join(winners.filter("_same = 1"), won, "left_semi").unionByName(twice)
+    return kept.select(*[col(x) for x in docs.columns])
