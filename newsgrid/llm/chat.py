@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgrid.llm.common import checkpointed, col, text_or_empty
+from newsgrid.llm.common import checkpointed, col, text_batches, text_or_empty
 from newsgrid.llm.packing import _encode
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -66,6 +66,7 @@ def windows(turns: DataFrame, new: int = NEW, history: int = HISTORY, path: str
     """
     if history > new:
         raise ValueError("history must not exceed new")
+    text_batches(turns.sparkSession)
     rows = turns.select(F.coalesce(col("conv_id"), F.lit(0)).cast("long").alias("c"), col("conv_id").isNull().alias("cn"), F.coalesce(col("turn").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("t"), text_or_empty("role").alias("role"), text_or_empty().alias("text"))
     cost = token_count(F.col("text"), path) + TEMPLATE_TOKENS
     rows = checkpointed(rows.withColumn("cost", cost).withColumn("chunk", F.shiftright("t", 8)))

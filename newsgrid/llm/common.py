@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsgrid.checkpoint import checkpointed, ensure_checkpoint_dir  # noqa: F401
@@ -13,6 +13,13 @@ SPACES = " \t\n\x0b\f\r"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python workers in smaller Arrow batches than Spark's default, unless the session has its own setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that start like the given ones and clash with none of df's."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgrid.llm.common import checkpointed, col, prefix_sums
+from newsgrid.llm.common import checkpointed, col, prefix_sums, text_batches
 
 LENGTH = 2048
 END = 1
-#: Words whose ids each worker keeps at a time; speed only.
-KEPT_WORDS = 1_000_000
+#: Words in each of the two generations that a worker keeps the ids of; speed only.
+KEPT_WORDS = 500_000
 #: Characters outside plain Latin, whose lower case or normal form may depend on their neighbours.
 ODD = re.compile("[^\x00-\u012f\u0131-\u024f]")
 _encoders: dict[str, "Encoder"] = {}
@@ -41,15 +41,18 @@ class Encoder:
 
     The tokenizer lowers case, drops white space and never joins across it, so ids are kept by word.  New words of
     letters go through it many at a time, joined by spaces: a word of letters ends with the first id of an end-of-word
-    token.  A full stop or comma after such a word is a token of its own.
+    token.  A full stop or comma after such a word is a token of its own.  Of the words seen, a young and an old
+    generation are kept; a word that is met again becomes young.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int) -> None:
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.marks = {m: _bytes(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
@@ -79,37 +82,41 @@ class Encoder:
         plain = list(set(cores.values()))
         ids = dict(zip(plain, self.letters(plain)))
         for word, core in cores.items():
-            self.known[word] = ids[core] + self.marks[word[-1]] if len(word) > len(core) else ids[core]
-        self.known.update(zip(rest, self.whole(rest)))
+            self.young[word] = ids[core] + self.marks[word[-1]] if len(word) > len(core) else ids[core]
+        self.young.update(zip(rest, self.whole(rest)))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 1024):
             split = [t.replace("\n", " ").split(" ") for t in texts[i : i + 1024]]
-            if len(self.known) > KEPT_WORDS:
-                self.known.clear()
-            new = set().union(*split).difference(self.known)
+            if len(self.young) > self.kept:
+                self.old, self.young = self.young, {}
+            new = set().union(*split).difference(self.young)
+            again = new.intersection(self.old)
+            self.young.update(zip(again, map(self.old.__getitem__, again)))
+            new -= again
             self.learn(new)
             for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+                yield b"".join(map(self.young.__getitem__, words))
             for word in new:
                 if len(word) > 64:
-                    del self.known[word]
+                    del self.young[word]
 
 
-def _encode(texts: list[str], path: str) -> Iterator[bytes]:
+def _encode(texts: list[str], path: str, kept: int = KEPT_WORDS) -> Iterator[bytes]:
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, kept)
+    _encoders[path].kept = kept
     return _encoders[path].encode(texts)
 
 
-def pieces_of(path: str, length: int, end: int, keep_ids: bool) -> Callable:
+def pieces_of(path: str, length: int, end: int, keep_ids: bool, kept: int = KEPT_WORDS) -> Callable:
     tail = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             out: list[tuple] = []
-            for key, ids in zip(keys, _encode(texts, path)):
+            for key, ids in zip(keys, _encode(texts, path, kept)):
                 ids += tail
                 n = len(ids) // 4
                 for start in range(0, n, length):
@@ -125,11 +132,12 @@ def pieces_of(path: str, length: int, end: int, keep_ids: bool) -> Callable:
     return run
 
 
-def tokenize(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, keep_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, keep_ids: bool = False, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Pieces of every document (null text: empty, so only the end id): doc_id, start, length, ids_crc32, doc_tokens[, ids]."""
+    text_batches(docs.sparkSession)
     path = path or public_tokenizers.path("word_bpe_49k.json")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<long>" if keep_ids else "")
-    return docs.select(col("doc_id").cast("long"), col("text")).mapInArrow(pieces_of(path, length, end, keep_ids), schema)
+    return docs.select(col("doc_id").cast("long"), col("text")).mapInArrow(pieces_of(path, length, end, keep_ids, kept_words), schema)
 
 
 def pack_histogram(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -197,6 +205,6 @@ def pack(pieces: DataFrame, length: int = LENGTH, seed: int = 42) -> DataFrame:
     return placed.select(*[col(c) for c in pieces.columns], sequence.alias("sequence_id"), offset.alias("offset"))
 
 
-def op4_packing(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """All documents in sequences of at most 2048 tokens, one row per piece."""
-    return pack(checkpointed(tokenize(docs, path)))
+def op4_packing(docs: DataFrame, path: str | None = None, kept_words: int = KEPT_WORDS) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens, one row per piece; kept_words trades a worker's memory for time."""
+    return pack(checkpointed(tokenize(docs, path, kept_words=kept_words)))

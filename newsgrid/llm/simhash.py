@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgrid.llm.common import checkpointed, col, fresh
+from newsgrid.llm.common import checkpointed, col, fresh, text_batches
 from newsgrid.operators.components import connected_components
 
 SEED = 42
@@ -103,6 +103,7 @@ def op7_simhash(docs: DataFrame) -> DataFrame:
     A null, empty or blank text has fingerprint 0; equal fingerprints link, whatever their texts; a null doc_id never
     names a component unless all its members are null.
     """
+    text_batches(docs.sparkSession)
     prints = checkpointed(docs.select("doc_id", fingerprint_of(col("text")).alias("fp")))
     out = prints.join(components(prints, "fp", "doc_id"), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -113,6 +114,7 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
 
     Rows that agree in every column are one document.
     """
+    text_batches(docs.sparkSession)
     fp, mark, c = fresh(docs, "_fp", "_mark", "_component")
     content = F.xxhash64(*[col(x) for x in docs.columns if x.lower() != "doc_id"])
     prints = checkpointed(docs.select(col("doc_id"), content.alias(mark), fingerprint_of(col("text")).alias(fp)))
