@@ -155,17 +155,18 @@ def build_municipalities(lines: DataFrame, state: str, lsad: tuple[str, ...] = (
 
 def run_summary(raw: DataFrame, items: DataFrame, normalized: DataFrame) -> DataFrame:
     """IO18: counts of a run."""
-    a = raw.agg(F.count_distinct("source_id").alias("checked"))
-    b = items.agg(F.count(F.lit(1)).alias("discovered"))
-    c = normalized.agg(F.count(F.lit(1)).alias("normalised"))
-    return a.join(b).join(c).withColumn("dropped", F.col("discovered") - F.col("normalised"))
+    none = F.lit(0).cast("long")
+    row = lambda df, name, n: df.agg(n.alias("n")).select(*[(F.col("n") if c == name else none).alias(c) for c in ("checked", "discovered", "normalised")])
+    parts = row(raw, "checked", F.count_distinct("source_id")).union(row(items, "discovered", F.count(F.lit(1)))).union(row(normalized, "normalised", F.count(F.lit(1))))
+    total = parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
+    return total.withColumn("dropped", F.col("discovered") - F.col("normalised"))
 
 
 def shift_to_now(items: DataFrame, now: Column) -> DataFrame:
     """IO19: all dates moved by the same time, so that the newest item is one hour old."""
-    newest = items.agg(F.max(F.unix_micros(F.col("published_at").cast("timestamp"))).alias("_newest"))
-    moved = F.unix_micros(F.col("published_at").cast("timestamp")) - F.col("_newest") + F.unix_micros(now) - 3_600_000_000
-    return items.join(F.broadcast(newest)).withColumn("published_at", F.timestamp_micros(moved)).drop("_newest")
+    micros = F.unix_micros(F.col("published_at").cast("timestamp"))
+    newest = items.agg(F.max(micros)).first()[0]
+    return items.withColumn("published_at", F.timestamp_micros(micros - F.lit(newest) + F.unix_micros(now) - 3_600_000_000))
 
 
 def write_stage(df: DataFrame, path: str, run_id: str) -> None:
