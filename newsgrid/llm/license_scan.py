@@ -75,7 +75,7 @@ class Scanner:
         parts = [[words(line) for line in paragraph.split("\n")] for paragraph in text.split("\n\n")]
         flat = [sum(p, []) if len(p) > 1 else p[0] for p in parts]
         units = [line for p in parts for line in p]
-        units += flat if len(units) > len(flat) else []
+        units += [f for p, f in zip(parts, flat) if len(p) > 1]
         if len(flat) > 1:
             units.append([w for p in flat for w in p])
         found = [f for f in map(self.best, units) if f]
@@ -96,7 +96,7 @@ def scan(text: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES, thres
     """struct(license, dice, n_matches) of a text.
 
     license is the identifier of the best matching template (ties: the one listed first), null if no part reaches the
-    threshold; a null or empty text has none.  Parts that appear twice, such as a text of one line, count once.
+    threshold; a null or empty text has none.  A paragraph of one line, or a text of one paragraph, counts once.
     """
     kind = T.StructType([T.StructField("license", T.StringType()), T.StructField("dice", T.DoubleType()), T.StructField("n_matches", T.LongType())])
     return F.pandas_udf(_scan(templates, threshold), kind)(text)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from newsgrid.llm.ann import op6_ann
 from newsgrid.llm.chat import op2_chat
-from newsgrid.llm.license_scan import op3_license
+from newsgrid.llm.license_scan import TEMPLATES, THRESHOLD, op3_license
 from newsgrid.llm.mixing import op1_mixing
 from newsgrid.llm.packing import op4_packing
 from newsgrid.llm.quality import STOP_WORDS, op9_quality
@@ -35,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": _over("pages", op10_warc),
 }
 
+_TEMPLATES = ", ".join("({}, {!r}, '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ORACLE_SQL: dict[str, str] = {
     "op9_quality": rf"""
@@ -54,4 +55,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND word_chars >= 2.5 * n_words AND word_chars <= 12 * n_words AND 10 * n_symbols <= n_words
   AND 100 * n_stop_words >= 6 * n_words AND 2 * n_dup_lines <= n_lines AS kept, n_stop_words
 FROM b""",
+    "op3_license": f"""
+WITH t(i, name, text) AS (VALUES {_TEMPLATES}), tw AS (SELECT i, name, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM t),
+tg AS (SELECT i, gram, count(*) AS c FROM (SELECT i, w[k] || ' ' || w[k + 1] AS gram FROM (SELECT i, w, unnest(range(1, len(w))) AS k FROM tw)) GROUP BY ALL),
+d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10) || chr(10)) AS ps, coalesce(text, '') AS text FROM documents),
+p AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM d),
+l AS (SELECT doc_id, k, unnest(string_split(p, chr(10))) AS line, generate_subscripts(string_split(p, chr(10)), 1) AS j FROM p),
+u AS (SELECT doc_id, 'l' || k || '.' || j AS u, line AS part FROM l UNION ALL SELECT doc_id, 'p' || k, p FROM p WHERE contains(p, chr(10)) UNION ALL SELECT doc_id, 'w', text FROM d WHERE len(ps) > 1),
+uw AS (SELECT doc_id, u, list_transform(regexp_extract_all(part, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM u),
+ok AS (SELECT * FROM uw WHERE len(w) - 1 BETWEEN 1 AND 2 * (SELECT max(len(w)) FROM tw)),
+ug AS (SELECT doc_id, u, n, gram, count(*) AS c FROM (SELECT doc_id, u, len(w) - 1 AS n, w[k] || ' ' || w[k + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS k FROM ok)) GROUP BY ALL),
+s AS (SELECT doc_id, u, any_value(n) AS n, i, sum(least(ug.c, tg.c)) AS shared FROM ug JOIN tg USING (gram) GROUP BY doc_id, u, i),
+m AS (SELECT doc_id, u, i, name, 2 * shared / (n + len(w) - 1)::DOUBLE AS dice FROM s JOIN tw USING (i) WHERE 2 * shared / (n + len(w) - 1)::DOUBLE >= {THRESHOLD}),
+b AS (SELECT doc_id, arg_max(name, (dice, -i)) AS license, round(max(dice), 9)::DOUBLE AS dice, count(DISTINCT u) AS n_matches FROM m GROUP BY doc_id)
+SELECT doc_id, license, dice, coalesce(n_matches, 0) AS n_matches FROM documents LEFT JOIN b USING (doc_id)""",
+    "op10_warc": """
+WITH s AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+t AS (SELECT d, max(page_id) AS top FROM s WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id <> top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM s LEFT JOIN t USING (d)""",
 }
