@@ -9,8 +9,6 @@ below the worst score; neighbouring unknowns are one token.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import ahocorasick
 import pandas as pd
 import public_tokenizers
