@@ -88,13 +88,14 @@ def near_pairs(points: DataFrame, distance: int = 2, blocks: int = 4, crowd: int
 
 
 def components(rows: DataFrame, fp: str, doc_id: str) -> DataFrame:
-    """(fp, component): for every fingerprint of rows the smallest doc_id that near pairs lead to (null: none known)."""
+    """(fp, root, component): for every fingerprint of rows the smallest fingerprint and the smallest doc_id that near
+    pairs lead to (null: no doc_id known).  Only root tells components apart: doc_ids may be null or repeated."""
     points = checkpointed(rows.groupBy(col(fp).alias("fp")).agg(F.min(col(doc_id)).alias("first")))
     labels = connected_components(near_pairs(points))
     rooted = points.join(labels.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = checkpointed(rooted)
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return checkpointed(rooted.join(least, "root").select("fp", "component"))
+    return checkpointed(rooted.join(least, "root").select("fp", "root", "component"))
 
 
 def op7_simhash(docs: DataFrame) -> DataFrame:
@@ -115,13 +116,10 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
     Rows that agree in every column are one document.
     """
     text_batches(docs.sparkSession)
-    fp, mark, c = fresh(docs, "_fp", "_mark", "_component")
+    fp, mark = fresh(docs, "_fp", "_mark")
     content = F.xxhash64(*[col(x) for x in docs.columns if x.lower() != "doc_id"])
     prints = checkpointed(docs.select(col("doc_id"), content.alias(mark), fingerprint_of(col("text")).alias(fp)))
-    groups = components(prints, fp, "doc_id").select(F.col("fp").alias(fp), F.col("component").alias(c))
-    # a fingerprint stands for its group: the smallest of a group names it
-    root = groups.groupBy(F.col(c)).agg(F.min(F.col(fp)).alias("root"))
-    named = prints.join(groups, fp).join(root.withColumnRenamed(c, "_c2"), F.col(c).eqNullSafe(F.col("_c2")))
+    named = prints.join(components(prints, fp, "doc_id").select(F.col("fp").alias(fp), "root"), fp)
     rows = named.groupBy("root", col("doc_id").alias("_d"), F.col(mark).alias("_m")).agg(F.count(F.lit(1)).alias("_same"))
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("_d").isNull().alias("n"), F.col("_d"), F.col("_m"), F.col("_same"))).alias("w"))
     winners = checkpointed(best.select("w._d", "w._m", "w._same"))
