@@ -110,16 +110,8 @@ def op7_simhash(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def dedup_stage(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id (then by content), with the columns of documents.
-
-    Rows that agree in every column are one document.
-    """
-    text_batches(docs.sparkSession)
-    fp, mark = fresh(docs, "_fp", "_mark")
-    content = F.xxhash64(*[col(x) for x in docs.columns if x.lower() != "doc_id"])
-    prints = checkpointed(docs.select(col("doc_id"), content.alias(mark), fingerprint_of(col("text")).alias(fp)))
-    named = prints.join(components(prints, fp, "doc_id").select(F.col("fp").alias(fp), "root"), fp)
+def one_of_each(docs: DataFrame, named: DataFrame, mark: str, content: Column) -> DataFrame:
+    """The document with the smallest doc_id (then mark) of each root; named: doc_id, mark (content's value) and root."""
     rows = named.groupBy("root", col("doc_id").alias("_d"), F.col(mark).alias("_m")).agg(F.count(F.lit(1)).alias("_same"))
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("_d").isNull().alias("n"), F.col("_d"), F.col("_m"), F.col("_same"))).alias("w"))
     winners = checkpointed(best.select("w._d", "w._m", "w._same"))
@@ -131,3 +123,16 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
         twice = marked.join(again, won, "left_semi").dropDuplicates(["doc_id", mark])
         kept = marked.join(winners.filter("_same = 1"), won, "left_semi").unionByName(twice)
     return kept.select(*[col(x) for x in docs.columns])
+
+
+def dedup_stage(docs: DataFrame) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id (then by content), with the columns of documents.
+
+    Rows that agree in every column are one document.
+    """
+    text_batches(docs.sparkSession)
+    fp, mark = fresh(docs, "_fp", "_mark")
+    content = F.xxhash64(*[col(x) for x in docs.columns if x.lower() != "doc_id"])
+    prints = checkpointed(docs.select(col("doc_id"), content.alias(mark), fingerprint_of(col("text")).alias(fp)))
+    named = prints.join(components(prints, fp, "doc_id").select(F.col("fp").alias(fp), "root"), fp)
+    return one_of_each(docs, named, mark, content)
