@@ -60,12 +60,44 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _fill(docs: DataFrame, rest: dict[int, int], bare: set[int], seed: int) -> DataFrame:
+    """(i, p, at): whole documents of each source i that fill rest[i] words, and where each stands in these words.
+
+    docs: i, p (place in the source, unique) and n (words, above 0).  Documents are taken in order while they fit; one
+    that does not fit is passed over, and the order is gone through again with the words that are left, until no document
+    of any source fits.  At the end the smallest document left is added where this comes nearer to the target, or
+    where a source in bare would have none.  The rest falls below the size of a passed-over document with each pass.
+    """
+    spark, start, got = docs.sparkSession, dict(rest), docs.sparkSession.createDataFrame([], "i int, p bigint, at bigint")
+    left, first, open_ = dict(rest), True, docs
+    table = lambda: F.broadcast(spark.createDataFrame([(k, left[k], start[k] - left[k]) for k in left], "i int, r bigint, used bigint"))
+    while left:
+        fitting = open_.join(table(), "i").filter(F.col("n") <= F.col("r"))
+        # the first pass goes by the places that are known; p is the running sum there
+        summed = fitting.withColumn("s", F.col("p")) if first else prefix_sums(fitting, ["i"], ["p"], F.col("n"), "s", seed=seed)
+        taken = checkpointed(summed.filter(F.col("s") + F.col("n") <= F.col("r")).select("i", "p", "n", (F.col("used") + F.col("s")).alias("at")))
+        sums = {r["i"]: r["w"] for r in taken.groupBy("i").agg(F.sum("n").alias("w")).collect()}  # a row a source at most
+        if not sums and not first:
+            break
+        first = False
+        got = got.union(taken.select("i", "p", "at"))
+        left = {k: v - sums.get(k, 0) for k, v in left.items()}
+        open_ = checkpointed(open_.join(taken.select("i", "p"), ["i", "p"], "left_anti"))
+    if not left:
+        return got
+    none = spark.createDataFrame([(k,) for k in bare], "i int").join(got, "i", "left_anti").withColumn("bare", F.lit(True))
+    least = open_.groupBy("i").agg(F.min(F.struct("n", "p")).alias("d")).join(table(), "i").join(none, "i", "left")
+    over = least.filter(F.coalesce("bare", F.lit(False)) | (F.col("d.n") < 2 * F.col("r")))
+    return got.union(over.select("i", F.col("d.p").alias("p"), F.col("used").alias("at")))
+
+
 def mix(df: DataFrame, order: list[str], size: str = "size", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), share_of_all: float = 1.0, max_epochs: int = 3, shards: int = 16, blocks: int = 1024, seed: int = 42, cut: bool = True) -> DataFrame:
     """df with source_size, target, taken and draws, an array with one struct (epoch, words, shard, key) per use.
 
     `size` is a column of non-negative counts (null: 0), `order` the columns that fix a document's place.  Sources
     stand in code-point order, null last, and take `weights` in turn.  cut=True: the last document of a source's
-    stream is used up to the target exactly; cut=False: it is used whole if at least half of it fits.  Documents of
+    stream is used up to the target exactly; cut=False: documents are used whole, one that does not fit is passed over
+    for later ones that do (see _fill), and a source with a target of a word or more gives at least one.  Documents of
     size 0, and all documents of an empty source, are not drawn (taken 0, no draws).  Rows with equal order columns
     and size are interchangeable.  Input columns named like the added ones are replaced.
     """
@@ -89,12 +121,24 @@ def mix(df: DataFrame, order: list[str], size: str = "size", source: str = "sour
     known = df.join(F.broadcast(table), col(source).cast("string").eqNullSafe(col(src)), "left").drop(src)
     placed = prefix_sums(known.withColumn(i, F.coalesce(col(i), F.lit(-1))), [i], [*order, size], col(size), before, seed=seed)
     of = lambda f: col(info)[f]
+    at = fresh(df, "_at")[0]
+    if not cut:
+        placed = checkpointed(placed)
+        rest = {k: w - w // s * s for k, (w, s) in enumerate(zip(whole, sizes)) if s}
+        extra = _fill(placed.filter(col(size) > 0).select(col(i).alias("i"), col(before).alias("p"), col(size).alias("n")), rest, {k for k, w in enumerate(whole) if 0 < w < sizes[k]}, seed)
+        extra = extra.select(F.col("i").alias(i), F.col("p").alias(before), F.col("at").alias(at))
+        placed = placed.withColumn("_some", col(size) > 0).join(extra.withColumn("_some", F.lit(True)), [i, before, "_some"], "left").drop("_some")
 
     def use(epoch: int):
         start = F.lit(epoch).cast("long") * of("size") + col(before)
         left = of("whole") - start
-        fits = F.least(col(size), left) if cut else F.when(left * 2 >= col(size), col(size)).otherwise(F.lit(0).cast("long"))
-        words = F.when(left > 0, fits).otherwise(F.lit(0).cast("long"))
+        if cut:
+            words = F.when(left > 0, F.least(col(size), left)).otherwise(F.lit(0).cast("long"))
+        else:  # all documents in whole epochs, those of _fill in the one that the target ends in
+            full = F.call_function("div", of("whole"), F.greatest(of("size"), F.lit(1).cast("long")))
+            last = (F.lit(epoch) == full) & col(at).isNotNull()
+            words = F.when((F.lit(epoch) < full) | last, col(size)).otherwise(F.lit(0).cast("long"))
+            start = F.least(F.when(last, F.lit(epoch).cast("long") * of("size") + col(at)).otherwise(start), F.greatest(of("whole") - 1, F.lit(0).cast("long")))
         rank = permute(F.call_function("div", start, F.lit(block).cast("long")), of("quota"), F.lit(seed) + col(i))
         shard = F.size(F.filter(of("ends"), lambda e: e <= rank))
         key = F.xxhash64(F.lit(seed + 1), F.lit(epoch), *[col(c) for c in order], col(before))
@@ -112,9 +156,14 @@ def draw_rows(mixed: DataFrame) -> DataFrame:
     return mixed.withColumn(d, F.explode(F.col("draws"))).select(*[col(c) for c in mixed.columns if c.lower() not in ("draws", "epoch", "words", "shard", "key")], *[col(d)[f].alias(f) for f in ("epoch", "words", "shard", "key")])
 
 
+def local_shuffle(drawn: DataFrame, shards: int = 16) -> DataFrame:
+    """Drawn rows dealt by shard and key; each task's part is shuffled locally by key."""
+    return drawn.repartition(shards * 4, "shard", F.pmod("key", F.lit(64))).sortWithinPartitions("shard", "key")
+
+
 def write_mix(mixed: DataFrame, path: str, shards: int = 16) -> None:
     """Write the mix, a folder per shard; each task's part is shuffled locally by key."""
-    draw_rows(mixed).repartition(shards * 4, "shard", F.pmod("key", F.lit(64))).sortWithinPartitions("shard", "key").write.partitionBy("shard").parquet(path)
+    local_shuffle(draw_rows(mixed), shards).write.partitionBy("shard").parquet(path)
 
 
 def op1_mixing(docs: DataFrame) -> DataFrame:
@@ -128,4 +177,4 @@ def mixing_stage(docs: DataFrame) -> DataFrame:
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no column of documents can clash with an added one
     rows = docs.select(*[col(c).alias(n) for c, n in names.items()], word_count(text_or_empty()).alias("_words"))
     mixed = mix(rows, [names["doc_id"], names["text"]], size="_words", source=names["source"], cut=False)
-    return mixed.withColumn("_draw", F.explode("draws")).select(*[col(n).alias(c) for c, n in names.items()])
+    return local_shuffle(draw_rows(mixed)).select(*[col(n).alias(c) for c, n in names.items()])

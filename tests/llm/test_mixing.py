@@ -77,3 +77,19 @@ def test_whole_documents_keep_near_target(spark):
         assert r["taken"] % max(r["size"], 1) == 0
         by[r["source"]].append(r)
     assert all(abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= biggest for rows in by.values())
+
+
+def test_whole_documents_fill_every_source(spark):
+    """A document beyond the rest of its target is passed over for those that fit, wherever it stands in the order."""
+    for seed in range(3):
+        rows = [(i, "a", 500) for i in range(200)] + [(200, "a", 100_000), (300, "b", 400_000), (301, "c", 40)] + [(400 + i, "d", 700) for i in range(100)]
+        sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+        got = mix(sized, ["doc_id"], weights=(3, 1, 1, 4), share_of_all=0.25, cut=False, seed=seed).collect()
+        by = defaultdict(list)
+        for r in got:
+            assert r["taken"] in (0, r["size"], 2 * r["size"], 3 * r["size"])
+            assert all(0 <= d["shard"] < 16 for d in r["draws"])
+            by[r["source"]].append(r)
+        for source, gap in (("a", 500), ("c", 40), ("d", 700)):
+            assert abs(sum(r["taken"] for r in by[source]) - by[source][0]["target"]) < gap
+        assert by["b"][0]["taken"] == 400_000
