@@ -19,6 +19,10 @@ STOP_WORDS = tuple(
     der die das und ist von den mit ein eine nicht zu im auf sich dem
     el los las y por con para del se su no es lo como más una""".split()
 )
+#: Languages that STOP_WORDS covers; texts of other or unknown languages have no bound on stop words.
+COVERED = ("en", "fr", "de", "es")
+#: Characters of scripts that put no blanks between words; each counts as a word where they are most of a text.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: measure, least, most: a document keeps only if every measure lies between its bounds (None: no bound).
 RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("n_words", 50, None),
@@ -61,7 +65,7 @@ def _repeat_words(hashes: Column) -> Column:
 
 
 def measures(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """n_words, n_lines and the MEASURES of a text as one struct of longs; a null or blank text has zero of everything."""
+    """n_words, n_lines, n_unspaced and the MEASURES of a text as one struct of longs; a null or blank text has zero of everything."""
     body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
 
@@ -73,6 +77,7 @@ def measures(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
             "n_symbols": F.length(body) - F.length(F.regexp_replace(body, SYMBOLS, "")),
             "n_dup_lines": F.size(x) - F.size(F.array_distinct(x)),
             "n_repeat_words": _once(_windows(w), _repeat_words),
+            "n_unspaced": F.length(body) - F.length(F.regexp_replace(body, UNSPACED, "")),
             "n_stop_words": F.size(F.filter(w, lambda v: F.lower(v).isin(*stop_words))),
         }
         return F.struct(*[v.cast("long").alias(k) for k, v in added.items()])
@@ -80,13 +85,28 @@ def measures(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     return _once(words_of(body), lambda w: _once(lines, lambda x: of(w, x)))
 
 
-def verdict(m: Column, rules: tuple[tuple[str, float | None, float | None], ...] = RULES) -> tuple[Column, Column]:
-    """(base_failed, kept) of a struct of measures: the threshold table as one boolean expression."""
+def covered(docs: DataFrame, lang: str = "lang") -> Column:
+    """Whether a document's language column names a language of STOP_WORDS (regions such as en-GB included)."""
+    if lang.lower() not in {c.lower() for c in docs.columns}:
+        return F.lit(False)
+    return F.coalesce(F.lower(F.regexp_extract(col(lang).cast("string"), r"^\s*([A-Za-z]+)", 1)).isin(*COVERED), F.lit(False))
+
+
+def verdict(m: Column, known: Column, rules: tuple[tuple[str, float | None, float | None], ...] = RULES) -> tuple[Column, Column]:
+    """(base_failed, kept) of a struct of measures: the threshold table as one boolean expression.
+
+    Stop words are bounded only in known (covered) languages.  Where most characters are UNSPACED, each of them counts
+    as a word for n_words, and mean_word_chars has no bound.
+    """
     n, lines = F.greatest(m["n_words"], F.lit(1)), F.greatest(m["n_lines"], F.lit(1))
-    ratios = {"n_words": m["n_words"], "repeat_word_ratio": m["n_repeat_words"] / n, "mean_word_chars": m["word_chars"] / n, "symbol_ratio": m["n_symbols"] / n, "stop_word_ratio": m["n_stop_words"] / n, "dup_line_ratio": m["n_dup_lines"] / lines}
-    bounds = [ratios[k] >= F.lit(lo) for k, lo, _ in rules if lo is not None] + [ratios[k] <= F.lit(hi) for k, _, hi in rules if hi is not None]
-    base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    return base, ~base & reduce(and_, bounds, F.lit(True))
+    unspaced = 2 * m["n_unspaced"] > m["word_chars"]
+    ratios = {"n_words": F.when(unspaced, F.greatest(m["n_words"], m["n_unspaced"])).otherwise(m["n_words"]), "repeat_word_ratio": m["n_repeat_words"] / n, "mean_word_chars": m["word_chars"] / n, "symbol_ratio": m["n_symbols"] / n, "stop_word_ratio": m["n_stop_words"] / n, "dup_line_ratio": m["n_dup_lines"] / lines}
+    free = {"mean_word_chars": unspaced, "stop_word_ratio": ~known}
+    ratios["symbol_ratio"] = m["n_symbols"] / F.greatest(ratios["n_words"], F.lit(1))
+    bounds = [free.get(k, F.lit(False)) | (ratios[k] >= F.lit(lo)) for k, lo, _ in rules if lo is not None] + [free.get(k, F.lit(False)) | (ratios[k] <= F.lit(hi)) for k, _, hi in rules if hi is not None]
+    repeats = 100 * m["n_repeat_words"] > 50 * m["n_words"]
+    base = (m["n_words"] < 50) | repeats
+    return base, (~base | (unspaced & ~repeats)) & reduce(and_, bounds, F.lit(True))
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[tuple[str, float | None, float | None], ...] = RULES, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
@@ -97,15 +117,15 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[tuple[str, float | N
     added = ("n_words", *MEASURES, "base_failed", "kept")
     (m,) = fresh(docs, "_m")
     rows = docs.withColumn(m, measures(col(text), stop_words))
-    base, kept = verdict(col(m), rules)
+    base, kept = verdict(col(m), covered(docs), rules)
     return rows.select(*[col(c) for c in docs.columns if c.lower() not in added], *[col(m)[k].alias(k) for k in added[:-2]], base.alias("base_failed"), kept.alias("kept"))
 
 
 def op9_quality(docs: DataFrame) -> DataFrame:
     """Measures and verdict of every document, its whole text read."""
-    return judge(docs.select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words")
+    return judge(docs.select("doc_id", "text", *[c for c in docs.columns if c.lower() == "lang"])).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words")
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns of documents."""
-    return docs.filter(_once(measures(col("text")), lambda m: verdict(m)[1]))
+    return docs.filter(_once(measures(col("text")), lambda m: verdict(m, covered(docs))[1]))

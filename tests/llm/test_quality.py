@@ -46,3 +46,12 @@ def test_clashing_columns(spark, odd):
 def test_plan_is_native(spark):
     plan = op9_quality(spark.read.parquet(f"{SMALL}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and "Exchange" not in plan
+
+
+def test_uncovered_languages(spark):
+    """Clean texts of languages without a list stay, in scripts without blanks too; junk and covered languages are judged as before."""
+    letters = lambda a: " ".join("".join(chr(a + (i * i * 31 + i * 17 + j * j * (i + 5)) % 23) for j in range(4 + i % 5)) for i in range(80))
+    han = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(300))
+    rows = [(1, letters(0x430), "ru"), (2, letters(0x3B1), "el"), (3, letters(0x61), "pl"), (4, letters(0x61), None), (5, han, "zh"), (6, letters(0x61), "en"), (7, letters(0x61), "de-AT"), (8, han[:30], "zh"), (9, "ab cd ef " * 60, "pl"), (10, "x" * 500, "pl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in op9_quality(docs).collect() if r.kept} == {1, 2, 3, 4, 5} == {r.doc_id for r in quality_stage(docs).collect()}
