@@ -4,7 +4,8 @@ Text is cut at white space and each word gets the meta symbol in front, so no pi
 Aho-Corasick automaton finds all vocabulary pieces, and dynamic programming over the places carries the best score and
 its number of pieces.  Ties follow the tokenizer: places are served left to right and a later way must be strictly
 better to replace an earlier one.  A character that starts no one-character piece may be an unknown, at a penalty
-below the worst score; neighbouring unknowns are one token.
+below the worst score.  With byte fallback an unknown counts as its UTF-8 bytes, else neighbouring unknowns are one
+token.
 """
 
 from __future__ import annotations
@@ -35,8 +36,17 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in ids]
 
 
+def has_bytes(path: str) -> bool:
+    """Whether a sentencepiece model file has all 256 byte pieces."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sum(model.is_byte(i) for i in range(model.get_piece_size())) == 256
+
+
 class Counter:
-    def __init__(self, pieces: list[tuple[str, float]]) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = False) -> None:
+        self.byte_fallback = byte_fallback
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             if piece:
@@ -63,7 +73,8 @@ class Counter:
             if not single:
                 total = here + self.unknown
                 if best[i + 1] is None or total > best[i + 1]:
-                    best[i + 1], count[i + 1], tail[i + 1] = total, count[i] + (not tail[i]), True
+                    new = len(text[i].encode("utf-8", "surrogatepass")) if self.byte_fallback else not tail[i]
+                    best[i + 1], count[i + 1], tail[i + 1] = total, count[i] + new, True
         return count[n]
 
     def text(self, text: str) -> int:
@@ -84,7 +95,7 @@ class Counter:
 def _counts(path: str):
     def run(texts: pd.Series) -> pd.Series:
         if path not in _counters:
-            _counters[path] = Counter(vocabulary(path))
+            _counters[path] = Counter(vocabulary(path), has_bytes(path))
         return pd.Series([_counters[path].text(t or "") for t in texts], dtype="int64")
 
     return run

@@ -34,3 +34,17 @@ TIES = [("▁", -1.0), ("a", -2.0), ("b", -2.0), ("ab", -4.0), ("ba", -4.0), ("a
 @given(st.text(alphabet="abcé ", max_size=24))
 def test_ties_and_unknowns(text):
     assert tokens.Counter(TIES).text(text) == len(reference(TIES).encode(words_of(text)).ids)
+
+
+def test_byte_fallback(spark):
+    """Characters without a piece count as their UTF-8 bytes, as in the library's model with byte fallback."""
+    import public_tokenizers
+
+    known = tokens.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    model = models.Unigram([("<unk>", 0.0), *[(f"<0x{b:02X}>", 0.0) for b in range(256)], *known], 0, True)
+    t = Tokenizer(model)
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    texts = ["".join(chr(0x1200 + i % 80) + " " * (i % 5 == 4) for i in range(300)), "plain words", "a🧿b🧿🧿 ሀለ x", "", "ሀ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokens.op5_token_count(docs).collect()}
+    assert got == {i: len(t.encode(words_of(x)).ids) for i, x in enumerate(texts)} and got[4] == 4
