@@ -17,38 +17,64 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsgrid.llm.common import checkpointed, col, ensure_checkpoint_dir, text_or_empty
+from newsgrid.llm.common import checkpointed, col, ensure_checkpoint_dir, fresh, text_or_empty, without
 
 LEAST_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
-#: Repeated payloads up to this many are sent to all tasks (about 60 bytes each); more are joined by a shuffle.
+#: Repeated payloads up to this many, the most frequent ones, are sent to all tasks (about 60 bytes each).
 SMALL = 100_000
 CRLF = "\r\n"
 SCHEMA = "page_id long, record_type string, url string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
+def _marked(rows: DataFrame, digest: str, groups: DataFrame, n: int, bucket: str, bits: str) -> DataFrame:
+    """rows with a column `bits` that is true wherever the digest may be one of the n groups' (never false where it is):
+    a bitmap of one hash per group, 16 bits for each, 32 MB at most, sent to all tasks in pieces of 4 KB."""
+    size = 1 << max(15, min(28, (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64(col(digest)), F.lit(size).cast("long"))
+    maps = groups.select(place.alias(bits)).groupBy(F.bitmap_bucket_number(bits).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bits)).alias(bits))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(bits, (F.call_function("div", at, F.lit(8)) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn(bucket, F.bitmap_bucket_number(place)).join(F.broadcast(maps), bucket, "left")
+    return found.withColumn(bits, F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")) % 2 == 1, F.lit(False))).drop(bucket)
+
+
 def resolve(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """pages with payload_bytes, payload_digest, record_type and refers_to.
 
     A null html is an empty payload.  A null page_id counts as the smallest.  Rows that share payload and largest
-    page_id: one is the response, the others revisit that page_id.
+    page_id: one is the response, the others revisit that page_id.  Input columns named like the added ones are replaced.
+
+    Only headers (digest, page_id, counts) are shuffled to find the shared payloads.  The SMALL most frequent of them are
+    sent to all tasks, so a payload that very many pages share is never gathered; where there are more, each of those is
+    on fewer than one in SMALL pages, a bitmap tells which pages may hold one, and only these pages are shuffled.
     """
+    added = ("payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = without(pages, *added)
+    top, same, rank, bucket, bits = fresh(pages, "_top", "_same", "_rank", "_bucket", "_bits", also=added)
     body = text_or_empty("html").cast("binary")
     sized = pages.withColumn("payload_bytes", F.octet_length(body).cast("long")).withColumn("payload_digest", F.sha1(body))
     per_page = sized.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
     groups = per_page.groupBy("payload_digest").agg(F.sum("n").alias("n"), F.max(F.struct("page_id", "n")).alias("top"))
-    groups = checkpointed(groups.filter("n > 1").select("payload_digest", F.col("top.page_id").alias("_top"), F.col("top.n").alias("_same"), F.lit(True).alias("_shared")))
-    groups_n, tied = groups.agg(F.count(F.lit(1)), F.coalesce(F.max("_same"), F.lit(0))).first()
-    joined = sized.join(F.broadcast(groups) if groups_n <= SMALL else groups, "payload_digest", "left")
-    shared = F.coalesce(F.col("_shared"), F.lit(False)) & (F.col("payload_bytes") >= least)
-    first = ~shared | F.col("page_id").eqNullSafe(F.col("_top"))
+    groups = checkpointed(groups.filter("n > 1").select("payload_digest", "n", F.col("top.page_id").alias(top), F.col("top.n").alias(same)))
+    groups_n, tied = groups.agg(F.count(F.lit(1)), F.coalesce(F.max(same), F.lit(0))).first()
+    if groups_n <= SMALL:
+        joined = sized.join(F.broadcast(groups.drop("n")), "payload_digest", "left")
+    else:
+        often = checkpointed(groups.orderBy(F.desc("n"), "payload_digest").limit(SMALL).drop("n"))
+        rest = groups.drop("n").join(F.broadcast(often.select("payload_digest")), "payload_digest", "left_anti")
+        known = _marked(sized.join(F.broadcast(often), "payload_digest", "left"), "payload_digest", rest, groups_n, bucket, bits)
+        open_ = known.filter(col(bits) & col(same).isNull()).drop(bits, top, same).join(rest, "payload_digest", "left")
+        joined = known.filter(~(col(bits) & col(same).isNull())).drop(bits).unionByName(open_)
+    shared = col(same).isNotNull() & (F.col("payload_bytes") >= least)
+    first = ~shared | F.col("page_id").eqNullSafe(col(top))
     if tied > 1:
         # only rows that repeat a response's page_id and payload meet here
-        at_top = shared & F.col("page_id").eqNullSafe(F.col("_top")) & (F.col("_same") > 1)
-        rank = F.row_number().over(Window.partitionBy("payload_digest").orderBy("url"))
-        joined = joined.filter(~at_top).withColumn("_rank", F.lit(1)).unionByName(joined.filter(at_top).withColumn("_rank", rank))
-        first = first & (F.col("_rank") == 1)
-    return joined.withColumn("record_type", F.when(first, "response").otherwise("revisit")).withColumn("refers_to", F.when(~first, F.col("_top"))).select(*[col(c) for c in pages.columns], "payload_bytes", "payload_digest", "record_type", "refers_to")
+        at_top = shared & F.col("page_id").eqNullSafe(col(top)) & (col(same) > 1)
+        place = F.row_number().over(Window.partitionBy("payload_digest").orderBy("url"))
+        joined = joined.filter(~at_top).withColumn(rank, F.lit(1)).unionByName(joined.filter(at_top).withColumn(rank, place))
+        first = first & (col(rank) == 1)
+    return joined.withColumn("record_type", F.when(first, "response").otherwise("revisit")).withColumn("refers_to", F.when(~first, col(top))).select(*[col(c) for c in pages.columns], *added)
 
 
 def _id(page: Column) -> Column:
@@ -126,6 +152,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
 def restore(found: DataFrame) -> DataFrame:
     """Records with the payload of revisits taken from the responses that they refer to."""
     kept = found.filter("record_type = 'response'")
+    # found has the columns of SCHEMA, so these names are free
     original = kept.select(F.col("page_id").alias("_to"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_size"), F.col("payload").alias("_body"))
     again = found.filter("record_type = 'revisit'").join(original, F.col("refers_to").eqNullSafe(F.col("_to")) & (F.col("payload_digest") == F.col("_digest")), "left")
     again = again.select("page_id", "record_type", "url", "refers_to", F.col("_size").alias("payload_bytes"), "payload_digest", F.col("_body").alias("payload"))

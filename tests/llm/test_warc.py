@@ -48,8 +48,16 @@ def test_payloads_come_back(spark, tmp_path):
 def test_shuffle_join_agrees(spark, monkeypatch):
     p = pages(spark)
     want = Counter(map(tuple, warc.op10_warc(p).collect()))
-    monkeypatch.setattr(warc, "SMALL", 0)
-    assert Counter(map(tuple, warc.op10_warc(p).collect())) == want
+    for most in (0, 3):
+        monkeypatch.setattr(warc, "SMALL", most)
+        assert Counter(map(tuple, warc.op10_warc(p).collect())) == want
+
+
+def test_bitmap_marks_every_group(spark):
+    rows = spark.range(3000).select(F.sha1(F.col("id").cast("string").cast("binary")).alias("d"), "id")
+    groups = rows.filter("id % 10 = 0").select("d")
+    marked = warc._marked(rows, "d", groups, 300, "b", "m").collect()
+    assert all(r.m for r in marked if r.id % 10 == 0) and sum(r.m for r in marked) < 600 and len(marked) == 3000
 
 
 def test_damage_is_seen():
