@@ -66,10 +66,10 @@ def windows(turns: DataFrame, new: int = NEW, history: int = HISTORY, path: str
     """
     if history > new:
         raise ValueError("history must not exceed new")
-    text_batches(turns.sparkSession)
     rows = turns.select(F.coalesce(col("conv_id"), F.lit(0)).cast("long").alias("c"), col("conv_id").isNull().alias("cn"), F.coalesce(col("turn").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("t"), text_or_empty("role").alias("role"), text_or_empty().alias("text"))
     cost = token_count(F.col("text"), path) + TEMPLATE_TOKENS
-    rows = checkpointed(rows.withColumn("cost", cost).withColumn("chunk", F.shiftright("t", 8)))
+    with text_batches(turns.sparkSession):
+        rows = checkpointed(rows.withColumn("cost", cost).withColumn("chunk", F.shiftright("t", 8)))
     # prefix sums in two levels, so that a very long conversation is not summed in one task
     key = ["c", "cn"]
     before = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

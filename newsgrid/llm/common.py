@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +16,23 @@ SPACES = " \t\n\x0b\f\r"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand whole texts to Python workers in smaller Arrow batches than Spark's default, unless the session has its own setting."""
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While it is open, what is computed hands whole texts to Python workers in smaller Arrow batches than Spark's
+    default, unless the session has its own setting; the setting is put back at the end."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
+    before = spark.conf.get(name)
+    if before == "10000":
         spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names that start like the given ones and clash with none of df's."""
-    taken, out = {c.lower() for c in df.columns}, []
+def fresh(df: DataFrame, *names: str, also: tuple[str, ...] = ()) -> list[str]:
+    """Column names that start like the given ones and clash with none of df's and none of `also`."""
+    taken, out = {c.lower() for c in (*df.columns, *also)}, []
     for name in names:
         while name.lower() in taken:
             name += "_"

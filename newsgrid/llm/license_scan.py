@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgrid.llm.common import col, text_batches
+from newsgrid.llm.common import checkpointed, col, text_batches
 
 THRESHOLD = 0.8
 #: Licence notices by SPDX identifier (fixed values, from the public texts of the licences).
@@ -104,5 +104,6 @@ def scan(text: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES, thres
 
 def op3_license(docs: DataFrame) -> DataFrame:
     """Licence of all documents, whole texts, one row per document."""
-    text_batches(docs.sparkSession)
-    return docs.select("doc_id", scan(col("text")).alias("m")).select("doc_id", "m.license", F.round("m.dice", 9).alias("dice"), "m.n_matches")
+    with text_batches(docs.sparkSession):
+        found = checkpointed(docs.select("doc_id", scan(col("text")).alias("m")))
+    return found.select("doc_id", "m.license", F.round("m.dice", 9).alias("dice"), "m.n_matches")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgrid.llm.common import checkpointed, col, prefix_sums, text_batches
+from newsgrid.llm.common import checkpointed, col, fresh, prefix_sums, text_batches, without
 
 LENGTH = 2048
 END = 1
@@ -134,7 +134,6 @@ def pieces_of(path: str, length: int, end: int, keep_ids: bool, kept: int = KEPT
 
 def tokenize(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, keep_ids: bool = False, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Pieces of every document (null text: empty, so only the end id): doc_id, start, length, ids_crc32, doc_tokens[, ids]."""
-    text_batches(docs.sparkSession)
     path = path or public_tokenizers.path("word_bpe_49k.json")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<long>" if keep_ids else "")
     return docs.select(col("doc_id").cast("long"), col("text")).mapInArrow(pieces_of(path, length, end, keep_ids, kept_words), schema)
@@ -189,22 +188,30 @@ def _ranges(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[int
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, seed: int = 42) -> DataFrame:
-    """pieces with sequence_id and offset; `length` of a piece is 1..length.  Pieces that agree in all of doc_id, start and ids_crc32 are interchangeable."""
+    """pieces with sequence_id and offset; `length` of a piece is 1..length.
+
+    Pieces that agree in all of doc_id, start and ids_crc32 are interchangeable; their columns may be null but for
+    length.  Input columns named like the added ones are replaced; no pieces give no rows.
+    """
     spark = pieces.sparkSession
+    pieces = without(pieces, "sequence_id", "offset")
+    rank, its_runs, at, k = fresh(pieces, "_rank", "_runs", "_run", "_k")
     # at most `length` rows reach the driver, whatever the input
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = _ranges(pack_histogram(histogram, length))
-    schema = T.StructType([T.StructField("length", T.LongType(), False), T.StructField("_runs", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("lo", "times", "sequence", "offset")])))])
+    schema = T.StructType([T.StructField("length", T.LongType(), False), T.StructField(its_runs, T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("lo", "times", "sequence", "offset")])))])
     table = spark.createDataFrame([(k, sorted(v)) for k, v in runs.items()], schema)
-    ranked = prefix_sums(pieces, ["length"], ["doc_id", "start", "ids_crc32"], F.lit(1), "_rank", seed=seed)
+    ranked = prefix_sums(pieces, ["length"], ["doc_id", "start", "ids_crc32"], F.lit(1), rank, seed=seed)
     placed = ranked.join(F.broadcast(table), "length")
-    run = F.element_at(F.filter("_runs", lambda r: r["lo"] <= F.col("_rank")), -1)
-    placed = placed.withColumn("_run", run).withColumn("_k", F.col("_rank") - F.col("_run.lo"))
-    sequence = F.col("_run.sequence") + F.call_function("div", F.col("_k"), F.col("_run.times"))
-    offset = F.col("_run.offset") + (F.col("_k") % F.col("_run.times")) * F.col("length")
+    run = F.element_at(F.filter(its_runs, lambda r: r["lo"] <= col(rank)), -1)
+    placed = placed.withColumn(at, run).withColumn(k, col(rank) - col(at)["lo"])
+    sequence = col(at)["sequence"] + F.call_function("div", col(k), col(at)["times"])
+    offset = col(at)["offset"] + (col(k) % col(at)["times"]) * F.col("length")
     return placed.select(*[col(c) for c in pieces.columns], sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def op4_packing(docs: DataFrame, path: str | None = None, kept_words: int = KEPT_WORDS) -> DataFrame:
     """All documents in sequences of at most 2048 tokens, one row per piece; kept_words trades a worker's memory for time."""
-    return pack(checkpointed(tokenize(docs, path, kept_words=kept_words)))
+    with text_batches(docs.sparkSession):
+        pieces = checkpointed(tokenize(docs, path, kept_words=kept_words))
+    return pack(pieces)

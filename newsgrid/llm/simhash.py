@@ -104,24 +104,26 @@ def op7_simhash(docs: DataFrame) -> DataFrame:
     A null, empty or blank text has fingerprint 0; equal fingerprints link, whatever their texts; a null doc_id never
     names a component unless all its members are null.
     """
-    text_batches(docs.sparkSession)
-    prints = checkpointed(docs.select("doc_id", fingerprint_of(col("text")).alias("fp")))
+    with text_batches(docs.sparkSession):
+        prints = checkpointed(docs.select("doc_id", fingerprint_of(col("text")).alias("fp")))
     out = prints.join(components(prints, "fp", "doc_id"), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, named: DataFrame, mark: str, content: Column) -> DataFrame:
-    """The document with the smallest doc_id (then mark) of each root; named: doc_id, mark (content's value) and root."""
-    rows = named.groupBy("root", col("doc_id").alias("_d"), F.col(mark).alias("_m")).agg(F.count(F.lit(1)).alias("_same"))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("_d").isNull().alias("n"), F.col("_d"), F.col("_m"), F.col("_same"))).alias("w"))
-    winners = checkpointed(best.select("w._d", "w._m", "w._same"))
+    """The document with the smallest doc_id (null last, then by mark) of each root; named: doc_id, mark (content's value,
+    a name that docs lacks) and root.  Rows with the winner's doc_id and mark are one document."""
+    d, m, same = fresh(docs, "_d", "_m", "_same", also=(mark,))
+    rows = named.groupBy("root", col("doc_id").alias(d), col(mark).alias(m)).agg(F.count(F.lit(1)).alias(same))
+    best = rows.groupBy("root").agg(F.min(F.struct(col(d).isNull().alias("n"), col(d).alias("d"), col(m).alias("m"), col(same).alias("same"))).alias("w"))
+    winners = checkpointed(best.select(F.col("w.d").alias(d), F.col("w.m").alias(m), F.col("w.same").alias(same)))
     marked = docs.withColumn(mark, content)
-    won = F.col(mark).eqNullSafe(F.col("_m")) & col("doc_id").eqNullSafe(F.col("_d"))
+    won = col(mark).eqNullSafe(col(m)) & col("doc_id").eqNullSafe(col(d))
     kept = marked.join(winners, won, "left_semi")
-    again = winners.filter("_same > 1")
+    again = winners.filter(col(same) > 1)
     if not again.isEmpty():  # rows that are there more than once: the others need no second shuffle
         twice = marked.join(again, won, "left_semi").dropDuplicates(["doc_id", mark])
-        kept = marked.join(winners.filter("_same = 1"), won, "left_semi").unionByName(twice)
+        kept = marked.join(winners.filter(col(same) == 1), won, "left_semi").unionByName(twice)
     return kept.select(*[col(x) for x in docs.columns])
 
 
@@ -130,9 +132,9 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
 
     Rows that agree in every column are one document.
     """
-    text_batches(docs.sparkSession)
     fp, mark = fresh(docs, "_fp", "_mark")
     content = F.xxhash64(*[col(x) for x in docs.columns if x.lower() != "doc_id"])
-    prints = checkpointed(docs.select(col("doc_id"), content.alias(mark), fingerprint_of(col("text")).alias(fp)))
+    with text_batches(docs.sparkSession):
+        prints = checkpointed(docs.select(col("doc_id"), content.alias(mark), fingerprint_of(col("text")).alias(fp)))
     named = prints.join(components(prints, fp, "doc_id").select(F.col("fp").alias(fp), "root"), fp)
     return one_of_each(docs, named, mark, content)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgrid.llm.common import SPACES, col, text_batches
+from newsgrid.llm.common import SPACES, checkpointed, col, text_batches
 
 META = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -108,5 +108,5 @@ def token_count(text: Column, path: str | None = None) -> Column:
 
 def op5_token_count(docs: DataFrame) -> DataFrame:
     """Token counts of all documents, whole texts."""
-    text_batches(docs.sparkSession)
-    return docs.select("doc_id", token_count(col("text")).alias("n_tokens"))
+    with text_batches(docs.sparkSession):
+        return checkpointed(docs.select("doc_id", token_count(col("text")).alias("n_tokens")))
