@@ -1,8 +1,10 @@
 """License scans: Dice coefficient over word bigrams against licence templates.
 
-The whole text, each of its paragraphs (parts between empty lines) and each of its lines is reduced to lower-case ASCII
-words and compared as a bag of bigrams.  Dice = 2 * shared / (a + b) can reach t only if t/(2-t) <= a/b <= (2-t)/t, so a
-part is only compared with the templates whose size lies within these bounds.
+A text is reduced to lower-case ASCII words, so comment marks and punctuation play no part.  Two kinds of its stretches are
+compared with a template as bags of bigrams: every run of whole lines (so a paragraph, several paragraphs with what
+separates them, or the whole text), and every stretch of as many words as the template has (a notice inside a longer
+line).  Dice = 2 * shared / (a + b) can reach t only if t/(2-t) <= a/b <= (2-t)/t, so runs outside these bounds are left
+out, and a template of which the whole text holds fewer than t/(2-t) of the bigrams is not compared at all.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 from newsgrid.llm.common import checkpointed, col, text_batches
 
 THRESHOLD = 0.8
-#: Licence notices by SPDX identifier (fixed values, from the public texts of the licences).
+#: Licence notices and short licences by SPDX identifier (fixed values, from the public texts of the licences).
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -27,12 +29,17 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -40,8 +47,14 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 )
 _WORD = re.compile(r"[A-Za-z0-9]+")
+_LINE = re.compile(r"[\r\n]+")
+_EPS = 1e-9
+_scanners: dict[tuple, "Scanner"] = {}
 
 
 def words(text: str) -> list[str]:
@@ -50,60 +63,109 @@ def words(text: str) -> list[str]:
 
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> None:
-        bags = [(name, i, words(text)) for i, (name, text) in enumerate(templates)]
-        self.templates = sorted((len(w) - 1, i, name, Counter(zip(w, w[1:]))) for name, i, w in bags)
-        self.sizes = [t[0] for t in self.templates]
+        self.names = [name for name, _ in templates]
+        bags = [words(text) for _, text in templates]
+        self.sizes = [len(w) - 1 for w in bags]
+        self.grams = [Counter(zip(w, w[1:])) for w in bags]
+        self.where: dict[tuple[str, str], list[int]] = {}  # bigram -> templates that hold it
+        for i, grams in enumerate(self.grams):
+            for g in grams:
+                self.where.setdefault(g, []).append(i)
         self.threshold = threshold
 
-    def best(self, part: list[str]) -> tuple[float, int, str] | None:
-        """The template that is most like a list of words: (dice, -place, name)."""
-        n, t = len(part) - 1, self.threshold
-        if n < 1:
-            return None
-        near = self.templates[bisect_left(self.sizes, n * t / (2 - t) - 1e-9) : bisect_right(self.sizes, n * (2 - t) / t + 1e-9)]
-        if not near:
-            return None
-        bag, found = Counter(zip(part, part[1:])), []
-        for size, i, name, grams in near:
-            shared = sum(min(c, bag[g]) for g, c in grams.items() if g in bag)
-            if 2 * shared >= t * (n + size):
-                found.append((2 * shared / (n + size), -i, name))
-        return max(found, default=None)
-
-    def text(self, text: str) -> tuple[str | None, float | None, int]:
-        """The best match of a text, its Dice value, and the number of parts that match any template."""
-        parts = [[words(line) for line in paragraph.split("\n")] for paragraph in text.split("\n\n")]
-        flat = [sum(p, []) if len(p) > 1 else p[0] for p in parts]
-        units = [line for p in parts for line in p]
-        units += [f for p, f in zip(parts, flat) if len(p) > 1]
-        if len(flat) > 1:
-            units.append([w for p in flat for w in p])
-        found = [f for f in map(self.best, units) if f]
-        top = max(found, default=(None, 0, None))
-        return top[2], top[0], len(found)
+    def text(self, text: str) -> tuple[str | None, float | None, list[str]]:
+        """The best match of a text, its Dice value, and the identifiers of all templates that match, sorted."""
+        lines = [w for w in map(words, _LINE.split(text)) if w]
+        flat = [w for line in lines for w in line]
+        hits: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+        for at, gram in enumerate(zip(flat, flat[1:])):
+            for i in self.where.get(gram, ()):
+                hits.setdefault(i, []).append((at, gram))
+        best, names, t = (0.0, 0), set(), self.threshold
+        starts = None
+        for i, found in hits.items():
+            most = sum(min(n, self.grams[i][g]) for g, n in Counter(g for _, g in found).items())
+            if most < t / (2 - t) * self.sizes[i] - _EPS:
+                continue
+            if starts is None:
+                starts = [0]
+                for line in lines:
+                    starts.append(starts[-1] + len(line))
+            dice = max(self._runs(i, found, starts), self._windows(i, found, len(flat)))
+            if dice >= t:
+                names.add(self.names[i])
+                best = max(best, (dice, -i))
+        return (self.names[-best[1]], best[0], sorted(names)) if names else (None, None, [])
+
+    def _runs(self, i: int, found: list, starts: list[int]) -> float:
+        """The best Dice value of a run of lines.  The lines at both ends of the best run hold a shared bigram's word."""
+        size, grams, best = self.sizes[i], self.grams[i], 0.0
+        most = size * (2 - self.threshold) / self.threshold + _EPS
+        places = [at for at, _ in found]
+        firsts = sorted({bisect_right(starts, at) - 1 for at in places})
+        for first in firsts:
+            left: Counter = Counter()
+            shared, k = 0, bisect_left(places, starts[first])
+            while k < len(places):
+                # the shortest run from here that holds the next shared bigram whole
+                last = bisect_right(starts, places[k] + 1) - 1
+                n = starts[last + 1] - starts[first] - 1
+                if n > most:
+                    break
+                while k < len(places) and places[k] + 1 < starts[last + 1]:
+                    gram = found[k][1]
+                    left[gram] += 1
+                    shared += left[gram] <= grams[gram]
+                    k += 1
+                best = max(best, 2 * shared / (n + size))
+        return best
+
+    def _windows(self, i: int, found: list, total: int) -> float:
+        """The best Dice value of a stretch of as many words as the template has; one that starts at a shared bigram is best."""
+        size, grams = self.sizes[i], self.grams[i]
+        if total < size + 1:
+            return 0.0
+        inside: Counter = Counter()
+        shared, best, lo, hi = 0, 0, 0, 0
+        for at, _ in found:
+            start = min(at, total - size - 1)
+            while hi < len(found) and found[hi][0] < start + size:
+                gram = found[hi][1]
+                inside[gram] += 1
+                shared += inside[gram] <= grams[gram]
+                hi += 1
+            while found[lo][0] < start:
+                gram = found[lo][1]
+                shared -= inside[gram] <= grams[gram]
+                inside[gram] -= 1
+                lo += 1
+            best = max(best, shared)
+        return 2 * best / (2 * size)
 
 
 def _scan(templates: tuple[tuple[str, str], ...], threshold: float):
     def run(texts: pd.Series) -> pd.DataFrame:
-        scanner = Scanner(templates, threshold)
-        rows = [scanner.text(t or "") for t in texts]
-        return pd.DataFrame({"license": [r[0] for r in rows], "dice": pd.array([r[1] for r in rows], dtype="Float64"), "n_matches": pd.array([r[2] for r in rows], dtype="int64")})
+        if (templates, threshold) not in _scanners:
+            _scanners[templates, threshold] = Scanner(templates, threshold)
+        rows = [_scanners[templates, threshold].text(t or "") for t in texts]
+        return pd.DataFrame({"license": [r[0] for r in rows], "dice": pd.array([r[1] for r in rows], dtype="Float64"), "licenses": [r[2] for r in rows]})
 
     return run
 
 
 def scan(text: Column, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """struct(license, dice, n_matches) of a text.
+    """struct(license, dice, licenses) of a text.
 
-    license is the identifier of the best matching template (ties: the one listed first), null if no part reaches the
-    threshold; a null or empty text has none.  A paragraph of one line, or a text of one paragraph, counts once.
+    license is the identifier of the best matching template (ties: the one listed first), null if none reaches the
+    threshold; licenses are all identifiers that reach it, sorted.  A null, empty or blank text has none; repeated
+    notices count once; a text of any length is read whole, in time that grows with its words and shared bigrams.
     """
-    kind = T.StructType([T.StructField("license", T.StringType()), T.StructField("dice", T.DoubleType()), T.StructField("n_matches", T.LongType())])
+    kind = T.StructType([T.StructField("license", T.StringType()), T.StructField("dice", T.DoubleType()), T.StructField("licenses", T.ArrayType(T.StringType()))])
     return F.pandas_udf(_scan(templates, threshold), kind)(text)
 
 
 def op3_license(docs: DataFrame) -> DataFrame:
-    """Licence of all documents, whole texts, one row per document."""
+    """Licence of all documents, whole texts, one row per document; no documents give no rows, other columns are left out."""
     with text_batches(docs.sparkSession):
         found = checkpointed(docs.select("doc_id", scan(col("text")).alias("m")))
-    return found.select("doc_id", "m.license", F.round("m.dice", 9).alias("dice"), "m.n_matches")
+    return found.select("doc_id", "m.license", F.round("m.dice", 9).alias("dice"), "m.licenses")

@@ -56,19 +56,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND 100 * n_stop_words >= 6 * n_words AND 2 * n_dup_lines <= n_lines AS kept, n_stop_words
 FROM b""",
     "op3_license": f"""
-WITH t(i, name, text) AS (VALUES {_TEMPLATES}), tw AS (SELECT i, name, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM t),
+WITH t(i, name, text) AS (VALUES {_TEMPLATES}), tw AS (SELECT i, name, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM t), tm AS (SELECT i, name, len(w) - 1 AS m FROM tw),
 tg AS (SELECT i, gram, count(*) AS c FROM (SELECT i, w[k] || ' ' || w[k + 1] AS gram FROM (SELECT i, w, unnest(range(1, len(w))) AS k FROM tw)) GROUP BY ALL),
-d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10) || chr(10)) AS ps, coalesce(text, '') AS text FROM documents),
-p AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM d),
-l AS (SELECT doc_id, k, unnest(string_split(p, chr(10))) AS line, generate_subscripts(string_split(p, chr(10)), 1) AS j FROM p),
-u AS (SELECT doc_id, 'l' || k || '.' || j AS u, line AS part FROM l UNION ALL SELECT doc_id, 'p' || k, p FROM p WHERE contains(p, chr(10)) UNION ALL SELECT doc_id, 'w', text FROM d WHERE len(ps) > 1),
-uw AS (SELECT doc_id, u, list_transform(regexp_extract_all(part, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM u),
-ok AS (SELECT * FROM uw WHERE len(w) - 1 BETWEEN 1 AND 2 * (SELECT max(len(w)) FROM tw)),
-ug AS (SELECT doc_id, u, n, gram, count(*) AS c FROM (SELECT doc_id, u, len(w) - 1 AS n, w[k] || ' ' || w[k + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS k FROM ok)) GROUP BY ALL),
-s AS (SELECT doc_id, u, any_value(n) AS n, i, sum(least(ug.c, tg.c)) AS shared FROM ug JOIN tg USING (gram) GROUP BY doc_id, u, i),
-m AS (SELECT doc_id, u, i, name, 2 * shared / (n + len(w) - 1)::DOUBLE AS dice FROM s JOIN tw USING (i) WHERE 2 * shared / (n + len(w) - 1)::DOUBLE >= {THRESHOLD}),
-b AS (SELECT doc_id, arg_max(name, (dice, -i)) AS license, round(max(dice), 9)::DOUBLE AS dice, count(DISTINCT u) AS n_matches FROM m GROUP BY doc_id)
-SELECT doc_id, license, dice, coalesce(n_matches, 0) AS n_matches FROM documents LEFT JOIN b USING (doc_id)""",
+split AS (SELECT doc_id, string_split(replace(coalesce(text, ''), chr(13), chr(10)), chr(10)) AS x FROM documents),
+raw AS (SELECT doc_id, r, list_transform(regexp_extract_all(line, '[A-Za-z0-9]+'), lambda y: lower(y)) AS w FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS r FROM split)),
+l AS (SELECT doc_id, r, w, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY r) AS stop FROM raw WHERE len(w) > 0), ends AS (SELECT doc_id, max(stop) AS total FROM l GROUP BY doc_id),
+words AS (SELECT doc_id, r, stop - len(w) + generate_subscripts(w, 1) AS k, unnest(w) AS w FROM l),
+grams AS (SELECT doc_id, k, r, lead(r) OVER o AS r2, w || ' ' || lead(w) OVER o AS gram FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+hits AS (SELECT doc_id, i, k, r, r2, gram, c FROM grams JOIN tg USING (gram)),
+near AS (SELECT doc_id, i, m, name FROM (SELECT doc_id, i, gram, least(count(*), any_value(c)) AS n FROM hits GROUP BY ALL) JOIN tm USING (i) GROUP BY doc_id, i, m, name HAVING sum(n) >= {THRESHOLD} / (2 - {THRESHOLD}) * m - 1e-9),
+runs AS (SELECT a.doc_id, i, m, a.r AS r1, b.r AS r2, b.stop - a.stop + len(a.w) - 1 AS n FROM near JOIN l a USING (doc_id) JOIN l b ON a.doc_id = b.doc_id AND a.r <= b.r AND b.stop - a.stop + len(a.w) - 1 BETWEEN 1 AND m * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9),
+in_runs AS (SELECT s.doc_id, s.i, s.m, s.r1, s.r2, n, gram, least(count(*), any_value(c)) AS shared FROM runs s JOIN hits h ON h.doc_id = s.doc_id AND h.i = s.i AND h.r >= s.r1 AND h.r2 <= s.r2 GROUP BY ALL),
+starts AS (SELECT DISTINCT h.doc_id, h.i, m, least(k, total - m) AS s FROM hits h JOIN near USING (doc_id, i) JOIN ends USING (doc_id) WHERE total > m),
+in_windows AS (SELECT s.doc_id, s.i, s.m, s, gram, least(count(*), any_value(c)) AS shared FROM starts s JOIN hits h ON h.doc_id = s.doc_id AND h.i = s.i AND h.k BETWEEN s AND s + m - 1 GROUP BY s.doc_id, s.i, s.m, s, gram),
+scores AS (SELECT doc_id, i, 2 * sum(shared) / (n + m)::DOUBLE AS dice FROM in_runs GROUP BY doc_id, i, m, r1, r2, n UNION ALL SELECT doc_id, i, sum(shared) / m::DOUBLE FROM in_windows GROUP BY doc_id, i, m, s),
+b AS (SELECT doc_id, arg_max(name, (dice, -i)) AS license, round(max(dice), 9)::DOUBLE AS dice, list_sort(list(DISTINCT name)) AS licenses FROM scores JOIN tm USING (i) WHERE dice >= {THRESHOLD} GROUP BY doc_id)
+SELECT doc_id, license, dice, coalesce(licenses, []) AS licenses FROM documents LEFT JOIN b USING (doc_id)""",
     "op10_warc": """
 WITH s AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 t AS (SELECT d, max(page_id) AS top FROM s WHERE n >= 1000 GROUP BY d)
