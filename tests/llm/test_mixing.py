@@ -3,7 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 
-from newsgrid.llm.mixing import draw_rows, mix, mixing_stage, op1_mixing, share, split_quotas
+from newsgrid.llm import mixing
+from newsgrid.llm.mixing import draw_rows, mix, mixing_stage, op1_mixing, share, split_quotas, write_mix
 from tests.conftest import SMALL
 
 
@@ -93,3 +94,83 @@ def test_whole_documents_fill_every_source(spark):
         for source, gap in (("a", 500), ("c", 40), ("d", 700)):
             assert abs(sum(r["taken"] for r in by[source]) - by[source][0]["target"]) < gap
         assert by["b"][0]["taken"] == 400_000
+
+
+def test_tree_law():
+    """Over many seeds a shard's blocks of a source have the mean and variance of a multivariate hypergeometric draw."""
+    quotas, shards, runs = [40, 24, 64], 8, 2000
+    draws = np.array([split_quotas(quotas, shards, seed) for seed in range(runs)])
+    total, room = sum(quotas), sum(quotas) // shards
+    for k, q in enumerate(quotas):
+        p = q / total
+        var = room * p * (1 - p) * (total - room) / (total - 1)
+        for shard in range(shards):
+            x = draws[:, shard, k]
+            assert abs(x.mean() - room * p) < 5 * np.sqrt(var / runs) and abs(x.var() - var) < 0.25 * var
+    # two shards share no block: their covariance is that of drawing without replacement
+    p = quotas[0] / total
+    assert abs(np.cov(draws[:, 0, 0], draws[:, 5, 0])[0, 1] + room * room * p * (1 - p) / (total - 1)) < 0.2
+
+
+def test_blocks_are_disjoint(spark):
+    """Every block of a source's stream goes to one shard, the tree's number of them, and positions have no gaps."""
+    rows = [(i, f"s{i % 3}", 10) for i in range(3000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    mixed = mix(sized, ["doc_id"], shards=5, blocks=60)
+    plan, _ = mixing.plan(sized.groupBy("source").agg({"size": "sum"}).toDF("source", "size"), (1, 2, 3), 1.0, 3, 5, 60, 42)
+    quotas = [len(r.shards) for r in plan.orderBy("i").collect()]
+    uses = draw_rows(mixed).collect()
+    per_shard = defaultdict(list)
+    for r in uses:
+        per_shard[r["shard"]].append(r["position"])
+    assert all(sorted(p) == list(range(len(p))) for p in per_shard.values()) and len(per_shard) == 5
+    got, block = np.zeros((5, 3)), 500
+    for r in uses:
+        got[r["shard"], int(r["source"][1])] += r["words"] / block
+    assert np.abs(got - split_quotas(quotas, 5, 42)).max() <= 0.05  # documents of ten words cross the edges of blocks of 500
+
+
+def test_written_shards(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    sized = spark.createDataFrame([(r.doc_id, r.source, words(r.text)) for r in docs.collect()], "doc_id long, source string, size long")
+    drawn = draw_rows(mix(sized, ["doc_id"], shards=4)).select("doc_id", "epoch", "shard", "position")
+    write_mix(drawn, str(tmp_path / "mix"), 4)
+    back = spark.read.parquet(str(tmp_path / "mix"))
+    assert sorted(map(tuple, back.select(*drawn.columns).collect())) == sorted(map(tuple, drawn.collect()))
+    for f in (tmp_path / "mix").rglob("*.parquet"):
+        places = [r.position for r in spark.read.parquet(str(f)).collect()]
+        assert places == sorted(places)
+    got = op1_mixing(docs).collect()
+    spots = [(s, p) for r in got for s, p in zip(r["shards"], r["positions"])]
+    assert len(set(spots)) == len(spots) and all(p < len(spots) for _, p in spots)
+    order = [p for _, p in sorted((d.doc_id, d.position) for d in drawn.collect() if d.shard == 0)]
+    assert order != sorted(order)  # shuffled
+
+
+def test_many_sources(spark, monkeypatch):
+    """Beyond MAX_SOURCES the plan is made by Spark: the same targets, the same number of blocks, every word taken."""
+    rng = np.random.default_rng(8)
+    rows = [(i, None if i % 97 == 0 else f"s{int(rng.integers(0, 400)):03d}" if i % 3 else "hot", int(rng.integers(0, 200))) for i in range(3000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    here = mix(sized, ["doc_id"])
+    want = {r["doc_id"]: (r["source_size"], round(r["target"], 4), r["taken"]) for r in here.collect()}
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 50)
+    monkeypatch.setattr(mixing, "GROUP", 60)
+    there = mix(sized, ["doc_id"])
+    assert {r["doc_id"]: (r["source_size"], round(r["target"], 4), r["taken"]) for r in there.collect()} == want
+    load = defaultdict(int)
+    for r in draw_rows(there).collect():
+        load[r["shard"]] += r["words"]
+    assert len(load) == 16 and max(load.values()) < 1.4 * min(load.values())
+    whole = mix(sized, ["doc_id"], cut=False).collect()
+    assert {r["doc_id"] for r in whole} == set(want)
+
+
+def test_stage_order_and_repeats(spark):
+    """Repeated rows are drawn each for itself, and the stage's files hold shards in the order of positions."""
+    text = lambda k: " ".join(f"w{k}" for _ in range(30))
+    docs = spark.createDataFrame([(1, "a", text(1))] * 3 + [(2, "a", text(2)), (None, "b", text(3)), (None, "b", text(3)), (4, None, None)], "doc_id long, source string, text string")
+    got = [tuple(r) for r in mixing_stage(docs).collect()]
+    assert set(got) == {(1, "a", text(1)), (2, "a", text(2)), (None, "b", text(3))}
+    n = sum(30 for _ in got)
+    assert abs(n - 180) <= 30
