@@ -1,39 +1,52 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Model: the vectors' mean, principal axes and several learned rotations (each turned, from its own start, to bring the
-projected vectors near the corners of a cube), fitted on a bounded sample.  A vector's code has BITS sign bits, cut
-into substrings of 16 bits.  Queries go out in blocks of a fixed size; every task indexes the substrings of its own
-vectors, probes each substring index within the radius that the pigeonhole rule asks for, so that every code within
-the Hamming radius is retrieved, checks the full distance of codes, reranks by the vectors themselves and keeps the k
-best of each query.  No pairs leave a task.
-
-The radius is set so that it covers RADIUS_SHARE of the true neighbours of a bounded set of trial queries, which are
-compared with all vectors once.  Queries that find fewer than k vectors within it are searched again without a radius.
+projected vectors near the corners of a cube), fitted on a bounded sample.  A vector's code is one sign bit for each
+rotated axis, cut into substrings of about log2(n) bits.
+
+Index: one row (substring number, value, vector) for every substring of every distinct vector.  A query probes each
+substring number with all values within its radius, so by the pigeonhole rule every code within the Hamming radius R
+is retrieved: with m substrings and R = m*r + a, two codes within R agree up to r bits in one of the first a+1
+substrings, or up to r-1 bits in one of the others.  Probes meet the index in one join, for all queries at once; values
+that very many vectors share are split.  What is retrieved is checked by the distance of whole codes, then reranked by
+the vectors themselves.
+
+R, the number of substrings in use and the bound on whole codes are set so that they cover a share of the true
+neighbours of a bounded set of trial queries, which are compared with all vectors once.  Queries that end with fewer
+than k neighbours are compared with all vectors, so nothing is lost to the radius there.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgrid.llm.common import checkpointed, col
+from newsgrid.operators.rank import small
 
-BITS = 256
-SUB = 16
-#: Rows at most that the rotations are fitted on, trial queries at most for the radius, queries in a block.
-FIT_ROWS, TRIALS, BLOCK = 8192, 128, 8192
-RADIUS_SHARE = 0.97
+#: Numbers of substrings that are tried; the largest is what codes hold.
+TABLES = (32, 64, 128)
+#: Rows at most that the rotations are fitted on, trial queries at most, queries at most that are compared with all vectors at a time.
+FIT_ROWS, TRIALS, BLOCK = 8192, 128, 4096
+#: Shares of the trials' true neighbours that the probes and the bound on whole codes cover.
+RETRIEVED, WITHIN = 0.96, 0.99
+#: Vectors with the same value of a substring that one task meets at most, about.
+CROWD = 4096
 
 
 class Codes:
-    """The fitted model: mean and projection (dims x BITS)."""
+    """The fitted model: mean and projection (dims x tables*sub)."""
 
-    def __init__(self, sample: np.ndarray, bits: int = BITS, rounds: int = 30, seed: int = 42) -> None:
+    def __init__(self, sample: np.ndarray, tables: int, sub: int, rounds: int = 15, seed: int = 42) -> None:
         rng = np.random.default_rng(seed)
+        self.tables, self.sub, bits = tables, sub, tables * sub
         self.mean = sample.mean(axis=0)
         centred = sample - self.mean
         _, axes = np.linalg.eigh(centred.T @ centred)
@@ -48,108 +61,142 @@ class Codes:
         self.projection = np.concatenate(parts, axis=1)[:, :bits]
 
     def substrings(self, vectors: np.ndarray) -> np.ndarray:
-        """Codes as rows of 16-bit substrings."""
-        signs = (vectors - self.mean) @ self.projection > 0
-        return np.packbits(signs, axis=1).view(np.uint16)
-
-
-def usable(vectors: list, dims: int | None) -> np.ndarray:
-    """Which vectors take part: of the right length, all components finite, not all zero."""
-    out = np.zeros(len(vectors), dtype=bool)
-    for i, v in enumerate(vectors):
-        if v is not None and (dims is None or len(v) == dims) and len(v) and None not in v:
-            a = np.asarray(v, dtype=np.float64)
-            out[i] = np.isfinite(a).all() and a.any()
-    return out
+        """Codes as rows of substrings, each a number of `sub` bits."""
+        out = np.empty((len(vectors), self.tables), dtype=np.int32)
+        weights = (1 << np.arange(self.sub)).astype(np.float64)
+        for i in range(0, len(vectors), 2048):
+            signs = (vectors[i : i + 2048] - self.mean) @ self.projection > 0
+            out[i : i + 2048] = signs.reshape(-1, self.tables, self.sub) @ weights
+        return out
 
 
-def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """The usable rows of an array column: their places and their values as doubles."""
-    lists = column.to_pylist()
-    keep = usable(lists, dims)
-    rows = [v for v, k in zip(lists, keep) if k]
-    return np.flatnonzero(keep), np.array(rows, dtype=np.float64).reshape(len(rows), dims)
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ, substring by substring."""
+    return np.bitwise_count((a ^ b).astype(np.uint32)).astype(np.int32)
 
 
-def candidates(index: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) whose codes differ in `radius` bits at most, by probing the substring indexes.
+def reach(differing: np.ndarray) -> np.ndarray:
+    """The least radius R that retrieves a code whose substrings differ by so many bits (last axis: the substrings)."""
+    m = differing.shape[-1]
+    return (m * differing + np.arange(m)).min(axis=-1)
 
-    With m substrings and radius = m*r + a, two codes within it agree up to r bits in one of the first a+1 substrings,
-    or up to r-1 bits in one of the others.  A probe compares the query's substring with the values that the index
-    holds, as many probes would otherwise meet no entry.
-    """
-    m = index.shape[1]
-    r, a = divmod(radius, m)
-    hit = np.zeros((len(queries), len(index)), dtype=bool)
-    for j in range(m):
-        reach = r if j <= a else r - 1
-        if reach < 0:
-            continue
-        values, where = np.unique(index[:, j], return_inverse=True)
-        hit |= (np.bitwise_count(queries[:, j, None] ^ values[None, :]) <= reach)[:, where]
-    q, x = np.nonzero(hit)
-    if not len(q):
-        return q, x
-    wide_i, wide_q = index.copy().view(np.uint64), queries.copy().view(np.uint64)
-    near = sum(np.bitwise_count(wide_q[q, w] ^ wide_i[x, w]).astype(np.int32) for w in range(wide_i.shape[1])) <= radius
-    return q[near], x[near]
 
+def radii(radius: int, tables: int) -> list[int]:
+    """The radius of each substring, -1 where it is not probed."""
+    r, a = divmod(radius, tables)
+    return [r if j <= a else r - 1 for j in range(tables)]
+
+
+def ball(sub: int, radius: int) -> list[int]:
+    """All numbers of `sub` bits with up to `radius` of them set, the fewest first."""
+    return [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(sub), n)]
+
+
+def _ball_size(sub: int, radius: int) -> int:
+    return sum(math.comb(sub, n) for n in range(radius + 1))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """An array column of equal lengths, without nulls, as doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
-def _best(q: np.ndarray, score: np.ndarray, ids: np.ndarray, extra: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    order = np.lexsort((ids, score, q))
-    q, score, ids, extra = q[order], score[order], ids[order], extra[order]
-    first = np.searchsorted(q, q, side="left")
-    keep = np.arange(len(q)) - first < k
-    return q[keep], score[keep], ids[keep], extra[keep]
 
+def _usable(x: Column, dims: int) -> Column:
+    number = lambda v: v.cast("double")
+    good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(number(v)) & (F.abs(number(v)) < float("inf"))) & F.exists(x, lambda v: v != 0)
+    return (F.size(x) == dims) & F.coalesce(good, F.lit(False))
 
-def scan(shared, k: int) -> Callable:
-    """Task body: `shared` is a broadcast (model, query ids, query vectors, radius or None)."""
 
+def _encode(model: Codes) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, q_ids, q_vectors, radius = shared.value
-        q_codes = model.substrings(q_vectors)
-        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
         for batch in batches:
-            for cut in range(0, batch.num_rows, 4096):
-                part = batch.slice(cut, 4096)
-                places, x = _matrix(part.column(1), q_vectors.shape[1])
-                known = np.array(part.column(0).is_valid().to_numpy(zero_copy_only=False))[places]
-                x, ids = x[known], part.column(0).fill_null(0).to_numpy(zero_copy_only=False)[places][known]
-                if not len(x):
-                    continue
-                codes = model.substrings(x)
-                for lo in range(0, len(q_ids), 256):
-                    qc = q_codes[lo : lo + 256]
-                    q, r = candidates(codes, qc, radius) if radius is not None else (a.ravel() for a in np.indices((len(qc), len(x))))
-                    other = q_ids[lo + q] != ids[r]
-                    q, r = q[other] + lo, r[other]
-                    score = np.empty(len(q))
-                    for s in range(0, len(q), 16384):
-                        d = x[r[s : s + 16384]] - q_vectors[q[s : s + 16384]]
-                        score[s : s + 16384] = np.sqrt((d * d).sum(axis=1))
-                    bits = np.zeros(len(q), np.int64)
-                    if radius is None:
-                        for s in range(0, len(q), 65536):
-                            bits[s : s + 65536] = np.bitwise_count(q_codes[q[s : s + 65536]] ^ codes[r[s : s + 65536]]).sum(axis=1)
-                    got = _best(q, score, ids[r], bits, k)
-                    best = tuple(np.concatenate(p) for p in zip(best, got))
-                best = _best(*best, k)
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]]), pa.array(best[2]), pa.array(best[1]), pa.array(best[3])], names=["query_id", "vec_id", "score", "bits"])
+            codes = model.substrings(_matrix(batch.column(1)))
+            offsets = pa.array(np.arange(0, codes.size + 1, model.tables, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))], names=["id", "code"])
 
     return run
 
 
-_FOUND = "query_id long, vec_id long, score double, bits long"
+def compare_all(points: DataFrame, queries: list, model: Codes, k: int) -> DataFrame:
+    """(query_id, vec_id, score, differing): the k nearest rows of each of a block of queries (id, vector), by comparing them
+    with all points (x, ids); each task keeps the k best of each query.  differing: bits by substring."""
+    spark = points.sparkSession
+    shared = spark.sparkContext.broadcast((model, np.array([r[0] for r in queries], dtype=np.int64), np.array([r[1] for r in queries], dtype=np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, q_ids, q_vectors = shared.value
+        q_codes = model.substrings(q_vectors)
+        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros((0, model.tables), np.int32))
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            x = _matrix(batch.column(0))
+            codes = model.substrings(x)
+            # rows of each point: its ids, as often as they are there (k times at most)
+            entries = [(i, e["vec_id"]) for i, ids in enumerate(batch.column(1).to_pylist()) for e in ids for _ in range(min(k, e["copies"]))]
+            of, ids = (np.array(c, dtype=np.int64) for c in zip(*entries))
+            for lo in range(0, len(q_ids), 64):
+                some = q_vectors[lo : lo + 64]
+                score = np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for v in some])[:, of]
+                score[q_ids[lo : lo + 64, None] == ids[None, :]] = np.inf
+                take = np.argpartition(score, min(k, score.shape[1]) - 1, axis=1)[:, :k]
+                # ties at the k-th place go to the smaller id, so all entries up to its score count
+                edge = np.take_along_axis(score, take, axis=1).max(axis=1)
+                q, e = np.nonzero((score <= edge[:, None]) & np.isfinite(score))
+                got = (q + lo, score[q, e], ids[e], apart(q_codes[q + lo], codes[of[e]]))
+                best = _best(*(np.concatenate(p) for p in zip(best, got)), k)
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]]), pa.array(best[2]), pa.array(best[1]), pa.array(best[3].tolist(), pa.list_(pa.int32()))], names=["query_id", "vec_id", "score", "differing"])
+
+    found = points.select("x", "ids").mapInArrow(run, "query_id long, vec_id long, score double, differing array<int>")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-def _search(vectors: DataFrame, queries: list, model: Codes, radius: int | None, k: int) -> DataFrame:
-    spark = vectors.sparkSession
-    ids = np.array([r[0] for r in queries], dtype=np.int64)
-    shared = spark.sparkContext.broadcast((model, ids, np.array([r[1] for r in queries], dtype=np.float64), radius))
-    found = vectors.mapInArrow(scan(shared, k), _FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+def _best(q: np.ndarray, score: np.ndarray, ids: np.ndarray, extra: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((ids, score, q))
+    q, score, ids, extra = q[order], score[order], ids[order], extra[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+    return q[keep], score[keep], ids[keep], extra[keep]
+
+
+def fit(sample: np.ndarray, queries: np.ndarray, differing: np.ndarray, model: Codes, n: int, n_queries: int) -> tuple[int, int, int]:
+    """(tables, radius, bound): for each number of substrings the radius that covers RETRIEVED of the trials' neighbours
+    (differing: theirs), of which the cheapest is taken: index rows, probes and retrieved rows."""
+    q_codes, codes, found = model.substrings(queries), model.substrings(sample[:1024]), []
+    for m in (t for t in TABLES if t <= model.tables):
+        radius = int(np.quantile(reach(differing[:, :m]), RETRIEVED, method="higher"))
+        bound = int(np.quantile(differing[:, :m].sum(axis=1), WITHIN, method="higher"))
+        share = np.mean([(reach(apart(codes[:, :m], c[:m])) <= radius).mean() for c in q_codes])
+        probes = sum(_ball_size(model.sub, r) for r in radii(radius, m))
+        found.append((n * m + n_queries * (probes + share * n), m, radius, bound))
+    return min(found)[1:]
+
+
+def retrieve(index: DataFrame, asked: DataFrame, model: Codes, tables: int, radius: int) -> DataFrame:
+    """(q, v), each once: all vectors (id v, code) whose code lies within the Hamming radius of a query's (id q, code), and
+    those that the probes meet besides.  Only the first `tables` substrings are used."""
+    reachable = radii(radius, tables)
+    used = sum(r >= 0 for r in reachable)
+    rows = lambda t, n: t.select(n, F.posexplode(F.slice("code", 1, used)).alias("j", "value"))
+    big, less = _ball_size(model.sub, reachable[0]), _ball_size(model.sub, max(reachable[0] - 1, 0))
+    masks = F.from_json(F.lit(json.dumps(ball(model.sub, reachable[0]))), "array<int>")
+    first = radius % tables + 1  # substrings with the larger radius
+    mine = F.when(F.col("j") < first, F.lit(big)).otherwise(F.lit(less))
+    entries = rows(index, "v")
+    probes = rows(asked, "q").select("q", "j", "value", F.explode(F.slice(masks, F.lit(1), mine)).alias("mask")).select("q", "j", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    crowds = checkpointed(entries.groupBy("j", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("j", "value", F.ceil(F.col("n") / CROWD).cast("int").alias("parts")))
+    on = ["j", "value"]
+    if not crowds.isEmpty():
+        parts = F.coalesce("parts", F.lit(1))
+        entries = entries.join(small(crowds), on, "left").select("v", *on, F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"))
+        probes = probes.join(small(crowds), on, "left").select("q", *on, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        on = [*on, "part"]
+    return entries.join(probes, on).select("q", "v").repartition("v").distinct()
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(q, ids, x, y) -> (q, ids, score), the Euclidean distance of x and y in doubles."""
+    for batch in batches:
+        d = _matrix(batch.column(2)) - _matrix(batch.column(3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt((d * d).sum(axis=1)))], names=["q", "ids", "score"])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
@@ -159,46 +206,56 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, seed: int = 42)
     zero, of another length than most of the sample, or holds null or non-finite parts, take no part.  A row is never
     its own query's neighbour; rows with a query's vec_id are not either.  Query rows that repeat a vec_id are one
     query (the least vector).  Repeated candidate rows are candidates each.  Ties go to the smaller vec_id.
+
+    Equal vectors are one point of the index with the k+1 smallest ids, and one query, however many rows they have.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    vectors = vectors.select(col("vec_id").cast("long"), col("embedding"))
-    queries = queries.select(col("vec_id").cast("long"), col("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    # bounded: FIT_ROWS rows
-    sample = [r[1] for r in vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(FIT_ROWS).collect()]
-    sample = [v for v, ok in zip(sample, usable(sample, None)) if ok]
-    if not sample:
+    rows = lambda t: t.select(col("vec_id").cast("long").alias("vec_id"), col("embedding").alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
+    known, queries = rows(vectors), rows(queries)
+    whole = F.size("x") > 0
+    lengths = known.filter(whole & _usable(F.col("x"), F.size("x"))).select(F.xxhash64(F.lit(seed), "vec_id").alias("h"), "vec_id", F.size("x").alias("n")).orderBy("h", "vec_id").limit(FIT_ROWS).groupBy("n").count().collect()
+    if not lengths:
         return empty
-    lengths = [len(v) for v in sample]
-    dims = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    model = Codes(np.array([v for v in sample if len(v) == dims], dtype=np.float64), seed=seed)
-    good = F.size("embedding") == dims
-    good = good & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    asked = queries.filter(good).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n = asked.count()
-    if not n:
+    dims = max((r["count"], r["n"]) for r in lengths)[1]
+    good = _usable(F.col("x"), dims)
+    same = known.filter(good).groupBy("x", "vec_id").agg(F.count(F.lit(1)).alias("copies"))
+    least = same.withColumn("place", F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
+    points = least.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("vec_id", "copies"))).alias("ids"))  # k + 1 at most
+    points = checkpointed(points.withColumn("v", F.monotonically_increasing_id()))
+    links = queries.filter(good).groupBy("vec_id").agg(F.min("x").alias("x"))
+    asked = checkpointed(links.select("x").distinct().withColumn("q", F.monotonically_increasing_id()))
+    links = checkpointed(links.join(asked, "x").select(F.col("vec_id").alias("query_id"), "q"))
+    n, n_queries = points.count(), asked.count()
+    if not n or not n_queries:
         return empty
-    trials = asked.orderBy(F.xxhash64(F.lit(seed + 1), "vec_id"), "vec_id").limit(TRIALS).collect()  # bounded: TRIALS rows
-    true = [r[0] for r in _search(vectors, trials, model, None, k).select("bits").collect()]
+    some = lambda t, most: t.orderBy(F.xxhash64(F.lit(seed), "x"), "x").limit(most)
+    sample = np.array([r["x"] for r in some(points.select("x"), FIT_ROWS).collect()], dtype=np.float64)  # bounded: FIT_ROWS rows
+    model = Codes(sample, max(TABLES), max(6, min(20, round(math.log2(n)))), seed=seed)
+    trials = some(asked.join(links, "q"), TRIALS).select("query_id", "x").collect()  # bounded: TRIALS rows
+    true = compare_all(points, trials, model, k).select("differing").collect()
     if not true:
         return empty
-    radius = int(np.quantile(true, RADIUS_SHARE, method="higher"))
-    blocks = max(1, round(2 * n / BLOCK + 0.5))
-    done = []
-    for i in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64(F.lit(seed + 2), "vec_id"), F.lit(blocks)) == i) if blocks > 1 else asked
-        rows = block.collect()  # about BLOCK / 2 rows
-        if not rows:
-            continue
-        found = checkpointed(_search(vectors, rows, model, radius, k))
-        full = {r[0] for r in found.filter(F.col("rank") == k).select("query_id").collect()}
-        short = [r for r in rows if r[0] not in full]
-        if short:
-            found = found.filter(~F.col("query_id").isin([r[0] for r in short])).union(_search(vectors, short, model, None, k))
-        done.append(found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
-    out = done[0] if done else empty
-    for more in done[1:]:
-        out = out.union(more)
+    tables, radius, bound = fit(sample, np.array([r["x"] for r in trials], dtype=np.float64), np.array([r[0] for r in true]), model, n, n_queries)
+    code = lambda t, i: t.join(t.select(i, "x").mapInArrow(_encode(model), "id long, code array<int>").withColumnRenamed("id", i), i)
+    index, probes = checkpointed(code(points, "v")), checkpointed(code(asked, "q"))
+    pairs = retrieve(index, probes, model, tables, radius)
+    bits = F.aggregate(F.slice(F.zip_with("code", "q_code", lambda a, b: F.bit_count(a.bitwiseXOR(b))), 1, tables), F.lit(0), lambda s, b: s + b)
+    both = pairs.join(index, "v").join(small(probes.select("q", F.col("x").alias("y"), F.col("code").alias("q_code")), 20_000), "q").filter(bits <= bound)
+    scored = both.select("q", "ids", "x", "y").mapInArrow(_scores, f"q long, ids {points.schema['ids'].dataType.simpleString()}, score double")
+    rows_ = scored.select("q", "score", F.explode("ids").alias("e")).select("q", "score", "e.*")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
+    top = rows_.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id", "copies"))).alias("near"))  # k + 1 at most
+    other = F.filter("near", lambda e: e["vec_id"] != F.col("query_id"))
+    each = F.slice(F.flatten(F.transform(other, lambda e: F.array_repeat(F.struct(e["vec_id"].alias("vec_id"), e["score"].alias("score")), F.least(e["copies"], F.lit(k)).cast("int")))), 1, k)
+    found = checkpointed(links.join(top, "q", "left").select("query_id", "q", F.coalesce(each, F.array().cast("array<struct<vec_id:bigint,score:double>>")).alias("near")))
+    out = found.filter(F.size("near") == k).select("query_id", F.posexplode("near").alias("rank", "e")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "e.vec_id", "e.score")
+    short = checkpointed(found.filter(F.size("near") < k).select("query_id", "q").join(asked, "q").select("query_id", "x"))
+    blocks = -(-short.count() // (BLOCK // 2))
+    for b in range(blocks):
+        block = short.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()  # about BLOCK / 2 queries
+        if block:
+            out = out.union(checkpointed(compare_all(points, block, model, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")))
     return out
 
 

@@ -40,18 +40,59 @@ def test_odd_vectors(spark):
     assert ann.op6_ann(v.filter("vec_id IN (3, 4, 200)")).count() == 0
 
 
-def test_pigeonhole_finds_every_code():
+def test_pigeonhole_finds_every_code(spark, monkeypatch):
+    """The join of probes and index finds every code within the radius, whether values are split or not."""
     rng = np.random.default_rng(1)
-    index, queries = rng.integers(0, 1 << 16, (300, 16), dtype=np.uint16), rng.integers(0, 1 << 16, (20, 16), dtype=np.uint16)
-    index[:20] = queries ^ np.uint16(5)
-    distance = np.bitwise_count(queries[:, None] ^ index[None]).sum(axis=2)
-    for radius in (0, 7, 16, 31, 32, 105, 128):
-        q, x = ann.candidates(index, queries, radius)
-        assert set(zip(q.tolist(), x.tolist())) == set(zip(*(a.tolist() for a in np.nonzero(distance <= radius))))
-
-
-def test_blocks_agree(spark, monkeypatch):
-    v = spark.read.parquet(f"{SMALL}/embeddings.parquet").selectExpr("vec_id * 10 AS vec_id", "embedding")
-    whole = sorted(map(tuple, ann.op6_ann(v).collect()))
-    monkeypatch.setattr(ann, "BLOCK", 16)
-    assert sorted(map(tuple, ann.op6_ann(v).collect())) == whole
+    for tables, sub, radius in ((4, 8, 0), (4, 8, 3), (4, 8, 6), (6, 5, 11)):
+        model = type("M", (), {"sub": sub})
+        codes, asked = rng.integers(0, 1 << sub, (300, tables)), rng.integers(0, 1 << sub, (12, tables))
+        codes[:12] = asked ^ 1
+        codes[20:200, 0] = asked[0, 0]
+        table = lambda name, c: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(c)], f"{name} long, code array<int>")
+        differing = ann.apart(asked[:, None].astype(np.int32), codes[None].astype(np.int32))
+        within = set(zip(*(a.tolist() for a in np.nonzero(differing.sum(axis=2) <= radius))))
+        met = set(zip(*(a.tolist() for a in np.nonzero(ann.reach(differing) <= radius))))
+        for crowd in (4096, 10):
+            monkeypatch.setattr(ann, "CROWD", crowd)
+            rows = ann.retrieve(table("v", codes), table("q", asked), model, tables, radius).collect()
+            got = {(r.q, r.v) for r in rows}
+            assert len(rows) == len(got) and within <= got == met
+
+
+def test_most_vectors_are_pruned(spark):
+    """In clustered vectors the probes meet few of all pairs, and recall holds."""
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(60, 32)), 50, axis=0) + 0.25 * rng.normal(size=(3000, 32))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(np.float32).astype(float)
+    want, hits = by_hand(np.arange(3000), x), 0
+    got = {}
+    for r in ann.op6_ann(v).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[i] & set(near.tolist())) for i, (near, _) in want.items()) >= 0.9 * 10 * len(want)
+    model = ann.Codes(x, max(ann.TABLES), 12)
+    queries = [(int(i), x[i]) for i in range(0, 3000, 100)]
+    points = spark.createDataFrame([(r.tolist(), [(i, 1)]) for i, r in enumerate(x)], "x array<double>, ids array<struct<vec_id:bigint,copies:bigint>>")
+    true = np.array([r.differing for r in ann.compare_all(points, queries, model, 10).collect()])
+    tables, radius, _ = ann.fit(x, np.array([q for _, q in queries]), true, model, 3000, 30)
+    codes = model.substrings(x)[:, :tables]
+    assert np.mean([(ann.reach(ann.apart(codes, codes[i])) <= radius).mean() for i, _ in queries]) < 0.2
+
+
+def test_copies_and_short_queries(spark, monkeypatch):
+    """Very many equal vectors are one point; queries that find too few are compared with all vectors, in blocks."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 8))
+    x[100:300] = x[0]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.op6_ann(v).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got[0] == list(range(100, 110)) and got[100] == [0, *range(101, 110)] and got[200] == [0, *range(100, 109)]
+    monkeypatch.setattr(ann, "BLOCK", 2)
+    monkeypatch.setattr(ann, "WITHIN", 0.0)
+    monkeypatch.setattr(ann, "RETRIEVED", 0.0)
+    rows = {}
+    for r in sorted(ann.op6_ann(v.filter("vec_id < 100 OR vec_id >= 300")).collect(), key=lambda r: (r.query_id, r["rank"])):
+        rows.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(rows) == {0, 300} and all(len(set(r)) == 10 for r in rows.values())
