@@ -4,12 +4,12 @@ Model: the vectors' mean, principal axes and several learned rotations (each tur
 projected vectors near the corners of a cube), fitted on a bounded sample.  A vector's code is one sign bit for each
 rotated axis, cut into substrings of about log2(n) bits.
 
-Index: one row (substring number, value, vector) for every substring of every distinct vector.  A query probes each
-substring number with all values within its radius, so by the pigeonhole rule every code within the Hamming radius R
-is retrieved: with m substrings and R = m*r + a, two codes within R agree up to r bits in one of the first a+1
-substrings, or up to r-1 bits in one of the others.  Probes meet the index in one join, for all queries at once; values
-that very many vectors share are split.  What is retrieved is checked by the distance of whole codes, then reranked by
-the vectors themselves.
+Index: the distinct vectors lie in shards, and in a shard every substring number has a table from its values to vectors.
+A query probes each table with all values within its radius, so by the pigeonhole rule every code within the Hamming
+radius R is retrieved: with m substrings and R = m*r + a, two codes within R agree up to r bits in one of the first a+1
+substrings, or up to r-1 bits in one of the others.  What is retrieved is checked by the distance of whole codes, then
+reranked by the vectors themselves.  Codes are made once; a task holds one shard and one block of queries, both of
+bounded size, and gives the best of each query, so no pairs of queries and vectors leave it.
 
 R, the number of substrings in use and the bound on whole codes are set so that they cover a share of the true
 neighbours of a bounded set of trial queries, which are compared with all vectors once.  Queries that end with fewer
@@ -18,7 +18,6 @@ than k neighbours are compared with all vectors, so nothing is lost to the radiu
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
@@ -29,7 +28,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgrid.llm.common import checkpointed, col
-from newsgrid.operators.rank import small
 
 #: Numbers of substrings that are tried; the largest is what codes hold.
 TABLES = (32, 64, 128)
@@ -37,8 +35,8 @@ TABLES = (32, 64, 128)
 FIT_ROWS, TRIALS, BLOCK = 8192, 128, 4096
 #: Shares of the trials' true neighbours that the probes and the bound on whole codes cover.
 RETRIEVED, WITHIN = 0.96, 0.99
-#: Vectors with the same value of a substring that one task meets at most, about.
-CROWD = 4096
+#: Vectors in a shard and queries in a block, about; shards at least, so that all cores have work.
+SHARD, QUERIES, LEAST_SHARDS = 32768, 1024, 12
 
 
 class Codes:
@@ -166,37 +164,55 @@ def fit(sample: np.ndarray, queries: np.ndarray, differing: np.ndarray, model: C
         bound = int(np.quantile(differing[:, :m].sum(axis=1), WITHIN, method="higher"))
         share = np.mean([(reach(apart(codes[:, :m], c[:m])) <= radius).mean() for c in q_codes])
         probes = sum(_ball_size(model.sub, r) for r in radii(radius, m))
-        found.append((n * m + n_queries * (probes + share * n), m, radius, bound))
+        found.append((n * m + n_queries * (probes * max(1, n / SHARD) + share * n), m, radius, bound))
     return min(found)[1:]
 
 
-def retrieve(index: DataFrame, asked: DataFrame, model: Codes, tables: int, radius: int) -> DataFrame:
-    """(q, v), each once: all vectors (id v, code) whose code lies within the Hamming radius of a query's (id q, code), and
-    those that the probes meet besides.  Only the first `tables` substrings are used."""
-    reachable = radii(radius, tables)
-    used = sum(r >= 0 for r in reachable)
-    rows = lambda t, n: t.select(n, F.posexplode(F.slice("code", 1, used)).alias("j", "value"))
-    big, less = _ball_size(model.sub, reachable[0]), _ball_size(model.sub, max(reachable[0] - 1, 0))
-    masks = F.from_json(F.lit(json.dumps(ball(model.sub, reachable[0]))), "array<int>")
-    first = radius % tables + 1  # substrings with the larger radius
-    mine = F.when(F.col("j") < first, F.lit(big)).otherwise(F.lit(less))
-    entries = rows(index, "v")
-    probes = rows(asked, "q").select("q", "j", "value", F.explode(F.slice(masks, F.lit(1), mine)).alias("mask")).select("q", "j", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-    crowds = checkpointed(entries.groupBy("j", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("j", "value", F.ceil(F.col("n") / CROWD).cast("int").alias("parts")))
-    on = ["j", "value"]
-    if not crowds.isEmpty():
-        parts = F.coalesce("parts", F.lit(1))
-        entries = entries.join(small(crowds), on, "left").select("v", *on, F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"))
-        probes = probes.join(small(crowds), on, "left").select("q", *on, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        on = [*on, "part"]
-    return entries.join(probes, on).select("q", "v").repartition("v").distinct()
-
-
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(q, ids, x, y) -> (q, ids, score), the Euclidean distance of x and y in doubles."""
-    for batch in batches:
-        d = _matrix(batch.column(2)) - _matrix(batch.column(3))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt((d * d).sum(axis=1)))], names=["q", "ids", "score"])
+def retrieve(codes: np.ndarray, asked: np.ndarray, sub: int, radius: int) -> np.ndarray:
+    """(queries x vectors) whether the probes of a query's substrings meet the vector: all codes within the radius, and others."""
+    hit = np.zeros((len(asked), len(codes)), dtype=bool)
+    masks = np.array(ball(sub, radii(radius, codes.shape[1])[0]), dtype=np.int32)
+    for j, r in enumerate(radii(radius, codes.shape[1])):
+        if r < 0:
+            break
+        order = np.argsort(codes[:, j], kind="stable")
+        starts = np.searchsorted(codes[order, j], np.arange((1 << sub) + 1)).astype(np.int32)
+        mine = masks[: _ball_size(sub, r)]
+        for lo in range(0, len(asked), 256):
+            values = asked[lo : lo + 256, j, None] ^ mine[None, :]
+            first, n = starts[values], starts[values + 1] - starts[values]
+            q, probe = np.nonzero(n)
+            first, n = first[q, probe], n[q, probe]
+            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            hit[lo + np.repeat(q, n), order[at]] = True
+    return hit
+
+
+def _search(model: Codes, tables: int, radius: int, bound: int, k: int) -> Callable:
+    """Cell body: a shard of points (x, ids, code) and a block of queries (q, y, q_code) -> the k best entries of each query."""
+
+    def run(points: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if points.num_rows and asked.num_rows:
+            x, y = (_matrix(t.column(c).combine_chunks()) for t, c in ((points, "x"), (asked, "y")))
+            codes, q_codes = (_matrix(t.column(c).combine_chunks()).astype(np.int32) for t, c in ((points, "code"), (asked, "q_code")))
+            ids, q_ids = points.column("ids").combine_chunks(), asked.column("q").to_numpy()
+            hit = retrieve(codes, q_codes, model.sub, radius)
+            for i in range(len(y)):
+                rows = np.flatnonzero(hit[i])
+                rows = rows[apart(q_codes[i], codes[rows]).sum(axis=1) <= bound]
+                d = x[rows] - y[i]
+                score = np.sqrt((d * d).sum(axis=1))
+                if len(rows) > k:  # all points up to the score of the k-th may give an entry
+                    near = score <= np.partition(score, k - 1)[k - 1]
+                    rows, score = rows[near], score[near]
+                entries = sorted((s, e["vec_id"], e["copies"]) for r, s in zip(rows.tolist(), score.tolist()) for e in ids[r].as_py())
+                out += [(int(q_ids[i]), *e) for e in entries[:k]]
+        columns = list(zip(*out)) or [()] * 4
+        types = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["q", "score", "vec_id", "copies"])
+
+    return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
@@ -239,11 +255,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, seed: int = 42)
     tables, radius, bound = fit(sample, np.array([r["x"] for r in trials], dtype=np.float64), np.array([r[0] for r in true]), model, n, n_queries)
     code = lambda t, i: t.join(t.select(i, "x").mapInArrow(_encode(model), "id long, code array<int>").withColumnRenamed("id", i), i)
     index, probes = checkpointed(code(points, "v")), checkpointed(code(asked, "q"))
-    pairs = retrieve(index, probes, model, tables, radius)
-    bits = F.aggregate(F.slice(F.zip_with("code", "q_code", lambda a, b: F.bit_count(a.bitwiseXOR(b))), 1, tables), F.lit(0), lambda s, b: s + b)
-    both = pairs.join(index, "v").join(small(probes.select("q", F.col("x").alias("y"), F.col("code").alias("q_code")), 20_000), "q").filter(bits <= bound)
-    scored = both.select("q", "ids", "x", "y").mapInArrow(_scores, f"q long, ids {points.schema['ids'].dataType.simpleString()}, score double")
-    rows_ = scored.select("q", "score", F.explode("ids").alias("e")).select("q", "score", "e.*")
+    shards, blocks = max(LEAST_SHARDS, -(-n // SHARD)), -(-n_queries // QUERIES)
+    part = lambda c, seed_, parts: F.pmod(F.xxhash64(F.lit(seed_), c), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    cells = index.select("x", "ids", F.slice("code", 1, tables).alias("code"), part("v", seed + 3, shards).alias("shard"), every(blocks).alias("block")).groupBy("shard", "block")
+    others = probes.select("q", F.col("x").alias("y"), F.slice("code", 1, tables).alias("q_code"), part("q", seed + 4, blocks).alias("block"), every(shards).alias("shard")).groupBy("shard", "block")
+    rows_ = cells.cogroup(others).applyInArrow(_search(model, tables, radius, bound, k + 1), "q long, score double, vec_id long, copies long")
     place = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
     top = rows_.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id", "copies"))).alias("near"))  # k + 1 at most
     other = F.filter("near", lambda e: e["vec_id"] != F.col("query_id"))
@@ -251,9 +268,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, seed: int = 42)
     found = checkpointed(links.join(top, "q", "left").select("query_id", "q", F.coalesce(each, F.array().cast("array<struct<vec_id:bigint,score:double>>")).alias("near")))
     out = found.filter(F.size("near") == k).select("query_id", F.posexplode("near").alias("rank", "e")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "e.vec_id", "e.score")
     short = checkpointed(found.filter(F.size("near") < k).select("query_id", "q").join(asked, "q").select("query_id", "x"))
-    blocks = -(-short.count() // (BLOCK // 2))
-    for b in range(blocks):
-        block = short.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()  # about BLOCK / 2 queries
+    turns = -(-short.count() // (BLOCK // 2))
+    for b in range(turns):
+        block = short.filter(part("query_id", seed + 5, turns) == b).collect()  # about BLOCK / 2 queries
         if block:
             out = out.union(checkpointed(compare_all(points, block, model, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")))
     return out

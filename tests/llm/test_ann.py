@@ -40,23 +40,16 @@ def test_odd_vectors(spark):
     assert ann.op6_ann(v.filter("vec_id IN (3, 4, 200)")).count() == 0
 
 
-def test_pigeonhole_finds_every_code(spark, monkeypatch):
-    """The join of probes and index finds every code within the radius, whether values are split or not."""
+def test_pigeonhole_finds_every_code():
+    """The probes of the substring tables find every code within the radius."""
     rng = np.random.default_rng(1)
-    for tables, sub, radius in ((4, 8, 0), (4, 8, 3), (4, 8, 6), (6, 5, 11)):
-        model = type("M", (), {"sub": sub})
-        codes, asked = rng.integers(0, 1 << sub, (300, tables)), rng.integers(0, 1 << sub, (12, tables))
-        codes[:12] = asked ^ 1
+    for tables, sub, radius in ((4, 8, 0), (4, 8, 3), (4, 8, 6), (6, 5, 11), (32, 12, 70)):
+        codes, asked = (rng.integers(0, 1 << sub, (n, tables)).astype(np.int32) for n in (400, 300))
+        codes[:12] = asked[:12] ^ 1
         codes[20:200, 0] = asked[0, 0]
-        table = lambda name, c: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(c)], f"{name} long, code array<int>")
-        differing = ann.apart(asked[:, None].astype(np.int32), codes[None].astype(np.int32))
-        within = set(zip(*(a.tolist() for a in np.nonzero(differing.sum(axis=2) <= radius))))
-        met = set(zip(*(a.tolist() for a in np.nonzero(ann.reach(differing) <= radius))))
-        for crowd in (4096, 10):
-            monkeypatch.setattr(ann, "CROWD", crowd)
-            rows = ann.retrieve(table("v", codes), table("q", asked), model, tables, radius).collect()
-            got = {(r.q, r.v) for r in rows}
-            assert len(rows) == len(got) and within <= got == met
+        differing = ann.apart(asked[:, None], codes[None])
+        met = ann.retrieve(codes, asked, sub, radius)
+        assert (met == (ann.reach(differing) <= radius)).all() and met[differing.sum(axis=2) <= radius].all()
 
 
 def test_most_vectors_are_pruned(spark):
@@ -90,6 +83,8 @@ def test_copies_and_short_queries(spark, monkeypatch):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got[0] == list(range(100, 110)) and got[100] == [0, *range(101, 110)] and got[200] == [0, *range(100, 109)]
     monkeypatch.setattr(ann, "BLOCK", 2)
+    monkeypatch.setattr(ann, "QUERIES", 1)
+    monkeypatch.setattr(ann, "SHARD", 9)
     monkeypatch.setattr(ann, "WITHIN", 0.0)
     monkeypatch.setattr(ann, "RETRIEVED", 0.0)
     rows = {}
