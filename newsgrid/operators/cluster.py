@@ -6,6 +6,8 @@ With `by`, the items of each value of that column are clustered by themselves.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,9 +16,12 @@ from newsgrid import vocab
 from newsgrid.checkpoint import checkpointed
 from newsgrid.functions import similarity, text
 from newsgrid.operators.components import connected_components
-from newsgrid.operators.dedupe import item_order
+from newsgrid.operators.rank import small
 from newsgrid.operators.tfidf import cosine_pairs, tfidf
 
+#: Rows of features, which may hold long lists, that are sent to all tasks at most.
+FEATURE_ROWS = 20_000
+
 
 def item_text() -> Column:
     return F.trim(F.concat_ws(" ", F.coalesce("headline", F.lit("")), F.coalesce("excerpt", F.lit(""))))
@@ -40,7 +45,7 @@ def features(items: DataFrame, municipalities: DataFrame | None = None, key: str
 def pair_features(pairs: DataFrame, feats: DataFrame, key: str = "item_id", weights: dict[str, float] | None = None, hours: float = vocab.CLUSTER_HOURS) -> DataFrame:
     """Pairs (a, b, cosine) with location, entity, time and score, those without genuine overlap left out."""
     side = lambda n: feats.select(F.col(key).alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("entities", "places", "locations", "published_at")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(small(side("a"), FEATURE_ROWS), "a").join(small(side("b"), FEATURE_ROWS), "b")
     out = both.withColumns({
         "location": similarity.location_similarity(F.col("locations_a"), F.col("locations_b")),
         "entity": similarity.entity_similarity(F.col("entities_a"), F.col("entities_b"), F.concat("places_a", "places_b")),
@@ -53,52 +58,83 @@ def pair_features(pairs: DataFrame, feats: DataFrame, key: str = "item_id", weig
 def scored_pairs(items: DataFrame, municipalities: DataFrame | None = None, by: str | None = None, weights: dict[str, float] | None = None, hours: float = vocab.CLUSTER_HOURS) -> DataFrame:
     vectors = checkpointed(tfidf(items.withColumn("_text", item_text()), "item_id", "_text", by))
     pairs = cosine_pairs(vectors, "item_id", vocab.TEXT_WITH_ENTITY, by)
-    return pair_features(pairs, features(items, municipalities, by=by), weights=weights, hours=hours)
-
-
-def _assign(group: pd.DataFrame, hours: float) -> pd.DataFrame:
-    """Items of one component in order: each joins the open cluster with its best link (the earliest of equals), else starts one."""
-    of, last, out = {}, {}, []
-    for r in group.sort_values("place").itertuples():
-        scores: dict = {}
-        for n in r.near:
-            c = of.get(n["id"])
-            dated = c is not None and r.at == r.at and last[c] == last[c]
-            if c is not None and not (dated and abs(r.at - last[c]) / 3600 > hours):
-                scores[c] = max(scores.get(c, 0.0), n["score"])
-        cluster = min(scores, key=lambda c: (-scores[c], c)) if scores else (r.place, r.item_id)
-        of[r.item_id] = cluster
-        known = last.get(cluster, float("nan"))
-        last[cluster] = r.at if known != known else known if r.at != r.at else max(known, r.at)
-        out.append((r.item_id, cluster[1]))
-    return pd.DataFrame(out, columns=["item_id", "seed_id"])
+    return pair_features(pairs, checkpointed(features(items, municipalities, by=by)), weights=weights, hours=hours)
+
+
+def _assign(hours: float):
+    """Rows of items, each followed by its links to earlier items, in order within each component: an item joins the open
+    cluster with its best link (the earliest of equals), else starts one.  Only items of open clusters are held."""
+
+    class State:
+        def __init__(self) -> None:
+            self.of, self.last, self.n, self.pruned = {}, {}, 0, 1000
+
+        def closed(self, cluster: tuple, at: float) -> bool:
+            return at == at and self.last[cluster] == self.last[cluster] and abs(at - self.last[cluster]) / 3600 > hours
+
+        def place(self, item: int, at: float, near: list[tuple]) -> int:
+            scores: dict = {}
+            for other, score in near:
+                c = self.of.get(other)
+                if c is not None and not self.closed(c, at):
+                    scores[c] = max(scores.get(c, 0.0), score)
+            self.n += 1
+            cluster = min(scores, key=lambda c: (-scores[c], c)) if scores else (self.n, item)
+            self.of[item] = cluster
+            known = self.last.get(cluster, float("nan"))
+            self.last[cluster] = at if known != known else known if at != at else max(known, at)
+            if len(self.of) > self.pruned:  # dates only grow, so a closed cluster stays closed
+                self.of = {i: c for i, c in self.of.items() if not self.closed(c, at)}
+                self.last = {c: t for c, t in self.last.items() if not self.closed(c, at)}
+                self.pruned = max(1000, 2 * len(self.of))
+            return cluster[1]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        component, state, item, at, near = None, State(), None, 0.0, []
+        for part in parts:
+            out = []
+            for r in part.itertuples(index=False):
+                if r.other != r.other:  # an item; links carry the other end
+                    if item is not None:
+                        out.append((item, state.place(item, at, near)))
+                    if r.component != component:
+                        component, state = r.component, State()
+                    item, at, near = r.item_id, r.at, []
+                else:
+                    near.append((int(r.other), r.score))
+            yield pd.DataFrame(out, columns=["item_id", "seed_id"])
+        if item is not None:
+            yield pd.DataFrame([(item, state.place(item, at, near))], columns=["item_id", "seed_id"])
+
+    return run
 
 
 def cluster_items(items: DataFrame, threshold: float = vocab.CLUSTER_THRESHOLD, hours: float = vocab.CLUSTER_HOURS, weights: dict[str, float] | None = None, municipalities: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """(item_id, seed_id, event_id): the cluster of each item, named after the item that started it.
 
     Only links at or above the threshold can join an item to a cluster, so the ordered rule runs on each component of
-    such links by itself; items without one are clusters of their own.
+    such links by itself; items without one are clusters of their own.  The rule is sequential: a component's items and
+    links stream through one task in order, which holds the items of open clusters only.
     """
     links = checkpointed(scored_pairs(items, municipalities, by, weights, hours).filter(F.col("score") >= threshold).select("a", "b", "score"))
-    groups = connected_components(links)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    near = both.groupBy(F.col("a").alias("item_id")).agg(F.collect_list(F.struct(F.col("b").alias("id"), "score")).alias("near"))
-    slim = items.select("item_id", "url", "published_at", (F.unix_micros(F.col("published_at").cast("timestamp")) / 1e6).alias("at"))
-    linked = slim.join(groups.select(F.col("node").alias("item_id"), "component"), "item_id").join(near, "item_id")
-    place = F.row_number().over(Window.partitionBy("component").orderBy(*item_order()))
-    decided = linked.select("component", "item_id", "at", "near", place.alias("place")).groupBy("component").applyInPandas(lambda g: _assign(g, hours), "item_id long, seed_id long")
+    groups = connected_components(links).withColumnRenamed("node", "item_id")
+    slim = checkpointed(items.select("item_id", "url", "published_at", (F.unix_micros(F.col("published_at").cast("timestamp")) / 1e6).alias("at")))
+    linked = checkpointed(slim.join(groups, "item_id").select("component", F.struct("published_at", "url", "item_id").alias("order"), "item_id", "at"))
+    side = lambda n: linked.select(F.col("item_id").alias(n), F.struct("order", "at", "component").alias(f"at_{n}"))
+    both = links.join(side("a"), "a").join(side("b"), "b")
+    later = F.when(F.col("at_a.order") > F.col("at_b.order"), F.struct(F.col("at_a").alias("its"), F.col("a").alias("item_id"), F.col("b").alias("other"))).otherwise(F.struct(F.col("at_b").alias("its"), F.col("b").alias("item_id"), F.col("a").alias("other")))
+    back = both.select(later.alias("x"), "score").select("x.its.component", "x.its.order", "x.item_id", "x.its.at", F.col("x.other").cast("double").alias("other"), "score")
+    rows = linked.withColumns({"other": F.lit(None).cast("double"), "score": F.lit(None).cast("double")}).unionByName(back)
+    ordered = rows.repartition("component").sortWithinPartitions("component", "order", F.col("other").asc_nulls_first()).select("component", "item_id", "at", "other", "score")
+    decided = ordered.mapInPandas(_assign(hours), "item_id long, seed_id long")
     every = slim.select("item_id").join(decided, "item_id", "left").withColumn("seed_id", F.coalesce("seed_id", "item_id"))
     seeds = slim.select(F.col("item_id").alias("seed_id"), text.event_id(F.coalesce("url", F.col("item_id").cast("string"))).alias("event_id"))
     return every.join(seeds, "seed_id").select("item_id", "seed_id", "event_id")
 
 
-def _merge(group: pd.DataFrame, threshold: float, hours: float, w: dict[str, float]) -> pd.DataFrame:
-    """Clusters of one component, oldest first: each takes in the later ones that are like it, as it grows."""
-    rows = {r.event_id: dict(locs=[tuple(x[f] or "" for f in ("country", "admin1", "admin2", "city", "metro")) for x in r.locations], ents=set(r.entities), places=set(r.places), last=r.last_at) for r in group.itertuples()}
-    order = list(group.sort_values("place")["event_id"])
-    cosine = {(r.event_id, n["id"]): n["cosine"] for r in group.itertuples() for n in r.near}
-    into = {}
+def _merge(threshold: float, hours: float, w: dict[str, float]):
+    """Rows of clusters, each followed by its links to later clusters, oldest first within each component: a cluster takes
+    in the later ones that are like it, as it grows.  Only the growing cluster and the ids taken in are held."""
 
     def location(x: list, y: list) -> float:
         best = 0.0
@@ -109,24 +145,40 @@ def _merge(group: pd.DataFrame, threshold: float, hours: float, w: dict[str, flo
                     best = max(best, 1.0 if same[3] else 0.8 if same[2] or same[4] else 0.6 if same[1] else 0.4)
         return best
 
-    for i, a in enumerate(order):
-        if a in into:
-            continue
-        for b in order[i + 1 :]:
-            if b in into or (a, b) not in cosine:
-                continue
-            x, y, cos = rows[a], rows[b], cosine[a, b]
-            shared = (x["ents"] & y["ents"]) - x["places"] - y["places"]
-            entity = 0.0 if not shared else 1.0 if any(" " in e for e in shared) else min(1.0, 0.5 + 0.25 * (len(shared) - 1))
-            if not (cos >= vocab.TEXT_ALONE or (entity > 0 and cos >= vocab.TEXT_WITH_ENTITY)):
-                continue
-            known = x["last"] == x["last"] and y["last"] == y["last"]
-            time = max(0.0, 1 - abs(x["last"] - y["last"]) / 3600 / hours) if known else 0.5
-            if w["tfidf"] * cos + w["location"] * location(x["locs"], y["locs"]) + w["entity"] * entity + w["time"] * time >= threshold:
-                into[b] = a
-                x["locs"], x["places"] = x["locs"] + y["locs"], x["places"] | y["places"]
-                x["last"] = max(x["last"], y["last"]) if known else (x["last"] if x["last"] == x["last"] else y["last"])
-    return pd.DataFrame([(e, into.get(e, e)) for e in order], columns=["event_id", "survivor"])
+    def features(r) -> dict:
+        return {"locs": [tuple(x[f] or "" for f in ("country", "admin1", "admin2", "city", "metro")) for x in r.locations], "ents": set(r.entities), "places": set(r.places), "last": r.last_at}
+
+    def alike(x: dict, y: dict, cos: float) -> bool:
+        shared = (x["ents"] & y["ents"]) - x["places"] - y["places"]
+        entity = 0.0 if not shared else 1.0 if any(" " in e for e in shared) else min(1.0, 0.5 + 0.25 * (len(shared) - 1))
+        if not (cos >= vocab.TEXT_ALONE or (entity > 0 and cos >= vocab.TEXT_WITH_ENTITY)):
+            return False
+        known = x["last"] == x["last"] and y["last"] == y["last"]
+        time = max(0.0, 1 - abs(x["last"] - y["last"]) / 3600 / hours) if known else 0.5
+        return w["tfidf"] * cos + w["location"] * location(x["locs"], y["locs"]) + w["entity"] * entity + w["time"] * time >= threshold
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        component, into, x, name = None, {}, None, None
+        for part in parts:
+            out = []
+            for r in part.itertuples(index=False):
+                if r.later is None:
+                    if r.component != component:
+                        component, into = r.component, {}
+                    name = r.event_id
+                    survivor = into.pop(name, name)
+                    out.append((name, survivor))
+                    x = features(r) if survivor == name else None
+                elif x is not None and r.later not in into:
+                    y = features(r)
+                    if alike(x, y, r.cosine):
+                        into[r.later] = name
+                        known = x["last"] == x["last"] and y["last"] == y["last"]
+                        x["locs"], x["places"] = x["locs"] + y["locs"], x["places"] | y["places"]
+                        x["last"] = max(x["last"], y["last"]) if known else (x["last"] if x["last"] == x["last"] else y["last"])
+            yield pd.DataFrame(out, columns=["event_id", "survivor"])
+
+    return run
 
 
 def merge_clusters(members: DataFrame, threshold: float = vocab.MERGE_THRESHOLD, hours: float = vocab.CLUSTER_HOURS, weights: dict[str, float] | None = None) -> DataFrame:
@@ -140,13 +192,17 @@ def merge_clusters(members: DataFrame, threshold: float = vocab.MERGE_THRESHOLD,
     ordered = F.array_sort(F.collect_list(F.struct("published_at", "url", "item_id", item_text().alias("text"))))
     docs = checkpointed(members.groupBy("event_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"), F.flatten(F.collect_list("locations")).alias("locations"), F.min("published_at").alias("first"), (F.unix_micros(F.max("published_at").cast("timestamp")) / 1e6).alias("last_at")))
     pairs = checkpointed(cosine_pairs(checkpointed(tfidf(docs, "event_id", "text")), "event_id", floor))
-    groups = connected_components(pairs)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    near = both.groupBy(F.col("a").alias("event_id")).agg(F.collect_list(F.struct(F.col("b").alias("id"), "cosine")).alias("near"))
-    place = F.row_number().over(Window.partitionBy("component").orderBy(F.col("first").asc_nulls_first(), "event_id"))
-    rows = docs.join(groups.select(F.col("node").alias("event_id"), "component"), "event_id").join(near, "event_id")
-    rows = rows.select("component", "event_id", text.extract_entities(F.col("text")).alias("entities"), similarity.place_names(F.col("locations")).alias("places"), "locations", "last_at", "near", place.alias("place"))
-    merged = rows.groupBy("component").applyInPandas(lambda g: _merge(g, threshold, hours, w), "event_id string, survivor string")
+    groups = connected_components(pairs).withColumnRenamed("node", "event_id")
+    rows = docs.join(groups, "event_id").select("component", F.struct("first", "event_id").alias("order"), "event_id", text.extract_entities(F.col("text")).alias("entities"), similarity.place_names(F.col("locations")).alias("places"), "locations", "last_at")
+    rows = checkpointed(rows)
+    of = lambda n: rows.select(F.col("event_id").alias(n), F.col("order").alias(f"order_{n}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    low, high = (F.when((F.col("order_a") < F.col("order_b")) == first, F.struct(F.col("order_a").alias("order"), F.col("a").alias("id"))).otherwise(F.struct(F.col("order_b").alias("order"), F.col("b").alias("id"))) for first in (True, False))
+    ends = both.select(low.alias("low"), high.alias("high"), "cosine").select(F.col("low.order").alias("order"), F.col("low.id").alias("event_id"), F.col("high.order").alias("later_order"), F.col("high.id").alias("later"), "cosine")
+    links = ends.join(rows.drop("order").withColumnRenamed("event_id", "later"), "later")
+    heads = rows.withColumns({"later_order": F.lit(None).cast(rows.schema["order"].dataType), "later": F.lit(None).cast("string"), "cosine": F.lit(None).cast("double")})
+    ordered = heads.unionByName(links.select(*heads.columns)).repartition("component").sortWithinPartitions("component", "order", F.col("later_order").asc_nulls_first()).drop("order", "later_order")
+    merged = ordered.mapInPandas(_merge(threshold, hours, w), "event_id string, survivor string")
     return docs.select("event_id").join(merged, "event_id", "left").withColumn("survivor", F.coalesce("survivor", "event_id"))
 
 
