@@ -55,9 +55,14 @@ def pair_features(pairs: DataFrame, feats: DataFrame, key: str = "item_id", weig
     return out.select(*[c for c in pairs.columns], "location", "entity", "time", score.alias("score"))
 
 
-def scored_pairs(items: DataFrame, municipalities: DataFrame | None = None, by: str | None = None, weights: dict[str, float] | None = None, hours: float = vocab.CLUSTER_HOURS) -> DataFrame:
-    vectors = checkpointed(tfidf(items.withColumn("_text", item_text()), "item_id", "_text", by))
-    pairs = cosine_pairs(vectors, "item_id", vocab.TEXT_WITH_ENTITY, by)
+def scored_pairs(items: DataFrame, municipalities: DataFrame | None = None, by: str | None = None, weights: dict[str, float] | None = None, hours: float = vocab.CLUSTER_HOURS, least: float = 0.0) -> DataFrame:
+    """Pairs of items with their cosine, similarities and score; those that cannot reach a score of `least` may be left out."""
+    pairs = cosine_pairs(tfidf(items.withColumn("_text", item_text()), "item_id", "_text", by), "item_id", vocab.TEXT_WITH_ENTITY, by)
+    if least > 0:  # full marks for places and entities at best: dates alone rule many pairs out, before lists are joined
+        w = {**vocab.CLUSTER_WEIGHTS, **(weights or {})}
+        at = lambda n: small(items.select(F.col("item_id").alias(n), F.col("published_at").alias(f"t{n}")))
+        best = w["tfidf"] * F.col("cosine") + w["location"] + w["entity"] + w["time"] * similarity.time_similarity(F.col("ta"), F.col("tb"), hours)
+        pairs = pairs.join(at("a"), "a").join(at("b"), "b").filter(best >= least - 1e-9).drop("ta", "tb")
     return pair_features(pairs, checkpointed(features(items, municipalities, by=by)), weights=weights, hours=hours)
 
 
@@ -116,7 +121,7 @@ def cluster_items(items: DataFrame, threshold: float = vocab.CLUSTER_THRESHOLD,
     such links by itself; items without one are clusters of their own.  The rule is sequential: a component's items and
     links stream through one task in order, which holds the items of open clusters only.
     """
-    links = checkpointed(scored_pairs(items, municipalities, by, weights, hours).filter(F.col("score") >= threshold).select("a", "b", "score"))
+    links = checkpointed(scored_pairs(items, municipalities, by, weights, hours, threshold).filter(F.col("score") >= threshold).select("a", "b", "score"))
     groups = connected_components(links).withColumnRenamed("node", "item_id")
     slim = checkpointed(items.select("item_id", "url", "published_at", (F.unix_micros(F.col("published_at").cast("timestamp")) / 1e6).alias("at")))
     linked = checkpointed(slim.join(groups, "item_id").select("component", F.struct("published_at", "url", "item_id").alias("order"), "item_id", "at"))
@@ -191,7 +196,7 @@ def merge_clusters(members: DataFrame, threshold: float = vocab.MERGE_THRESHOLD,
     floor = max(vocab.TEXT_WITH_ENTITY, (threshold - w["location"] - w["entity"] - w["time"]) / w["tfidf"])
     ordered = F.array_sort(F.collect_list(F.struct("published_at", "url", "item_id", item_text().alias("text"))))
     docs = checkpointed(members.groupBy("event_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"), F.flatten(F.collect_list("locations")).alias("locations"), F.min("published_at").alias("first"), (F.unix_micros(F.max("published_at").cast("timestamp")) / 1e6).alias("last_at")))
-    pairs = checkpointed(cosine_pairs(checkpointed(tfidf(docs, "event_id", "text")), "event_id", floor))
+    pairs = checkpointed(cosine_pairs(tfidf(docs, "event_id", "text"), "event_id", floor))
     groups = connected_components(pairs).withColumnRenamed("node", "event_id")
     rows = docs.join(groups, "event_id").select("component", F.struct("first", "event_id").alias("order"), "event_id", text.extract_entities(F.col("text")).alias("entities"), similarity.place_names(F.col("locations")).alias("places"), "locations", "last_at")
     rows = checkpointed(rows)
