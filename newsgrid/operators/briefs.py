@@ -69,6 +69,15 @@ SCHEMA_RULES = {
     "category": lambda: F.col("category").isin(*vocab.TAXONOMY),
     "confidence": lambda: F.col("confidence").between(0, 1),
 }
+#: Rules of whole briefs: those above, and that the lists are there and sources are cited.
+BRIEF_RULES = {
+    **SCHEMA_RULES,
+    "dek": lambda: F.col("dek").isNotNull(),
+    "people": lambda: F.col("people").isNotNull(),
+    "organizations": lambda: F.col("organizations").isNotNull(),
+    "source_ids": lambda: F.col("source_ids").isNotNull(),
+    "locations": lambda: F.col("locations").isNotNull(),
+}
 
 
 def check_source_ids(cited: DataFrame, members: DataFrame) -> DataFrame:
@@ -106,23 +115,17 @@ def check_listed(column: str) -> Column:
     return _reasons("unsupported " + column, _once(norm(F.col("source_text")), lambda source: F.filter(F.coalesce(F.col(column), F.array().cast(STRINGS)), lambda e: (norm(e) != "") & ~source.contains(norm(e)))))
 
 
-ISO = r"(?<![\w])(\d{4})-(\d{2})-(\d{2})(?!\d)"
-_NAMES = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
-MONTH_DAY = rf"(?i)\b(?:{_NAMES})\s+\d{{1,2}}(?:\s*,?\s*\d{{4}})?\b"
-SLASH = r"\b\d{1,2}/\d{1,2}(?:/\d{2,4})?\b"
-
-
 def dates(text: Column) -> Column:
     """Dates of a text as structs (y, m, d), y null if not given; ISO, month and day, month/day."""
     whole = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     number = lambda c, pattern, g: F.nullif(F.regexp_extract(c, pattern, g), F.lit("")).try_cast("int")
     month = F.create_map(*[p for k, names in vocab.MONTHS.items() for n in names for p in (F.lit(n), F.lit(k))])
     date = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
-    iso = F.transform(whole(ISO), lambda c: date(number(c, r"(\d{4})-", 1), number(c, r"-(\d{2})-", 1), number(c, r"-(\d{2})$", 1)))
-    named = F.transform(whole(MONTH_DAY), lambda c: date(number(c, r"(\d{4})$", 1), month[F.lower(F.regexp_extract(c, r"^([A-Za-z]+)", 1))], number(c, r"^[A-Za-z]+\s+(\d{1,2})", 1)))
+    iso = F.transform(whole(vocab.ISO_DATE), lambda c: date(number(c, r"(\d{4})-", 1), number(c, r"-(\d{2})-", 1), number(c, r"-(\d{2})$", 1)))
+    named = F.transform(whole(vocab.MONTH_DAY), lambda c: date(number(c, r"(\d{4})$", 1), month[F.lower(F.regexp_extract(c, r"^([A-Za-z]+)", 1))], number(c, r"^[A-Za-z]+\s+(\d{1,2})", 1)))
     short = number
     year = lambda y: F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y)
-    slash = F.transform(whole(SLASH), lambda c: date(year(short(c, r"/\d{1,2}/(\d{2,4})$", 1)), short(c, r"^(\d{1,2})/", 1), short(c, r"^\d{1,2}/(\d{1,2})", 1)))
+    slash = F.transform(whole(vocab.SLASH_DATE), lambda c: date(year(short(c, r"/\d{1,2}/(\d{2,4})$", 1)), short(c, r"^(\d{1,2})/", 1), short(c, r"^\d{1,2}/(\d{1,2})", 1)))
     return F.filter(F.concat(iso, named, slash), lambda x: x["m"].between(1, 12) & x["d"].between(1, 31))
 
 
@@ -137,7 +140,7 @@ def check_dates() -> Column:
 
 
 def strip_dates(text: Column) -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, p, " "), (ISO, MONTH_DAY, SLASH), text)
+    return reduce(lambda t, p: F.regexp_replace(t, p, " "), (vocab.ISO_DATE, vocab.MONTH_DAY, vocab.SLASH_DATE), text)
 
 
 def numbers(text: Column) -> Column:
@@ -169,31 +172,38 @@ def coverage_words(text: Column) -> Column:
 
 
 
+#: Stands for a stop that ends no sentence while a text is cut.
+_STOP = "\x01"
+
 
 def sentences(text: Column) -> Column:
-    """Sentences of a text; abbreviations do not end one (their stops are taken out)."""
-    masked = F.regexp_replace(text, r"\b((?:[A-Za-z]\.)+[A-Za-z])\.", "$1")
-    masked = F.regexp_replace(masked, r"\b([A-Za-z])\.(?=[A-Za-z]\b)", "$1")
-    masked = F.regexp_replace(masked, r"\b([A-Z]|Dr|Mr|Mrs|Ms|St|Jr|Sr|vs|etc|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)\.", "$1")
-    return F.filter(F.transform(F.split(masked, "[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
+    """Sentences of a text; the stops of abbreviations, titles and initials do not end one."""
+    masked = F.regexp_replace(text, r"(?<=\b[A-Za-z])\.(?=[A-Za-z]\.)", _STOP)
+    masked = F.regexp_replace(masked, rf"(?<={_STOP}[A-Za-z])\.", _STOP)
+    masked = F.regexp_replace(masked, rf"\b([A-Z]|{vocab.TITLES})\.", f"$1{_STOP}")
+    return F.filter(F.transform(F.split(masked, "[.!?]+"), lambda s: F.trim(F.replace(s, F.lit(_STOP), F.lit(".")))), lambda s: s != "")
 
 
 def check_background() -> Column:
-    """Q7: banned phrases that no source has; a date of reporting; the first sentence with under 60 % of its words covered."""
-    months = "|".join(sorted((n for names in vocab.MONTHS.values() for n in names), key=len, reverse=True))
-    filler = _flag(_text("body", "dek").rlike(rf"(?i)\bwas\s+reported\s+on\s+(?:{months}|\d)"), "background: was reported on <date>")
-    banned = F.array_compact(F.array(*[F.when(norm(_text("body", "dek")).contains(p) & ~norm(F.col("source_text")).contains(p), F.lit(f"background: {p}")) for p in vocab.BANNED_PHRASES]))
+    """Q7: banned phrases that no source has; a date of reporting; a sentence with under 60 % of its words covered."""
+    filler = _flag(_text("body", "dek").rlike(vocab.REPORTED_ON), "background: was reported on <date>")
+
+    def phrases(own: Column, source: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(own.contains(p) & ~source.contains(p), F.lit(f"background: {p}")) for p in vocab.BANNED_PHRASES]))
 
-    def thin(vocabulary: Column) -> Column:
-        def low(s: Column) -> Column:
-            own = coverage_words(s)
-            return (F.size(own) >= 5) & (F.size(F.filter(own, lambda w: F.array_contains(vocabulary, w))) < 0.6 * F.size(own))
+    banned = _once(norm(_text("body", "dek")), lambda own: _once(norm(F.col("source_text")), lambda source: phrases(own, source)))
 
-        return F.when(F.exists(sentences(F.coalesce("body", F.lit(""))), low), F.array(F.lit("background: sentence under 60 % covered"))).otherwise(F.array().cast(STRINGS))
+    def thin(own: Column, lost: Column) -> Column:
+        """Whether a sentence's words are too few in the sources; lost: words of the body that these lack (a hash set does it)."""
+        return _once(F.array_intersect(own, lost), lambda out: (F.size(own) >= 5) & (F.size(own) - F.size(F.filter(own, lambda w: F.array_contains(out, w))) < 0.6 * F.size(own)))
+
+    def any_thin(parts: Column) -> Column:
+        return _once(F.array_except(F.array_distinct(F.flatten(parts)), known), lambda lost: F.exists(parts, lambda own: thin(own, lost)))
 
     months_known = F.flatten(F.transform(dates(F.col("dated_text")), lambda x: F.element_at(F.array(*[F.array(*[stem(F.lit(n)) for n in names]) for names in vocab.MONTHS.values()]), x["m"])))
-    vocabulary = F.array_distinct(F.concat(coverage_words(F.col("source_text")), F.flatten(F.transform("places", coverage_words)), months_known))
-    return F.concat(filler, banned, _once(vocabulary, thin))
+    known = F.array_distinct(F.concat(coverage_words(F.col("source_text")), F.flatten(F.transform("places", coverage_words)), months_known))
+    low = _once(F.transform(sentences(F.coalesce("body", F.lit(""))), coverage_words), any_thin)
+    return F.concat(filler, banned, _flag(low, "background: sentence under 60 % covered"))
 
 
 def check_locations(brief_locations: DataFrame, cluster_locations: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -227,12 +237,12 @@ def check_event_location() -> Column:
 def check_containment(gazetteer: DataFrame, evidence: DataFrame) -> DataFrame:
     """Q12: (event_id, area): sentences that say a place lies in a county or state, with no known pairing for the area.
 
-    gazetteer: city, county, states (array), in normal form.  A pairing is known if a city of the sentence lies there by
+    gazetteer: city, county, states (array), in normal form; event_id is the evidence's key.  A pairing is known if a city of the sentence lies there by
     the gazetteer, or the sources state it.
     """
-    sentence = evidence.select("event_id", norm(F.col("source_text")).alias("source"), F.explode(sentences(_text("body", "dek"))).alias("s")).filter(reduce(lambda a, b: a | b, [F.col("s").rlike(p) for p in vocab.CONTAINED]))
+    sentence = evidence.select("event_id", norm(F.col("source_text")).alias("source"), F.posexplode(sentences(_text("body", "dek"))).alias("n", "s")).filter(reduce(lambda a, b: a | b, [F.col("s").rlike(p) for p in vocab.CONTAINED]))
     padded = F.concat(F.lit(" "), norm(F.col("s")), F.lit(" "))
-    sentence = sentence.withColumn("padded", padded).withColumn("n", F.monotonically_increasing_id())
+    sentence, at = sentence.withColumn("padded", padded), ["event_id", "n"]
     states = gazetteer.select(F.explode("states").alias("area")).distinct()
     # words and runs of words of the sentence are matched with the gazetteer by equality
     w = F.split(F.trim("padded"), " ")
@@ -241,10 +251,10 @@ def check_containment(gazetteer: DataFrame, evidence: DataFrame) -> DataFrame:
     counties = sentence.select("event_id", "n", "source", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("s", F.lit(vocab.COUNTY), F.lit(1)), norm))).alias("area"))
     named = runs.join(small(states), F.col("run") == F.col("area")).select("event_id", "n", "source", "area")
     mentions = counties.unionByName(named).distinct()
-    free = runs.join(mentions.select("n", F.col("area").alias("whole")), "n").withColumn("inside", F.concat(F.lit(" "), "whole", F.lit(" ")).contains(F.concat(F.lit(" "), "run", F.lit(" "))))
-    cities = free.groupBy("n", "run").agg(F.bool_or("inside").alias("inside")).filter("NOT inside").join(small(gazetteer), F.col("run") == F.col("city")).select("n", "city", "county", "states")
-    paired = mentions.join(cities, "n").filter((F.col("area") == F.col("county")) | F.array_contains("states", F.col("area")) | F.col("source").contains(F.concat("city", F.lit(" in "), "area")) | F.col("source").contains(F.concat("city", F.lit(" is located in "), "area")))
-    return mentions.join(paired.select("n", "area"), ["n", "area"], "left_anti").select("event_id", "area").distinct()
+    free = runs.join(mentions.select(*at, F.col("area").alias("whole")), at).withColumn("inside", F.concat(F.lit(" "), "whole", F.lit(" ")).contains(F.concat(F.lit(" "), "run", F.lit(" "))))
+    cities = free.groupBy(*at, "run").agg(F.bool_or("inside").alias("inside")).filter("NOT inside").join(small(gazetteer), F.col("run") == F.col("city")).select(*at, "city", "county", "states")
+    paired = mentions.join(cities, at).filter((F.col("area") == F.col("county")) | F.array_contains("states", F.col("area")) | F.col("source").contains(F.concat("city", F.lit(" in "), "area")) | F.col("source").contains(F.concat("city", F.lit(" is located in "), "area")))
+    return mentions.join(paired.select(*at, "area"), [*at, "area"], "left_anti").select("event_id", "area").distinct()
 
 
 def check_length() -> Column:
@@ -316,15 +326,35 @@ def check_disagreement(members: DataFrame, evidence: DataFrame) -> DataFrame:
 CHECKS = {"entities": check_entities, "dates": check_dates, "numbers": check_numbers, "background": check_background, "outcomes": check_outcomes, "event_location": check_event_location, "length": check_length, "quotes": check_quotes, "stitching": check_stitching}
 
 
-def validate_briefs(evidence: DataFrame, *more: DataFrame) -> DataFrame:
-    """Q17: (event_id, ok, reasons) of all checks; `more` are (event_id, reason) tables of the checks that need joins."""
+def with_reasons(evidence: DataFrame, *more: DataFrame) -> DataFrame:
+    """(event_id, ok, reasons) of the checks that are expressions and of `more`, tables (event_id, reason) of others."""
     own = evidence.select("event_id", F.concat(*[f() for f in CHECKS.values()]).alias("reasons"))
-    for table in more:
-        found = table.groupBy("event_id").agg(F.sort_array(F.collect_set("reason")).alias("_more"))
-        own = own.join(found, "event_id", "left").select("event_id", F.concat("reasons", F.coalesce("_more", F.array().cast(STRINGS))).alias("reasons"))
+    if more:
+        found = reduce(DataFrame.unionByName, [t.select("event_id", "reason") for t in more]).groupBy("event_id").agg(F.sort_array(F.collect_set("reason")).alias("more"))
+        own = own.join(found, "event_id", "left").select("event_id", F.concat("reasons", F.coalesce("more", F.array().cast(STRINGS))).alias("reasons"))
     return own.select("event_id", (F.size("reasons") == 0).alias("ok"), "reasons")
 
 
+def validate_briefs(evidence: DataFrame, members: DataFrame, cluster_locations: DataFrame, gazetteer: DataFrame, closed: DataFrame) -> DataFrame:
+    """Q17: (event_id, ok, reasons) of all fourteen checks.
+
+    evidence: event_id (its key), headline, dek, body, category, confidence, people, organizations, source_ids, locations
+    (structs country, admin1, admin2, city, metro), source_text, dated_text, places.  members: event_id, item_id,
+    source_id, url, text.  cluster_locations: event_id, location.  gazetteer: as in check_containment.  closed: source_id,
+    text of sources that are not openly licensed.
+    """
+    reason = lambda label, *c: F.concat(F.lit(f"{label}: "), *c).alias("reason")
+    listed = [evidence.select("event_id", F.explode(check_listed(c)).alias("reason")) for c in ("people", "organizations")]
+    schema = evidence.select("event_id", F.explode(F.array_compact(F.array(*[F.when(~F.coalesce(f(), F.lit(False)), F.lit(f"schema: {k}")) for k, f in BRIEF_RULES.items()]))).alias("reason"))
+    ids = check_source_ids(evidence.select("event_id", "source_ids"), members.select("event_id", *[F.col(c).cast("string").alias(c) for c in ("item_id", "source_id", "url")]))
+    differing = check_disagreement(members, evidence).select("event_id", reason("sources disagree", "first", F.lit(" and "), "second"))
+    place = F.array_join(F.array_compact(F.array(*[F.col("location")[f] for f in ("city", "admin2", "metro", "admin1", "country")])), ", ")
+    placed = check_locations(evidence.select("event_id", F.explode("locations").alias("location")), cluster_locations, evidence).select("event_id", reason("location not in sources", place))
+    contained = check_containment(gazetteer, evidence).select("event_id", reason("containment", "area"))
+    copied = check_verbatim(evidence.select("event_id", _text("headline", "dek", "body").alias("text")), closed).select("event_id", reason("verbatim copy of", F.col("source_id").cast("string")))
+    return with_reasons(evidence, *listed, schema, ids, differing, placed, contained, copied)
+
+
 def acceptance_rate(validated: DataFrame) -> DataFrame:
     """Q17: share of briefs without a reason."""
     return validated.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("ok").cast("double")).alias("rate"))

@@ -72,7 +72,7 @@ def stem(spark, d):
 
 
 @query("check_background", f"""WITH {E}, v AS (SELECT event_id, list_distinct(list_transform(list_filter(regexp_extract_all(lower(source) || ' and thin on nation 3', '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({SKIP})), lambda w: {STEM})) AS v, body FROM e),
-m AS (SELECT event_id, v, string_split_regex(regexp_replace(regexp_replace(regexp_replace(body, '\\b((?:[A-Za-z]\\.)+[A-Za-z])\\.', '\\1', 'g'), '\\b([A-Za-z])\\.([A-Za-z])\\b', '\\1\\2', 'g'), '\\b([A-Z]|Dr|Mr|Mrs|Ms|St|Jr|Sr|vs|etc|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)\\.', '\\1', 'g'), '[.!?]+') AS s FROM v),
+m AS (SELECT event_id, v, string_split_regex(regexp_replace(regexp_replace(regexp_replace(body, '\\b([A-Za-z])\\.([A-Za-z])\\.', '\\1' || chr(1) || '\\2' || chr(1), 'g'), '(' || chr(1) || '[A-Za-z])\\.', '\\1' || chr(1), 'g'), '\\b([A-Z]|{vocab.TITLES})\\.', '\\1' || chr(1), 'g'), '[.!?]+') AS s FROM v),
 w AS (SELECT event_id, v, list_transform(list_filter(regexp_extract_all(lower(unnest(s)), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({SKIP})), lambda w: {STEM}) AS own FROM m),
 r AS (SELECT event_id, bool_or(len(own) >= 5 AND len(list_filter(own, lambda x: list_contains(v, x))) < 0.6 * len(own)) AS thin FROM w GROUP BY event_id) SELECT event_id, thin FROM r""")
 def check_background(spark, d):
@@ -175,12 +175,61 @@ def check_schema(spark, d):
     return violations(rows, "c_custkey", {k: f() for k, f in b.SCHEMA_RULES.items()})
 
 
-@query("validate_briefs")
-def validate_briefs(spark, d):
-    """Q17 over all documents: SQL has the single checks."""
+@query("validate_documents")
+def validate_documents(spark, d):
+    """The checks that need no lists over all documents: SQL has the single checks."""
     e = evidence(spark, d)
     copied = b.check_verbatim(e.select("event_id", "body").withColumnRenamed("body", "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("source_id"), "text")).select("event_id", F.concat(F.lit("verbatim copy of "), F.col("source_id").cast("string")).alias("reason"))
-    return b.validate_briefs(e, copied)
+    return b.with_reasons(e, copied)
+
+
+BASE = "the river rose over the low road near the old mill on friday and crews closed the bridge while people from the town moved cars and tools to higher ground before the water came down again in the night"
+CLOSED = "five small boats left the harbour at dawn with bread salt rope and lamps for the far islands"
+#: What the k-th kind of brief says besides BASE, what of it changes, and the reason that this must give.
+FAULTS = (
+    ("", {}, None),
+    (" Zed Zedson spoke.", {}, "unsupported name: Zed Zedson"),
+    ("", {"people": "array('Ann Other')"}, "unsupported people: Ann Other"),
+    ("", {"organizations": "array('Big Org')"}, "unsupported organizations: Big Org"),
+    (" It was on May 3, 2020.", {}, "date not in sources: 2020-5-3"),
+    (" It cost 77 crowns.", {}, "number not in sources: 77.0"),
+    (" Strange purple elephants danced under bright moons.", {}, "background: sentence under 60 % covered"),
+    (" A man was arrested.", {}, "unsupported outcome: arrest"),
+    (" The crash took place in the Alba, they say.", {}, "unsupported event location: Alba"),
+    ("", {"headline": "repeat('river ', 19)"}, "headline too long"),
+    (' He said "made up words".', {}, "fake quote: made up words"),
+    (" In other news, calm.", {}, "narrative stitching"),
+    ("", {"confidence": "2.0D"}, "schema: confidence"),
+    ("", {"source_ids": "array('X9')"}, "unknown source id: X9"),
+    ("", {"report": "concat('About ', l_linenumber + 10, ' homes lost power')"}, "sources disagree: 11 and 12"),
+    ("", {"city": "'Farville'"}, "location not in sources: Farville, US"),
+    (" Town A is located in County B County.", {}, "containment: county b county"),
+    (" Five small boats left the harbour at dawn with bread salt rope.", {}, "verbatim copy of: 1"),
+    ("", {"source_ids": "array()"}, "no source ids"),
+    (" U.S.A. crews closed the low road bridge near the old mill.", {}, None),
+)
+
+
+def _case(field, default):
+    return "CASE k " + " ".join(f"WHEN {i} THEN {change[field]}" for i, (_, change, _) in enumerate(FAULTS) if field in change) + f" ELSE {default} END AS {field}"
+
+
+WANTED = "CASE k " + " ".join(f"WHEN {i} THEN ['{r}']" for i, (_, _, r) in enumerate(FAULTS) if r) + " ELSE [] END"
+
+
+@query("validate_briefs", f"SELECT o_orderkey AS event_id, {WANTED} AS reasons, len({WANTED}) = 0 AS ok FROM (SELECT o_orderkey, CASE WHEN o_custkey % {len(FAULTS)} = 14 AND n < 2 THEN 0 ELSE o_custkey % {len(FAULTS)} END AS k FROM orders JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey) ON l_orderkey = o_orderkey)")
+def validate_briefs(spark, d):
+    """Q17: a brief for each order, with one fault or none, against its two first lines as sources; all fourteen checks."""
+    lines = table(spark, d, "lineitem").filter("l_linenumber <= 2")
+    o = table(spark, d, "orders").join(lines.select("l_orderkey").distinct(), F.expr("l_orderkey = o_orderkey"), "left_semi").selectExpr("o_orderkey AS event_id", f"cast(o_custkey % {len(FAULTS)} AS int) AS k")
+    body = F.concat(F.lit(f"{BASE}."), F.element_at(F.array(*[F.lit(extra) for extra, _, _ in FAULTS]), F.col("k") + 1))
+    e = o.withColumn("body", body).selectExpr("event_id", _case("headline", "'river rose over road'"), "'crews closed the bridge' AS dek", "body", "'local' AS category", _case("confidence", "0.5D"), _case("people", "array('Crews')"), _case("organizations", "cast(array() AS array<string>)"), _case("source_ids", "array('S1')"), _case("city", "cast(NULL AS string)"), f"'{BASE}; crash took place say. {' '.join(reversed(CLOSED.split()))}' AS source_text", "'' AS dated_text", "array('town c') AS places")
+    e = e.withColumn("locations", F.array(F.struct(F.lit("US").alias("country"), *[F.lit(None).cast("string").alias(f) for f in ("admin1", "admin2")], F.col("city").alias("city"), F.lit(None).cast("string").alias("metro"))))
+    members = lines.join(o, F.expr("l_orderkey = event_id")).selectExpr("event_id", "concat('I', l_linenumber) AS item_id", "concat('S', l_linenumber) AS source_id", "concat('https://x/', l_linenumber) AS url", _case("report", "'the river rose'").replace(" AS report", " AS text"))
+    members = members.unionByName(o.selectExpr("event_id", "'I9' AS item_id", "'S1' AS source_id", "'https://x/9' AS url", "'nothing else' AS text"))
+    theirs = o.select("event_id", F.struct(F.lit("US").alias("country"), F.lit("US-NY").alias("admin1"), F.lit(None).cast("string").alias("admin2"), F.lit("Troy").alias("city"), F.lit(None).cast("string").alias("metro")).alias("location"))
+    gazetteer = spark.createDataFrame([("town a", "county a county", ["new land"])], "city string, county string, states array<string>")
+    return b.validate_briefs(e, members, theirs, gazetteer, spark.createDataFrame([(1, CLOSED)], "source_id int, text string"))
 
 
 @query("acceptance_rate", f"WITH {E}, n AS (SELECT event_id, len(list_filter(string_split_regex(body, '\\s+'), lambda w: w <> '')) AS w, greatest(30, least(60, floor(len(list_filter(string_split_regex(source, '\\s+'), lambda w: w <> '')) * 0.4))) AS floor, length(headline) AS h FROM e) SELECT count(*) AS n, round(avg((h <= 110 AND w BETWEEN floor AND 220)::INT), 9)::DOUBLE AS rate FROM n")
