@@ -194,16 +194,16 @@ def check_background() -> Column:
     banned = _once(norm(_text("body", "dek")), lambda own: _once(norm(F.col("source_text")), lambda source: phrases(own, source)))
 
     def thin(own: Column, lost: Column) -> Column:
-        """Whether a sentence's words are too few in the sources; lost: words of the body that these lack (a hash set does it)."""
-        return _once(F.array_intersect(own, lost), lambda out: (F.size(own) >= 5) & (F.size(own) - F.size(F.filter(own, lambda w: F.array_contains(out, w))) < 0.6 * F.size(own)))
+        """Whether too few of a sentence's words are in the sources; lost: its words that these lack."""
+        return (F.size(own) >= 5) & (F.size(F.filter(own, lambda w: ~F.array_contains(lost, w))) < 0.6 * F.size(own))
 
-    def any_thin(parts: Column) -> Column:
-        return _once(F.array_except(F.array_distinct(F.flatten(parts)), known), lambda lost: F.exists(parts, lambda own: thin(own, lost)))
+    def any_thin(known: Column) -> Column:
+        """array_except goes by a hash set, sentence by sentence, up to the first that is thin."""
+        return F.exists(sentences(F.coalesce("body", F.lit(""))), lambda s: _once(coverage_words(s), lambda own: _once(F.array_except(own, known), lambda lost: thin(own, lost))))
 
     months_known = F.flatten(F.transform(dates(F.col("dated_text")), lambda x: F.element_at(F.array(*[F.array(*[stem(F.lit(n)) for n in names]) for names in vocab.MONTHS.values()]), x["m"])))
     known = F.array_distinct(F.concat(coverage_words(F.col("source_text")), F.flatten(F.transform("places", coverage_words)), months_known))
-    low = _once(F.transform(sentences(F.coalesce("body", F.lit(""))), coverage_words), any_thin)
-    return F.concat(filler, banned, _flag(low, "background: sentence under 60 % covered"))
+    return F.concat(filler, banned, _flag(_once(known, any_thin), "background: sentence under 60 % covered"))
 
 
 def check_locations(brief_locations: DataFrame, cluster_locations: DataFrame, evidence: DataFrame) -> DataFrame:
