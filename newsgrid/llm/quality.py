@@ -127,5 +127,10 @@ def op9_quality(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns of documents."""
+    """The documents that the rules keep, with the columns of documents.
+
+    A null, empty or blank text has no words and goes; a text of any length is read whole; repeated rows are judged each
+    for itself and alike; a null or unknown lang has no bound on stop words.  An empty table stays empty; columns of any
+    other name are carried along.
+    """
     return docs.filter(_once(measures(col("text")), lambda m: verdict(m, covered(docs))[1]))

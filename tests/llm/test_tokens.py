@@ -6,8 +6,9 @@ from newsgrid.llm import tokens
 from tests.conftest import SMALL
 
 
-def reference(vocabulary):
-    t = Tokenizer(models.Unigram([("<unk>", 0.0), *vocabulary], 0, False))
+def reference(vocabulary, fallback=False):
+    pieces = [(f"<0x{b:02X}>", 0.0) for b in range(256)] if fallback else []
+    t = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces, *vocabulary], 0, fallback))
     t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
     return t
 
@@ -19,7 +20,8 @@ def words_of(text):
 def test_against_tokenizer(spark, odd, none):
     import public_tokenizers
 
-    t = reference(tokens.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    # the file has byte pieces, so its unknown characters are bytes, as op5_token_count counts them
+    t = reference(tokens.vocabulary(public_tokenizers.path("piece_bpe_32k.model")), fallback=True)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
     want = sorted((str(r.doc_id), len(t.encode(words_of(r.text)).ids)) for r in docs.collect())
     assert sorted((str(r.doc_id), r.n_tokens) for r in tokens.op5_token_count(docs).collect()) == want
@@ -41,9 +43,7 @@ def test_byte_fallback(spark):
     import public_tokenizers
 
     known = tokens.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
-    model = models.Unigram([("<unk>", 0.0), *[(f"<0x{b:02X}>", 0.0) for b in range(256)], *known], 0, True)
-    t = Tokenizer(model)
-    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    t = reference(known, fallback=True)
     texts = ["".join(chr(0x1200 + i % 80) + " " * (i % 5 == 4) for i in range(300)), "plain words", "a🧿b🧿🧿 ሀለ x", "", "ሀ"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in tokens.op5_token_count(docs).collect()}
