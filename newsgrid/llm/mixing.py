@@ -267,8 +267,9 @@ def mixing_stage(docs: DataFrame) -> DataFrame:
     doc_id, source = names["doc_id"], names["source"]
     mark = F.xxhash64(*[col(c) for c in docs.columns])
     rows = docs.select(*[col(c).alias(n) for c, n in names.items()], mark.alias("mark"), word_count(text_or_empty()).alias("words"))
-    narrow = checkpointed(rows.select(F.col(doc_id).alias("d"), "mark", F.col(source).alias("s"), F.col("words").alias("n")))
-    drawn = draw_rows(mix(narrow, ["d", "mark"], size="n", source="s", cut=False).select("d", "mark", "draws")).select("d", "mark", "shard", "position")
+    # the order goes by doc_id and text alone, so further columns do not change which documents are drawn
+    narrow = checkpointed(rows.select(F.col(doc_id).alias("d"), F.xxhash64(names["text"]).alias("t"), "mark", F.col(source).alias("s"), F.col("words").alias("n")))
+    drawn = draw_rows(mix(narrow, ["d", "t"], size="n", source="s", cut=False).select("d", "mark", "draws")).select("d", "mark", "shard", "position")
     once = rows.drop("words")
     if narrow.groupBy("d", "mark").agg(F.count(F.lit(1)).alias("same")).filter("same > 1").isEmpty() is False:
         once = once.dropDuplicates([doc_id, "mark"])
