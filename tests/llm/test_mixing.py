@@ -171,6 +171,6 @@ def test_stage_order_and_repeats(spark):
     text = lambda k: " ".join(f"w{k}" for _ in range(30))
     docs = spark.createDataFrame([(1, "a", text(1))] * 3 + [(2, "a", text(2)), (None, "b", text(3)), (None, "b", text(3)), (4, None, None)], "doc_id long, source string, text string")
     got = [tuple(r) for r in mixing_stage(docs).collect()]
-    assert set(got) == {(1, "a", text(1)), (2, "a", text(2)), (None, "b", text(3))}
-    n = sum(30 for _ in got)
-    assert abs(n - 180) <= 30
+    assert set(got) <= {(1, "a", text(1)), (2, "a", text(2)), (None, "b", text(3))}
+    # 180 words by weights 1 and 2: two of a's four documents, whichever come first, and each of b's two rows twice
+    assert sum(r[1] == "a" for r in got) == 2 and sum(r[1] == "b" for r in got) == 4
