@@ -7,6 +7,8 @@ RAW_ITEM columns; a document that cannot be parsed gives no items and shows up i
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,20 +74,29 @@ RSS = "channel struct<item: array<struct<title: string, link: string, descriptio
 ATOM = "entry array<struct<title: string, link: array<struct<_href: string, _rel: string>>, summary: string, content: string, updated: string, published: string>>"
 
 
-def _rows(raw: DataFrame, parsed: Column, title: str, url: Column, summary: Column, at: Column, publisher: Column | None = None) -> DataFrame:
-    out = raw.withColumn("i", F.explode(parsed)).select("source_id", F.trim(F.col(f"i.{title}")).alias("title"), F.trim(url).alias("url"), summary.alias("summary_html"), parse_time(at).alias("published_at"), (publisher if publisher is not None else F.lit(None).cast("string")).alias("publisher"))
-    return out.filter((F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != ""))
+def _item(title: Column, url: Column, summary: Column, at: Column, publisher: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(F.trim(title).alias("title"), F.trim(url).alias("url"), summary.alias("summary_html"), at.alias("published_at"), (none if publisher is None else publisher).alias("publisher"))
 
 
-def parse_rss(raw: DataFrame) -> DataFrame:
-    """IO3."""
-    return _rows(raw, F.from_xml("body", RSS)["channel"]["item"], "title", F.col("i.link"), F.coalesce("i.description", "i.encoded"), F.col("i.pubDate"))
+def _items(parsed: Column, item: Callable[[Column], Column]) -> Column:
+    """The items of a parsed document that have a title and a URL, as an array; null if it could not be parsed."""
+    return F.filter(F.transform(parsed, item), lambda i: (F.coalesce(i["title"], F.lit("")) != "") & (F.coalesce(i["url"], F.lit("")) != ""))
 
 
-def parse_atom(raw: DataFrame) -> DataFrame:
-    """IO4: the alternate link, else the first."""
-    link = F.coalesce(F.element_at(F.filter("i.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), 1)["_href"], F.element_at("i.link", 1)["_href"])
-    return _rows(raw, F.from_xml("body", ATOM)["entry"], "title", link, F.coalesce("i.summary", "i.content"), F.coalesce("i.updated", "i.published"))
+def _rows(raw: DataFrame, items: Column) -> DataFrame:
+    return raw.select("source_id", F.explode(items).alias("i")).select("source_id", "i.*")
+
+
+def rss_items() -> Column:
+    return _items(F.from_xml("body", RSS)["channel"]["item"], lambda i: _item(i["title"], i["link"], F.coalesce(i["description"], i["encoded"]), parse_time(i["pubDate"])))
+
+
+def atom_items() -> Column:
+    def link(i: Column) -> Column:
+        return F.coalesce(F.get(F.filter(i["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"], F.get(i["link"], F.lit(0))["_href"])
+
+    return _items(F.from_xml("body", ATOM)["entry"], lambda i: _item(i["title"], link(i), F.coalesce(i["summary"], i["content"]), parse_time(F.coalesce(i["updated"], i["published"]))))
 
 
 GDELT = "articles array<struct<url:string,title:string,seendate:string,domain:string,language:string,sourcecountry:string>>"
@@ -93,44 +104,68 @@ QUAKES = "features array<struct<properties:struct<mag:double,place:string,time:b
 ALERTS = "features array<struct<id:string,properties:struct<`@id`:string,event:string,headline:string,description:string,instruction:string,sent:string,severity:string,expires:string>>>"
 
 
+def gdelt_items() -> Column:
+    def item(i: Column) -> Column:
+        domain = F.coalesce(F.nullif(i["domain"], F.lit("")), F.try_parse_url(i["url"], F.lit("HOST")))
+        return _item(i["title"], i["url"], F.lit(None).cast("string"), parse_time(i["seendate"]), domain)
+
+    return _items(F.from_json("body", GDELT)["articles"], item)
+
+
+def quake_items() -> Column:
+    return _items(F.from_json("body", QUAKES)["features"]["properties"], lambda i: _item(i["title"], i["url"], i["place"], F.timestamp_millis(i["time"])))
+
+
+def alert_items() -> Column:
+    def item(i: Column) -> Column:
+        p = lambda c: F.nullif(F.trim(i["properties"][c]), F.lit(""))
+        return _item(F.coalesce(p("headline"), p("event")), F.coalesce(p("@id"), F.col("feed_url")), F.concat_ws("\n\n", p("description"), p("instruction")), parse_time(i["properties"]["sent"]))
+
+    return _items(F.from_json("body", ALERTS)["features"], item)
+
+
+def parse_rss(raw: DataFrame) -> DataFrame:
+    """IO3."""
+    return _rows(raw, rss_items())
+
+
+def parse_atom(raw: DataFrame) -> DataFrame:
+    """IO4: the alternate link, else the first."""
+    return _rows(raw, atom_items())
+
+
 def parse_gdelt(raw: DataFrame) -> DataFrame:
     """IO7: search results; the publisher is the domain, else the host of the URL."""
-    domain = F.coalesce(F.nullif(F.col("i.domain"), F.lit("")), F.try_parse_url(F.col("i.url"), F.lit("HOST")))
-    return _rows(raw, F.from_json("body", GDELT)["articles"], "title", F.col("i.url"), F.lit(None).cast("string"), F.col("i.seendate"), domain)
+    return _rows(raw, gdelt_items())
 
 
 def parse_quakes(raw: DataFrame) -> DataFrame:
     """IO8: times are milliseconds since 1970."""
-    items = raw.withColumn("i", F.explode(F.from_json("body", QUAKES)["features"]["properties"]))
-    return items.select("source_id", F.trim("i.title").alias("title"), F.trim("i.url").alias("url"), F.col("i.place").alias("summary_html"), F.timestamp_millis("i.time").alias("published_at"), F.lit(None).cast("string").alias("publisher")).filter("coalesce(title, '') <> '' AND coalesce(url, '') <> ''")
+    return _rows(raw, quake_items())
 
 
 def parse_alerts(raw: DataFrame) -> DataFrame:
     """IO9: headline or else event; description and instruction; the alert's own address or else the feed's."""
-    items = raw.withColumn("i", F.explode(F.from_json("body", ALERTS)["features"]))
-    p = lambda c: F.nullif(F.trim(F.col("i.properties")[c]), F.lit(""))
-    out = items.select("source_id", F.coalesce(p("headline"), p("event")).alias("title"), F.coalesce(p("@id"), F.col("feed_url")).alias("url"), F.concat_ws("\n\n", p("description"), p("instruction")).alias("summary_html"), parse_time(F.col("i.properties.sent")).alias("published_at"), F.lit(None).cast("string").alias("publisher"))
-    return out.filter("coalesce(title, '') <> '' AND coalesce(url, '') <> ''")
+    return _rows(raw, alert_items())
+
+
+ITEMS = {"rss": rss_items, "atom": atom_items, "gdelt": gdelt_items, "json-api": quake_items, "nws-alerts": alert_items}
 
 
-PARSERS = {"rss": parse_rss, "atom": parse_atom, "gdelt": parse_gdelt, "json-api": parse_quakes, "nws-alerts": parse_alerts}
+def items_by_type() -> Column:
+    """The items of a document by its type, so that documents of all types are read once; null for an unknown type."""
+    return reduce(lambda case, kind: case.when(F.col("type") == kind, ITEMS[kind]()), ITEMS, F)
 
 
 def ingest(raw: DataFrame) -> DataFrame:
     """IO10, S5: items of all documents, each by its type; one bad document only loses its own items."""
-    accepted, _ = screen_raw(raw)
-    parts = [parse(accepted.filter(F.col("type") == kind)) for kind, parse in PARSERS.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _rows(screen_raw(raw)[0], items_by_type())
 
 
 def parse_errors(raw: DataFrame) -> DataFrame:
-    """IO10: documents that gave no items, with the reason."""
+    """IO10: a row for each document that gave no items, with the reason."""
     accepted, rejected = screen_raw(raw)
-    with_items = ingest(raw).select("source_id").distinct()
-    silent = accepted.join(with_items, "source_id", "left_anti").withColumn("reason", F.lit("no items"))
+    silent = accepted.filter(F.coalesce(F.size(items_by_type()), F.lit(0)) <= 0).withColumn("reason", F.lit("no items"))
     return rejected.select("source_id", "type", "reason").unionByName(silent.select("source_id", "type", "reason"))
 
 

@@ -108,3 +108,12 @@ def test_stream_state_takes_the_last_snapshot(spark, tmp_path):
         jobs.stream_state(spark.readStream.schema(schema).json(str(tmp_path / "land")), str(tmp_path / "snap"), 100, checkpoint=str(tmp_path / "check"))
     got = {r.event_id: (r.status, r.version) for r in spark.read.parquet(str(tmp_path / "snap/1/state")).collect()}
     assert got == {"e": ("unchanged", 1), "f": ("unchanged", 1)}  # g holds e's item, so it goes on as e and is the last of two
+
+
+def test_errors_go_by_document(spark):
+    """A broken document of a source is reported though another one of that source gave items."""
+    good = '{"features": [{"properties": {"title": "M 3", "time": 0, "url": "https://q/1"}}]}'
+    rows = [("s", "json-api", good), ("s", "json-api", "{"), ("s", "json-api", '{"features": []}'), ("s", "other", "x"), ("t", "json-api", good)]
+    raw = spark.createDataFrame(rows, "source_id string, type string, body string").withColumns({"feed_url": F.lit("https://f"), "http_charset": F.lit("")})
+    assert feeds.ingest(raw).count() == 2
+    assert sorted(tuple(r) for r in feeds.parse_errors(raw).collect()) == [("s", "json-api", "no items")] * 2 + [("s", "other", "no items")]
