@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgrid.operators.publish import admin1_slug, slug
+from newsgrid.operators.rank import small
 
 
 def search_index(stories: DataFrame, *fields: str) -> DataFrame:
@@ -94,12 +95,17 @@ def set_home(places: DataFrame, place_id: int) -> DataFrame:
 
 
 def upsert(base: DataFrame, rows: DataFrame, keys: list[str], mode: str = "replace", order: str | None = None) -> DataFrame:
-    """Replace: new rows win (the last by `order` of several); ignore: rows with a known key are dropped."""
+    """Replace: new rows win; ignore: rows with a known key are dropped.
+
+    A key has one row afterwards: of several new ones the last by `order` (ignore: the first), then the one with the
+    largest (ignore: smallest) other columns, which must be comparable.
+    """
+    others = [c for c in rows.columns if c not in keys]
+    one = (F.min if mode == "ignore" else F.max)(F.struct(*([F.col(order).alias("by")] if order else []), *others, F.lit(0).alias("some")))
+    once = rows.groupBy(*keys).agg(one.alias("one")).select(*keys, *[F.col("one")[c].alias(c) for c in others])
     if mode == "ignore":
-        return base.unionByName(rows.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti"))
-    if order:
-        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("_r = 1").drop("_r")
-    return base.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
+        return base.unionByName(once.join(base.select(*keys), keys, "left_anti"))
+    return base.join(once.select(*keys), keys, "left_anti").unionByName(once)
 
 
 def replace_edition(links: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -123,7 +129,8 @@ def breaking_picks(stories: DataFrame, users: DataFrame, known: DataFrame, quota
     quota, outside quiet hours.  stories: dir, story_id, category, breaking, place; users: user_id, dir, interests, sent,
     hour, quiet_start, quiet_end; known: user_id, story_id."""
     awake = users.filter(~in_quiet_hours(F.col("hour"), F.col("quiet_start"), F.col("quiet_end")))
-    fit = awake.join(stories.filter("breaking"), "dir").filter((F.size("interests") == 0) | F.array_contains("interests", F.col("category")))
+    # breaking stories are few: readers of the same feed need not meet in one task
+    fit = awake.join(small(stories.filter("breaking")), "dir").filter((F.size("interests") == 0) | F.array_contains("interests", F.col("category")))
     fit = fit.join(known, ["user_id", "story_id"], "left_anti")
     turn = F.row_number().over(Window.partitionBy("user_id").orderBy("place", "story_id"))
     return fit.withColumn("turn", turn).filter(F.col("turn") <= quota).filter(F.col("turn") <= quota - F.col("sent")).select("user_id", "story_id", "turn")

@@ -52,17 +52,6 @@ def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame
     return rows.select(F.col(key), F.explode(broken).alias("rule"))
 
 
-STORY_RULES = {
-    "id": lambda: F.length("id") >= 1,
-    "headline": lambda: F.length("headline").between(8, 200),
-    "category": lambda: F.col("category").isin(*vocab.TAXONOMY),
-    "tier": lambda: F.col("tier").isin("high", "medium", "low"),
-    "version": lambda: F.col("version") >= 1,
-    "ai_model_if_ai": lambda: ~F.col("ai") | F.coalesce(F.length("ai_model") > 0, F.lit(False)),
-    "sources": lambda: F.col("n_sources") >= 1,
-}
-
-
 def check_registry(sources: DataFrame) -> DataFrame:
     """(source_id, problem): repeated ids, unknown rights modes, open licence without its name."""
     twice = sources.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("source_id", F.lit("duplicate id").alias("problem"))

@@ -158,9 +158,21 @@ def editions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("dir", "kind").agg(ordered.alias("o")).select("dir", "kind", F.transform("o", lambda x: x["story_id"]).alias("story_ids"), F.array_sort(F.array_distinct(F.transform("o", lambda x: x["section"]))).alias("sections"), F.size("o").alias("story_count"))
 
 
+def edition_index(docs: DataFrame) -> DataFrame:
+    """IO16: (dir, kind, path, story_count) of each edition."""
+    return docs.select("dir", "kind", F.concat("dir", "kind", F.lit(".json")).alias("path"), F.col("story_count").cast("long").alias("story_count"))
+
+
 def write_editions(docs: DataFrame, path: str) -> None:
-    """IO16: JSON documents, a folder per kind."""
-    docs.select("kind", F.to_json(F.struct("dir", "story_ids", "sections", "story_count")).alias("value")).write.partitionBy("kind").text(path)
+    """IO16: JSON documents under editions/, a folder per feed and kind, and their index under index/."""
+    body = F.to_json(F.struct("dir", "kind", "story_ids", "sections", "story_count"))
+    docs.select(F.col("dir").alias("feed"), F.col("kind").alias("edition"), body.alias("value")).write.partitionBy("feed", "edition").text(f"{path}/editions")
+    edition_index(docs).write.json(f"{path}/index")
+
+
+def write_stories(stories: DataFrame, path: str, buckets: int = 256) -> None:
+    """IO16: story documents as JSON lines, in folders by a hash of story_id, so that one is found without reading all."""
+    stories.select(F.pmod(F.xxhash64("story_id"), F.lit(buckets)).alias("bucket"), F.to_json(F.struct(*stories.columns)).alias("value")).repartition("bucket").write.partitionBy("bucket").text(path)
 
 
 def retain_shares(current: DataFrame, previous: DataFrame, now_s: int, days: int = 30) -> DataFrame:
@@ -174,6 +186,13 @@ def story_counters(stories: DataFrame) -> DataFrame:
     return stories.agg(F.count(F.lit(1)).alias("n"), F.count_if("ai").alias("ai"), F.count_if(~F.col("ai")).alias("cards"), F.count_if("has_image").alias("with_image"), F.count_if("downgraded").alias("downgraded"))
 
 
+def write_location_slices(places: DataFrame, path: str) -> None:
+    """IO17: the places of each lower-case country as JSON lines, a folder per country; a country's places may be spread
+    over several files."""
+    slices = places.withColumn("country", F.lower("country"))
+    slices.select(F.col("country").alias("slice"), F.to_json(F.struct(*slices.columns)).alias("value")).write.partitionBy("slice").text(path)
+
+
 def location_slices(places: DataFrame, default: str = "us") -> DataFrame:
     """IO17: place counts and names by lower-case country; the default country is always there."""
     found = places.groupBy(F.lower("country").alias("country")).agg(F.count(F.lit(1)).alias("n_places"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))

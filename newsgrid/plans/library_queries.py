@@ -88,6 +88,12 @@ def upsert_replace(spark, d):
     return lib.upsert(o.filter("o_orderkey % 2 = 0").selectExpr("o_orderkey", "o_orderstatus AS v", "0 AS at"), fresh, ["o_orderkey"], order="at").select("o_orderkey", "v")
 
 
+@query("upsert_without_order", "SELECT o_custkey, max(o_orderkey) AS v FROM orders WHERE o_custkey % 3 > 0 GROUP BY o_custkey UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 > 0)")
+def upsert_without_order(spark, d):
+    base = table(spark, d, "customer").selectExpr("c_custkey AS o_custkey", "cast(-1 AS bigint) AS v")
+    return lib.upsert(base, table(spark, d, "orders").filter("o_custkey % 3 > 0").selectExpr("o_custkey", "o_orderkey AS v"), ["o_custkey"])
+
+
 @query("upsert_ignore", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'new' END AS v FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
 def upsert_ignore(spark, d):
     o = table(spark, d, "orders")
@@ -304,10 +310,12 @@ def build_municipalities(spark, d):
     return feeds.build_municipalities(table(spark, d, "customer").select(line.alias("value")), "NY")
 
 
-@query("run_summary", "SELECT (SELECT count(*) FROM supplier) AS checked, (SELECT count(*) FROM documents) AS discovered, (SELECT count(*) FROM documents WHERE doc_id % 3 > 0) AS normalised, (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) AS dropped")
+@query("run_summary", "SELECT (SELECT count(*) FROM supplier) AS checked, (SELECT count(*) FROM documents) AS discovered, (SELECT count(*) FROM documents WHERE doc_id % 3 > 0) AS normalised, (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) AS dropped, (SELECT count(*) FROM supplier WHERE s_suppkey % 9 = 0) AS failed, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS new, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS updated, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS unchanged")
 def run_summary(spark, d):
     i = table(spark, d, "documents")
-    return feeds.run_summary(table(spark, d, "supplier").select(F.col("s_suppkey").alias("source_id")), i, i.filter("doc_id % 3 > 0"))
+    raw = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source_id"))
+    status = table(spark, d, "orders").selectExpr("CASE o_orderstatus WHEN 'F' THEN 'new' WHEN 'O' THEN 'updated' ELSE 'unchanged' END AS status")
+    return feeds.run_summary(raw, i, i.filter("doc_id % 3 > 0"), raw.filter("source_id % 9 = 0"), status)
 
 
 @query("shift_to_now", with_views("items", "SELECT item_id, ts - (SELECT max(ts) FROM items) + 1800000000 - 3600 AS ts FROM items"))

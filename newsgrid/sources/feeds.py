@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 BODY_CAP = 2 * 1024 * 1024
 SOURCE_SCHEMA = "id string, name string, homepage string, feedUrl string, apiUrl string, type string, coverage struct<country:string,admin1:string,admin1Name:string,admin2:array<string>,cities:array<string>,metro:string>, rightsMode string, license string, language string, enabled boolean, priority int, imageRules struct<allowReuse:boolean,requireAttribution:boolean>, notes string, lastVerified string"
+STATUSES = ("new", "updated", "unchanged")
 RAW_ITEM = ("source_id", "title", "url", "summary_html", "published_at", "publisher")
 
 
@@ -188,11 +189,15 @@ def build_municipalities(lines: DataFrame, state: str, lsad: tuple[str, ...] = (
     return kept.select(F.lower(F.trim(F.regexp_replace("name", rf"\s+({'|'.join(LSAD_NAMES)})$", ""))).alias("name")).distinct().orderBy("name")
 
 
-def run_summary(raw: DataFrame, items: DataFrame, normalized: DataFrame) -> DataFrame:
-    """IO18: counts of a run."""
+def run_summary(raw: DataFrame, items: DataFrame, normalized: DataFrame, errors: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:
+    """IO18: counts of a run; failed: sources with a row in `errors`; new, updated and unchanged: clusters by status."""
     none = F.lit(0).cast("long")
-    row = lambda df, name, n: df.agg(n.alias("n")).select(*[(F.col("n") if c == name else none).alias(c) for c in ("checked", "discovered", "normalised")])
+    row = lambda df, name, n: df.agg(n.alias("n")).select(*[(F.col("n") if c == name else none).alias(c) for c in ("checked", "discovered", "normalised", "failed", *STATUSES)])
     parts = row(raw, "checked", F.count_distinct("source_id")).union(row(items, "discovered", F.count(F.lit(1)))).union(row(normalized, "normalised", F.count(F.lit(1))))
+    if errors is not None:
+        parts = parts.union(row(errors, "failed", F.count_distinct("source_id")))
+    for status in STATUSES if clusters is not None else ():
+        parts = parts.union(row(clusters, status, F.count_if(F.col("status") == status)))
     total = parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
     return total.withColumn("dropped", F.col("discovered") - F.col("normalised"))
 

@@ -134,3 +134,13 @@ SYMBOL_CONDITIONS = (
 SEVERITIES = ("extreme", "severe", "moderate", "minor")
 #: Heat index in degrees Fahrenheit by temperature and humidity: constant, t, r, tr, tt, rr, ttr, trr, ttrr.
 HEAT_INDEX = (-42.379, 2.04901523, 10.14333127, -0.22475541, -0.00683783, -0.05481717, 0.00122874, 0.00085282, -0.00000199)
+
+#: Fixed patterns and kinds of the published tables.
+SOURCE_ID = "^[a-z0-9]+(-[a-z0-9]+)*$"
+COUNTRY = "^[A-Z]{2}$"
+ADMIN1 = "^[A-Z]{2}-[A-Z0-9]{1,3}$"
+LANGUAGE = "^[a-z]{2}(-[A-Z]{2})?$"
+FEED_PATH = r"^feeds/.*\.json$"
+URI = r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$"
+SOURCE_TYPES = ("rss", "atom", "gdelt", "nws-alerts", "json-api")
+EDITION_KINDS = ("latest", "morning", "afternoon", "evening")
