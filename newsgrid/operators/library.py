@@ -101,8 +101,9 @@ def upsert(base: DataFrame, rows: DataFrame, keys: list[str], mode: str = "repla
     largest (ignore: smallest) other columns, which must be comparable.
     """
     others = [c for c in rows.columns if c not in keys]
-    one = (F.min if mode == "ignore" else F.max)(F.struct(*([F.col(order).alias("by")] if order else []), *others, F.lit(0).alias("some")))
-    once = rows.groupBy(*keys).agg(one.alias("one")).select(*keys, *[F.col("one")[c].alias(c) for c in others])
+    by, rest = F.col(order) if order else F.lit(0), F.struct(*others) if others else F.lit(0)
+    one = (F.min if mode == "ignore" else F.max)(F.struct(by.alias("by"), rest.alias("rest")))
+    once = rows.groupBy(*keys).agg(one.alias("_one")).select(*keys, *[F.col("_one")["rest"][c].alias(c) for c in others])
     if mode == "ignore":
         return base.unionByName(once.join(base.select(*keys), keys, "left_anti"))
     return base.join(once.select(*keys), keys, "left_anti").unionByName(once)
