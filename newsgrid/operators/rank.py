@@ -77,7 +77,7 @@ def representative(members: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def independent_publishers(members: DataFrame) -> DataFrame:
-    """Number of distinct publishers, and its approximation."""
+    """Number of distinct publishers."""
     key = publisher_key(F.col("source_id"))
     return members.groupBy("cluster_id").agg(F.count_distinct(key).alias("n_publishers"))
 
@@ -174,5 +174,5 @@ def score_clusters(members: DataFrame, sources: DataFrame, clusters: DataFrame,
 
 
 def order_clusters(scored: DataFrame) -> DataFrame:
-    """The queue order as a column `place`, by score, first report and id; a range sort, no single task."""
+    """The queue order: by score, first report and id; a range sort, no single task."""
     return scored.orderBy(F.desc("score"), "first_seen", "cluster_id")

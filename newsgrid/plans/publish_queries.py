@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsgrid.operators import publish
+from newsgrid.operators.rank import small
 from newsgrid.plans import views
 from newsgrid.plans.registry import query
 from newsgrid.plans.views import NOW, table, with_views
@@ -135,7 +136,7 @@ def story_counters(spark, d):
 
 @query("location_slices", "WITH p AS (SELECT lower(r_name) AS country, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), g AS (SELECT country, count(*) AS n_places, min(name) AS first_name, max(name) AS last_name FROM p GROUP BY country) SELECT country, n_places, first_name, last_name FROM g UNION ALL SELECT 'us', 0, NULL, NULL WHERE 'us' NOT IN (SELECT country FROM g)")
 def location_slices(spark, d):
-    n = F.broadcast(table(spark, d, "nation").join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey")))
+    n = small(table(spark, d, "nation").join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey")))
     return publish.location_slices(table(spark, d, "customer").join(n, F.expr("c_nationkey = n_nationkey")).select(F.col("r_name").alias("country"), F.col("c_name").alias("name")))
 
 
@@ -149,7 +150,7 @@ def retain_shares(spark, d):
 def feed_timezone(spark, d):
     nations = table(spark, d, "nation")
     zone = lambda m, z: nations.filter(F.col("n_nationkey") % m == 0).select(F.upper("n_name").alias("key"), F.lit(z).alias("zone"))
-    feeds_ = table(spark, d, "customer").join(F.broadcast(nations), F.expr("c_nationkey = n_nationkey")).select("c_custkey", F.col("n_name").alias("city"), F.col("n_name").alias("metro"), F.col("n_name").alias("admin1"), F.when(F.col("c_mktsegment") == "MACHINERY", "us").otherwise("FR").alias("country"))
+    feeds_ = table(spark, d, "customer").join(small(nations), F.expr("c_nationkey = n_nationkey")).select("c_custkey", F.col("n_name").alias("city"), F.col("n_name").alias("metro"), F.col("n_name").alias("admin1"), F.when(F.col("c_mktsegment") == "MACHINERY", "us").otherwise("FR").alias("country"))
     return publish.feed_timezone(feeds_, zone(2, "America/Chicago"), zone(3, "Asia/Tokyo"), zone(5, "Europe/Berlin")).select("c_custkey", "zone")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsgrid.operators.rank import small
+
 #: Moment that stands for now in all queries over the star tables: 2001-08-02 00:00:00 UTC.
 NOW = 996710400
 RIGHTS_OF = "CASE {k} % 6 WHEN 0 THEN 'PUBLIC_DOMAIN' WHEN 1 THEN 'OPEN_LICENSE' WHEN 2 THEN 'RSS_EXCERPT_ALLOWED' WHEN 3 THEN 'METADATA_ONLY' WHEN 4 THEN 'LINK_ONLY' ELSE 'BLOCKED' END"
@@ -25,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.expr("s_nationkey = n_nationkey")).selectExpr(*SOURCE_COLUMNS)
+    return table(spark, d, "supplier").join(small(table(spark, d, "nation")), F.expr("s_nationkey = n_nationkey")).selectExpr(*SOURCE_COLUMNS)
 
 
 def members(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +43,7 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def stories(spark: SparkSession, d: str) -> DataFrame:
     """Stories: orders with a score, a moment, a breaking flag and the customer's place ladder."""
-    places = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.expr("c_nationkey = n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.expr("n_regionkey = r_regionkey"))
+    places = table(spark, d, "customer").join(small(table(spark, d, "nation")), F.expr("c_nationkey = n_nationkey")).join(small(table(spark, d, "region")), F.expr("n_regionkey = r_regionkey"))
     return table(spark, d, "orders").join(places, F.expr("o_custkey = c_custkey")).select(*[F.expr(c) for c in STORY_COLUMNS], F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("published_s"))
 
 
