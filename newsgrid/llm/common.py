@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsgrid.checkpoint import checkpointed, ensure_checkpoint_dir  # noqa: F401
 
@@ -52,6 +53,16 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def mark_of(df: DataFrame, *names: str) -> Column:
+    """A 64-bit hash of the values of these columns.  Spark's hashes pass over nulls and refuse maps, so each column adds
+    whether it is null, and nested values are hashed as JSON, which keeps their nulls."""
+    parts: list[Column] = []
+    for name in names:
+        nested = isinstance(df.schema[name].dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))
+        parts += [col(name).isNull(), F.to_json(F.struct(col(name).alias("v"))) if nested else col(name)]
+    return F.xxhash64(*parts)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(col(name), F.lit(""))
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgrid.llm.common import checkpointed, col, fresh, prefix_sums, text_or_empty, without, word_count
+from newsgrid.llm.common import checkpointed, col, fresh, mark_of, prefix_sums, text_or_empty, without, word_count
 from newsgrid.operators.rank import small
 
 #: Sources up to this many are planned on the driver and sent to all tasks.
@@ -183,7 +183,8 @@ def mix(df: DataFrame, order: list[str], size: str = "size", source: str = "sour
     stand in code-point order, null last, and take `weights` in turn.  cut=True: the last document of a source's
     stream is used up to the target exactly; cut=False: documents are used whole, one that does not fit is passed over
     for later ones that do (see _fill), and a source with a target of a word or more gives at least one.  Documents of
-    size 0, and all documents of an empty source, are not drawn (taken 0, no draws).  Rows with equal order columns
+    size 0, and all documents of an empty source, are not drawn (taken 0, no draws).  Beyond MAX_SOURCES sources the targets
+    are the same, but blocks are dealt by groups of sources, so a block can go to another shard than below.  Rows with equal order columns
     and size are interchangeable.  An empty table gives an empty one.  Input columns named like the added ones are replaced.
     """
     df = df.withColumn(size, F.coalesce(col(size).cast("long"), F.lit(0).cast("long")))
@@ -265,7 +266,7 @@ def mixing_stage(docs: DataFrame) -> DataFrame:
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no column of documents can clash with an added one
     doc_id, source = names["doc_id"], names["source"]
-    mark = F.xxhash64(*[col(c) for c in docs.columns])
+    mark = mark_of(docs, *docs.columns)
     rows = docs.select(*[col(c).alias(n) for c, n in names.items()], mark.alias("mark"), word_count(text_or_empty()).alias("words"))
     # the order goes by doc_id and text alone, so further columns do not change which documents are drawn
     narrow = checkpointed(rows.select(F.col(doc_id).alias("d"), F.xxhash64(names["text"]).alias("t"), "mark", F.col(source).alias("s"), F.col("words").alias("n")))

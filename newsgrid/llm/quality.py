@@ -22,7 +22,8 @@ STOP_WORDS = tuple(
 #: Languages that STOP_WORDS covers; texts of other or unknown languages have no bound on stop words.
 COVERED = ("en", "fr", "de", "es")
 #: Characters of scripts that put no blanks between words; each counts as a word where they are most of a text.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Ranges of Thai, Lao, Myanmar, Khmer, Kana and Han (fixed values), all of three bytes or more in UTF-8.
+UNSPACED = r"[\x{E01}-\x{EDF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3005}-\x{3007}\x{3041}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]"
 #: measure, least, most: a document keeps only if every measure lies between its bounds (None: no bound).
 RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("n_words", 50, None),
@@ -65,7 +66,10 @@ def _repeat_words(hashes: Column) -> Column:
 
 
 def measures(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """n_words, n_lines, n_unspaced and the MEASURES of a text as one struct of longs; a null or blank text has zero of everything."""
+    """n_words, n_lines, n_unspaced and the MEASURES of a text as one struct of longs; a null or blank text has zero of everything.
+
+    n_unspaced is counted only where such characters can be most of the text's, else it is zero.
+    """
     body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
 
@@ -77,7 +81,8 @@ def measures(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
             "n_symbols": F.length(body) - F.length(F.regexp_replace(body, SYMBOLS, "")),
             "n_dup_lines": F.size(x) - F.size(F.array_distinct(x)),
             "n_repeat_words": _once(_windows(w), _repeat_words),
-            "n_unspaced": F.length(body) - F.length(F.regexp_replace(body, UNSPACED, "")),
+            # they matter where they are most of the letters, and each has two bytes more than characters
+            "n_unspaced": F.when(F.octet_length(body) - F.length(body) > F.length(F.array_join(w, "")), F.length(body) - F.length(F.regexp_replace(body, UNSPACED, ""))).otherwise(0),
             "n_stop_words": F.size(F.filter(w, lambda v: F.lower(v).isin(*stop_words))),
         }
         return F.struct(*[v.cast("long").alias(k) for k, v in added.items()])
@@ -93,10 +98,11 @@ def covered(docs: DataFrame, lang: str = "lang") -> Column:
 
 
 def verdict(m: Column, known: Column, rules: tuple[tuple[str, float | None, float | None], ...] = RULES) -> tuple[Column, Column]:
-    """(base_failed, kept) of a struct of measures: the threshold table as one boolean expression.
+    """(base_failed, fit) of a struct of measures: the threshold table as one boolean expression.
 
     Stop words are bounded only in known (covered) languages.  Where most characters are UNSPACED, each of them counts
-    as a word for n_words, and mean_word_chars has no bound.
+    as a word for n_words, and mean_word_chars has no bound; such a text can be fit although its words between blanks
+    are too few (base_failed).
     """
     n, lines = F.greatest(m["n_words"], F.lit(1)), F.greatest(m["n_lines"], F.lit(1))
     unspaced = 2 * m["n_unspaced"] > m["word_chars"]
@@ -106,23 +112,25 @@ def verdict(m: Column, known: Column, rules: tuple[tuple[str, float | None, floa
     bounds = [free.get(k, F.lit(False)) | (ratios[k] >= F.lit(lo)) for k, lo, _ in rules if lo is not None] + [free.get(k, F.lit(False)) | (ratios[k] <= F.lit(hi)) for k, _, hi in rules if hi is not None]
     repeats = 100 * m["n_repeat_words"] > 50 * m["n_words"]
     base = (m["n_words"] < 50) | repeats
-    return base, (~base | (unspaced & ~repeats)) & reduce(and_, bounds, F.lit(True))
+    return base, ~repeats & reduce(and_, bounds, F.lit(True))
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[tuple[str, float | None, float | None], ...] = RULES, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """docs with n_words, the MEASURES, base_failed (fewer than 50 words, or over half the words in repeated windows) and kept.
+    """docs with n_words, the MEASURES, base_failed (fewer than 50 words, or over half the words in repeated windows) and
+    kept, which is false where base_failed is true.
 
     Input columns named like these are replaced.
     """
     added = ("n_words", *MEASURES, "base_failed", "kept")
     (m,) = fresh(docs, "_m")
     rows = docs.withColumn(m, measures(col(text), stop_words))
-    base, kept = verdict(col(m), covered(docs), rules)
-    return rows.select(*[col(c) for c in docs.columns if c.lower() not in added], *[col(m)[k].alias(k) for k in added[:-2]], base.alias("base_failed"), kept.alias("kept"))
+    base, fit = verdict(col(m), covered(docs), rules)
+    return rows.select(*[col(c) for c in docs.columns if c.lower() not in added], *[col(m)[k].alias(k) for k in added[:-2]], base.alias("base_failed"), (~base & fit).alias("kept"))
 
 
 def op9_quality(docs: DataFrame) -> DataFrame:
-    """Measures and verdict of every document, its whole text read."""
+    """Measures and verdict of every document, its whole text read; a null text has zero words and fails, repeated rows are
+    judged alike, an empty table gives an empty one."""
     return judge(docs.select("doc_id", "text", *[c for c in docs.columns if c.lower() == "lang"])).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words")
 
 
@@ -130,7 +138,8 @@ def quality_stage(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns of documents.
 
     A null, empty or blank text has no words and goes; a text of any length is read whole; repeated rows are judged each
-    for itself and alike; a null or unknown lang has no bound on stop words.  An empty table stays empty; columns of any
-    other name are carried along.
+    for itself and alike; a null or unknown lang has no bound on stop words.  A text of a script without blanks is judged
+    by its characters, so it can stay where op9_quality, which counts words between blanks alone, rejects it.  An empty
+    table stays empty; columns of any other name are carried along.
     """
     return docs.filter(_once(measures(col("text")), lambda m: verdict(m, covered(docs))[1]))

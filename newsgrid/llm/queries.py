@@ -11,7 +11,7 @@ from newsgrid.llm.chat import op2_chat
 from newsgrid.llm.license_scan import TEMPLATES, THRESHOLD, op3_license
 from newsgrid.llm.mixing import op1_mixing
 from newsgrid.llm.packing import op4_packing
-from newsgrid.llm.quality import STOP_WORDS, op9_quality
+from newsgrid.llm.quality import COVERED, STOP_WORDS, UNSPACED, op9_quality
 from newsgrid.llm.sharding import op8_sharding
 from newsgrid.llm.simhash import op7_simhash
 from newsgrid.llm.tokens import op5_token_count
@@ -39,21 +39,22 @@ _TEMPLATES = ", ".join("({}, {!r}, '{}')".format(i, name, text.replace("'", "''"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ORACLE_SQL: dict[str, str] = {
     "op9_quality": rf"""
-WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words, lower(regexp_extract(coalesce(lang, ''), '^\s*([A-Za-z]+)', 1)) IN ({", ".join(repr(s) for s in COVERED)}) AS known FROM documents),
 g AS (SELECT *, list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS grams,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  length(text) - length(regexp_replace(text, '{UNSPACED}', '', 'g')) AS n_unspaced,
   len(list_filter(words, lambda x: lower(x) IN ({", ".join(repr(s) for s in STOP_WORDS)}))) AS n_stop_words FROM w),
 p AS (SELECT doc_id, unnest(grams) AS gram, generate_subscripts(grams, 1) AS i FROM g),
 c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM p),
 r AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS place FROM c WHERE n > 1) GROUP BY doc_id),
 m AS (SELECT g.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, n_symbols,
-  len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(r.n, 0) AS n_repeat_words, n_stop_words
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(r.n, 0) AS n_repeat_words, n_stop_words, known, n_unspaced
   FROM g LEFT JOIN r USING (doc_id)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 2 * n_unspaced > word_chars AS unspaced FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND word_chars >= 2.5 * n_words AND word_chars <= 12 * n_words AND 10 * n_symbols <= n_words
-  AND 100 * n_stop_words >= 6 * n_words AND 2 * n_dup_lines <= n_lines AS kept, n_stop_words
+  NOT base_failed AND (unspaced OR word_chars BETWEEN 2.5 * n_words AND 12 * n_words) AND 10 * n_symbols <= CASE WHEN unspaced THEN greatest(n_words, n_unspaced) ELSE n_words END
+  AND (NOT known OR 100 * n_stop_words >= 6 * n_words) AND 2 * n_dup_lines <= n_lines AS kept, n_stop_words
 FROM b""",
     "op3_license": f"""
 WITH t(i, name, text) AS (VALUES {_TEMPLATES}), tw AS (SELECT i, name, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM t), tm AS (SELECT i, name, len(w) - 1 AS m FROM tw),

@@ -125,16 +125,3 @@ def one_of_each(docs: DataFrame, named: DataFrame, mark: str, content: Column) -
         twice = marked.join(again, won, "left_semi").dropDuplicates(["doc_id", mark])
         kept = marked.join(winners.filter(col(same) == 1), won, "left_semi").unionByName(twice)
     return kept.select(*[col(x) for x in docs.columns])
-
-
-def dedup_stage(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id (then by content), with the columns of documents.
-
-    Rows that agree in every column are one document.
-    """
-    fp, mark = fresh(docs, "_fp", "_mark")
-    content = F.xxhash64(*[col(x) for x in docs.columns if x.lower() != "doc_id"])
-    with text_batches(docs.sparkSession):
-        prints = checkpointed(docs.select(col("doc_id"), content.alias(mark), fingerprint_of(col("text")).alias(fp)))
-    named = prints.join(components(prints, fp, "doc_id").select(F.col("fp").alias(fp), "root"), fp)
-    return one_of_each(docs, named, mark, content)

@@ -174,3 +174,10 @@ def test_stage_order_and_repeats(spark):
     assert set(got) <= {(1, "a", text(1)), (2, "a", text(2)), (None, "b", text(3))}
     # 180 words by weights 1 and 2: two of a's four documents, whichever come first, and each of b's two rows twice
     assert sum(r[1] == "a" for r in got) == 2 and sum(r[1] == "b" for r in got) == 4
+
+
+def test_stage_keeps_rows_that_differ_by_a_null_or_a_map_apart(spark):
+    rows = [(1, "T", "en", None, {"a": 1}), (1, "T", None, "en", {"a": 1}), (2, "T", "en", None, {}), (2, "T", "en", None, {"a": None})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, m map<string,int>")
+    got = [(r.doc_id, r.text, r.lang, r.source, r.m) for r in mixing_stage(docs).collect()]
+    assert all(g in rows for g in got) and (1, "T", None, "en", {"a": 1}) in got and any(g[3] is None for g in got)

@@ -1,8 +1,11 @@
 import re
 from collections import Counter
 
+import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from newsgrid.llm.queries import ORACLE_SQL
 from newsgrid.llm.quality import STOP_WORDS, judge, op9_quality, quality_stage
 from tests.conftest import SMALL
 
@@ -52,6 +55,12 @@ def test_uncovered_languages(spark):
     """Clean texts of languages without a list stay, in scripts without blanks too; junk and covered languages are judged as before."""
     letters = lambda a: " ".join("".join(chr(a + (i * i * 31 + i * 17 + j * j * (i + 5)) % 23) for j in range(4 + i % 5)) for i in range(80))
     han = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(300))
-    rows = [(1, letters(0x430), "ru"), (2, letters(0x3B1), "el"), (3, letters(0x61), "pl"), (4, letters(0x61), None), (5, han, "zh"), (6, letters(0x61), "en"), (7, letters(0x61), "de-AT"), (8, han[:30], "zh"), (9, "ab cd ef " * 60, "pl"), (10, "x" * 500, "pl")]
+    cut = " ".join(han[i : i + 5] for i in range(0, 300, 5))
+    rows = [(1, letters(0x430), "ru"), (2, letters(0x3B1), "el"), (3, letters(0x61), "pl"), (4, letters(0x61), None), (5, han, "zh"), (6, letters(0x61), "en"), (7, letters(0x61), "de-AT"), (8, han[:30], "zh"), (9, "ab cd ef " * 60, "pl"), (10, "x" * 500, "pl"), (11, cut, "zh")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert {r.doc_id for r in op9_quality(docs).collect() if r.kept} == {1, 2, 3, 4, 5} == {r.doc_id for r in quality_stage(docs).collect()}
+    found = op9_quality(docs).collect()
+    assert {r.doc_id for r in found if r.kept} == {1, 2, 3, 4, 11} and {r.doc_id for r in quality_stage(docs).collect()} == {1, 2, 3, 4, 5, 11}
+    assert not any(r.kept and r.base_failed for r in found)
+    con = duckdb.connect()
+    con.register("documents", pa.table({k: [r[i] for r in rows] for i, k in enumerate(("doc_id", "text", "lang"))}))
+    assert {d: k for d, k in con.execute(f"SELECT doc_id, kept FROM ({ORACLE_SQL['op9_quality']})").fetchall()} == {r.doc_id: r.kept for r in found}

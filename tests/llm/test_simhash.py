@@ -59,20 +59,3 @@ def test_crowded_blocks(spark):
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
     for crowd in (1, 8, 64):
         assert {(r.a, r.b) for r in simhash.near_pairs(df, crowd=crowd).collect()} == want
-
-
-def test_stage_keeps_one_of_each_group(spark, odd, none):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    groups = components([(r.doc_id, r.text) for r in docs.collect()])
-    assert sorted(r.doc_id for r in simhash.dedup_stage(docs).collect()) == sorted({g for _, _, g in groups})
-    kept = simhash.dedup_stage(odd)
-    assert kept.columns == odd.columns and kept.count() == len({g for _, _, g in components([(r.doc_id, r.text) for r in odd.collect()])})
-    assert simhash.dedup_stage(none).count() == 0
-
-
-def test_stage_tells_groups_without_own_id_apart(spark):
-    """Unlike texts whose doc_ids are null or repeated are groups of their own; copies among them go."""
-    text = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
-    docs = spark.createDataFrame([(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (None, text(4)), (8, text(3))], "doc_id long, text string")
-    kept = sorted(((r.doc_id, r.text) for r in simhash.dedup_stage(docs).collect()), key=str)
-    assert kept == sorted([(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4))], key=str)
