@@ -12,6 +12,7 @@ from newsgrid.llm.license_scan import TEMPLATES, THRESHOLD, op3_license
 from newsgrid.llm.mixing import op1_mixing
 from newsgrid.llm.packing import op4_packing
 from newsgrid.llm.quality import COVERED, STOP_WORDS, UNSPACED, op9_quality
+from newsgrid.llm.repair import op13_repair, symbol_matrix
 from newsgrid.llm.sharding import op8_sharding
 from newsgrid.llm.simhash import op7_simhash
 from newsgrid.llm.tokens import op5_token_count
@@ -33,9 +34,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": _over("documents", op8_sharding),
     "op9_quality": _over("documents", op9_quality),
     "op10_warc": _over("pages", op10_warc),
+    "op13_repair": _over("conversations", op13_repair),
 }
 
 _TEMPLATES = ", ".join("({}, {!r}, '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+#: CRC-32 in SQL: its table, and the checksum of a list of bytes.
+_CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i)))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, {}), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295)"
+_WAYS = ", ".join(f"('{c}', {i}, {j}, {x[0]}, '{x[1]}')" for c in "dsuaoSUAO" for i, row in enumerate(symbol_matrix(c)) for j, x in enumerate(row) if x)
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ORACLE_SQL: dict[str, str] = {
     "op9_quality": rf"""
@@ -73,6 +79,26 @@ in_windows AS (SELECT s.doc_id, s.i, s.m, s, gram, least(count(*), any_value(c))
 scores AS (SELECT doc_id, i, 2 * sum(shared) / (n + m)::DOUBLE AS dice FROM in_runs GROUP BY doc_id, i, m, r1, r2, n UNION ALL SELECT doc_id, i, sum(shared) / m::DOUBLE FROM in_windows GROUP BY doc_id, i, m, s),
 b AS (SELECT doc_id, arg_max(name, (dice, -i)) AS license, round(max(dice), 9)::DOUBLE AS dice, list_sort(list(DISTINCT name)) AS licenses FROM scores JOIN tm USING (i) WHERE dice >= {THRESHOLD} GROUP BY doc_id)
 SELECT doc_id, license, dice, coalesce(licenses, []) AS licenses FROM documents LEFT JOIN b USING (doc_id)""",
+    "op13_repair": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+ways(sym, st, st2, c, way) AS (VALUES {_WAYS}),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)")} % 20 AS k FROM conversations, crc),
+rows_ AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM raw, range(CASE WHEN k = 3 THEN 2 ELSE 1 END) WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos FROM rows_),
+seen AS (SELECT *, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS final, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, lag(role) OVER (PARTITION BY conv_id ORDER BY pos) AS prev FROM placed),
+f AS (SELECT *, CASE WHEN final = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, CASE WHEN role[1:1] IN ('s', 'u', 'a') THEN role[1:1] ELSE 'o' END AS r FROM seen),
+syms AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' WHEN fault = 'truncated' THEN upper(r) ELSE r END AS sym FROM f),
+dp AS (SELECT DISTINCT conv_id, 0::BIGINT AS pos, 0 AS st, 0::BIGINT AS cost, '' AS audit FROM conversations
+  UNION ALL SELECT d.conv_id, d.pos + 1, w.st2, min(d.cost + w.c)::BIGINT, arg_min(d.audit || w.way, (d.cost + w.c, d.audit || w.way)) FROM dp d JOIN syms s ON s.conv_id IS NOT DISTINCT FROM d.conv_id AND s.pos = d.pos + 1 JOIN ways w ON w.sym = s.sym AND w.st = d.st GROUP BY d.conv_id, d.pos + 1, w.st2),
+done AS (SELECT conv_id, cost + 3 * length(tail) AS cost, audit || tail AS audit FROM (SELECT *, CASE st WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS tail FROM dp) d
+  WHERE pos = (SELECT count(*) FROM placed WHERE placed.conv_id IS NOT DISTINCT FROM d.conv_id) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost + 3 * length(tail), audit || tail) = 1),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (prev IS NOT NULL AND prev[1:1] || role[1:1] NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+letters AS (SELECT *, count(*) FILTER (l <> 'I') OVER o AS pos, count(*) FILTER (l <> 'D') OVER o AS k FROM (SELECT conv_id, unnest(string_split(audit, '')) AS l, generate_subscripts(string_split(audit, ''), 1) AS i FROM done WHERE audit <> '') WINDOW o AS (PARTITION BY conv_id ORDER BY i)),
+outs AS (SELECT l.conv_id, i, k, l, s.role, coalesce(s.text, '') AS text, max(CASE WHEN l = 'K' AND k = 1 AND s.r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS shift FROM letters l LEFT JOIN syms s ON s.conv_id IS NOT DISTINCT FROM l.conv_id AND s.pos = l.pos AND l <> 'I' WHERE l <> 'D'),
+text_ AS (SELECT conv_id, string_agg(CASE WHEN l = 'K' THEN role WHEN (k + shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS body FROM outs GROUP BY conv_id)
+SELECT done.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM done LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM done.conv_id LEFT JOIN text_ ON text_.conv_id IS NOT DISTINCT FROM done.conv_id""",
     "op10_warc": """
 WITH s AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 t AS (SELECT d, max(page_id) AS top FROM s WHERE n >= 1000 GROUP BY d)
