@@ -16,6 +16,7 @@ from newsgrid.llm.repair import op13_repair, symbol_matrix
 from newsgrid.llm.sharding import op8_sharding
 from newsgrid.llm.simhash import op7_simhash
 from newsgrid.llm.tokens import op5_token_count
+from newsgrid.llm.variants import LOWER, UPPER, op11_variants
 from newsgrid.llm.warc import op10_warc
 
 
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": _over("documents", op8_sharding),
     "op9_quality": _over("documents", op9_quality),
     "op10_warc": _over("pages", op10_warc),
+    "op11_variants": _over("documents", op11_variants),
     "op13_repair": _over("conversations", op13_repair),
 }
 
@@ -79,13 +81,27 @@ in_windows AS (SELECT s.doc_id, s.i, s.m, s, gram, least(count(*), any_value(c))
 scores AS (SELECT doc_id, i, 2 * sum(shared) / (n + m)::DOUBLE AS dice FROM in_runs GROUP BY doc_id, i, m, r1, r2, n UNION ALL SELECT doc_id, i, sum(shared) / m::DOUBLE FROM in_windows GROUP BY doc_id, i, m, s),
 b AS (SELECT doc_id, arg_max(name, (dice, -i)) AS license, round(max(dice), 9)::DOUBLE AS dice, list_sort(list(DISTINCT name)) AS licenses FROM scores JOIN tm USING (i) WHERE dice >= {THRESHOLD} GROUP BY doc_id)
 SELECT doc_id, license, dice, coalesce(licenses, []) AS licenses FROM documents LEFT JOIN b USING (doc_id)""",
+    "op11_variants": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]{{6,}}')) AS run FROM documents),
+h AS (SELECT run, {_CRC.format("flatten(list_transform(string_split(d || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c) - 64] END))")} AS h FROM runs, crc),
+w AS (SELECT word, count(*) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM h) WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+holes AS (SELECT word, n, length(word) AS l, i, substring(word, 1, i) AS a, substring(word, i + 2) AS b FROM (SELECT *, unnest(range(length(word))) AS i FROM w)),
+pairs AS (SELECT DISTINCT x.word, y.word AS near, y.n AS near_n FROM holes x JOIN holes y ON x.l = y.l AND x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM holes x JOIN w y ON x.a || x.b = y.word UNION SELECT y.word, x.word, x.n FROM holes x JOIN w y ON x.a || x.b = y.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top, arg_min(near, (-near_n, encode(near))) AS near FROM pairs GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN near END AS form, CASE WHEN top >= 5 * w.n THEN top END AS form_n FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root, 0 AS i FROM f UNION ALL SELECT k.word, f.form, i + 1 FROM walk k JOIN f ON f.word = k.root WHERE f.form IS NOT NULL)
+SELECT word, form, arg_max(root, i) AS root, n, n_near, form_n FROM walk JOIN f USING (word) GROUP BY word, form, n, n_near, form_n""",
     "op13_repair": rf"""
 WITH RECURSIVE {_CRC_TABLE},
 ways(sym, st, st2, c, way) AS (VALUES {_WAYS}),
 raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)")} % 20 AS k FROM conversations, crc),
 rows_ AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM raw, range(CASE WHEN k = 3 THEN 2 ELSE 1 END) WHERE k <> 0),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos FROM rows_),
-seen AS (SELECT *, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS final, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, lag(role) OVER (PARTITION BY conv_id ORDER BY pos) AS prev FROM placed),
+seen AS (SELECT *, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS final, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, lag(role) OVER (PARTITION BY conv_id ORDER BY pos) AS prev FROM placed),
 f AS (SELECT *, CASE WHEN final = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, CASE WHEN role[1:1] IN ('s', 'u', 'a') THEN role[1:1] ELSE 'o' END AS r FROM seen),
 syms AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' WHEN fault = 'truncated' THEN upper(r) ELSE r END AS sym FROM f),
 dp AS (SELECT DISTINCT conv_id, 0::BIGINT AS pos, 0 AS st, 0::BIGINT AS cost, '' AS audit FROM conversations
