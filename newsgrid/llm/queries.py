@@ -15,6 +15,7 @@ from newsgrid.llm.quality import COVERED, STOP_WORDS, UNSPACED, op9_quality
 from newsgrid.llm.repair import op13_repair, symbol_matrix
 from newsgrid.llm.sharding import op8_sharding
 from newsgrid.llm.simhash import op7_simhash
+from newsgrid.llm.suffix_dedup import op12_suffix_dedup
 from newsgrid.llm.tokens import op5_token_count
 from newsgrid.llm.variants import LOWER, UPPER, op11_variants
 from newsgrid.llm.warc import op10_warc
@@ -36,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": _over("documents", op9_quality),
     "op10_warc": _over("pages", op10_warc),
     "op11_variants": _over("documents", op11_variants),
+    "op12_suffix_dedup": _over("documents", op12_suffix_dedup),
     "op13_repair": _over("conversations", op13_repair),
 }
 
