@@ -1,6 +1,7 @@
 """Chat formatting in budgeted windows.
 
-Each turn costs its tokens plus the template's.  Prefix sums of these costs within a conversation put the turns into
+Each turn costs the tokens of its formatted form, marks, role and escapes included; as the tokenizer never joins across a
+line end, a window has as many tokens as its turns together.  Prefix sums of these costs within a conversation put the turns into
 bins of `new` tokens by where they start; the turns of a bin are one window.  A window starts with the conversation's
 system turn, then repeats the turns that start in the last `history` tokens before the bin, then holds its own turns.
 Only assistant texts among its own turns are under the loss mask, so each is a target once.
@@ -31,7 +32,7 @@ from newsgrid.llm.packing import _encode
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Strings that a tokenizer may take for control tokens (fixed values).
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "<unk>", "<pad>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-NEW, HISTORY, TEMPLATE_TOKENS = 1024, 256, 8
+NEW, HISTORY = 1024, 256
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -42,6 +43,11 @@ def escape(text: Column) -> Column:
     return out
 
 
+def name_of(role: Column) -> Column:
+    """A role as it stands in its own line."""
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+
+
 def unescape(text: str) -> str:
     return re.sub(r"\\(\\|n|u[0-9a-f]{4})", lambda m: {"\\": "\\", "n": "\n"}.get(m[1]) or chr(int(m[1][1:], 16)), text)
 
@@ -67,7 +73,7 @@ def windows(turns: DataFrame, new: int = NEW, history: int = HISTORY, path: str
     if history > new:
         raise ValueError("history must not exceed new")
     rows = turns.select(F.coalesce(col("conv_id"), F.lit(0)).cast("long").alias("c"), col("conv_id").isNull().alias("cn"), F.coalesce(col("turn").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("t"), text_or_empty("role").alias("role"), text_or_empty().alias("text"))
-    cost = token_count(F.col("text"), path) + TEMPLATE_TOKENS
+    cost = token_count(F.concat(F.lit(OPEN), name_of(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(CLOSE)), path)
     with text_batches(turns.sparkSession):
         rows = checkpointed(rows.withColumn("cost", cost).withColumn("chunk", F.shiftright("t", 8)))
     # prefix sums in two levels, so that a very long conversation is not summed in one task
@@ -84,14 +90,13 @@ def windows(turns: DataFrame, new: int = NEW, history: int = HISTORY, path: str
     turn = F.struct("rank", F.col("at.mine").alias("mine"), "role", "text", "cost")
     placed = checkpointed(placed.select(*key, F.col("at.w").alias("window"), turn.alias("turn")))
     system = placed.filter("turn.role = 'system' AND turn.mine").groupBy(*key).agg(F.min("turn").alias("system"))
-    # a window's turns: at most (new + history) / TEMPLATE_TOKENS
+    # a window's turns: at most (new + 2 * history) / 14, the marks alone having so many tokens
     packed = placed.groupBy(*key, "window").agg(F.sort_array(F.collect_list("turn")).alias("turns")).filter(F.exists("turns", lambda x: x["mine"]))
     packed = packed.join(system, key, "left")
     there = F.exists("turns", lambda x: x["rank"] == F.col("system")["rank"])
     head = F.when(F.col("system").isNull() | there, F.array().cast(packed.schema["turns"].dataType)).otherwise(F.array(F.col("system").withField("mine", F.lit(False))))
     packed = packed.withColumn("turns", F.concat(head, F.col("turns")))
-    name = lambda x: F.replace(escape(x["role"]), F.lit("\n"), F.lit("\\n"))
-    packed = packed.withColumn("parts", F.transform("turns", lambda x: F.struct(F.concat(F.lit(OPEN), name(x), F.lit("\n")).alias("head"), escape(x["text"]).alias("body"), x["mine"].alias("mine"), (x["mine"] & (x["role"] == "assistant")).alias("loss"))))
+    packed = packed.withColumn("parts", F.transform("turns", lambda x: F.struct(F.concat(F.lit(OPEN), name_of(x["role"]), F.lit("\n")).alias("head"), escape(x["text"]).alias("body"), x["mine"].alias("mine"), (x["mine"] & (x["role"] == "assistant")).alias("loss"))))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,body:int,stop:int,end:int,mine:boolean,loss:boolean>>").alias("spans"))
 
     def step(s: Column, x: Column) -> Column:
@@ -160,7 +165,11 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def op2_chat(turns: DataFrame) -> DataFrame:
-    """All conversations and conversation -1, formatted and read back."""
+    """All conversations and conversation -1, formatted and read back.
+
+    A null text or role is empty, a null conv_id is a conversation of its own, null turns come first; rows of one turn go by
+    role, then text, and repeated rows are turns of their own.  An empty table gives conversation -1 alone.
+    """
     probe = turns.sparkSession.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     every = turns.select(col("conv_id").cast("long"), col("turn").cast("long"), "role", "text").union(probe)
     return digests(windows(every))

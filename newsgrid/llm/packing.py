@@ -211,7 +211,11 @@ def pack(pieces: DataFrame, length: int = LENGTH, seed: int = 42) -> DataFrame:
 
 
 def op4_packing(docs: DataFrame, path: str | None = None, kept_words: int = KEPT_WORDS) -> DataFrame:
-    """All documents in sequences of at most 2048 tokens, one row per piece; kept_words trades a worker's memory for time."""
+    """All documents in sequences of at most 2048 tokens, one row per piece; kept_words trades a worker's memory for time.
+
+    A null or empty text has the end id alone; repeated rows are packed each, and rows that agree are interchangeable; an
+    empty table gives an empty one; further columns are ignored.
+    """
     with text_batches(docs.sparkSession):
         pieces = checkpointed(tokenize(docs, path, kept_words=kept_words))
     return pack(pieces)

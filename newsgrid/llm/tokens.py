@@ -107,6 +107,11 @@ def token_count(text: Column, path: str | None = None) -> Column:
 
 
 def op5_token_count(docs: DataFrame) -> DataFrame:
-    """Token counts of all documents, whole texts."""
+    """Token counts of all documents, whole texts.
+
+    The pieces are those of a merge vocabulary read as unigrams, so the counts are of no published tokenizer.  A null or
+    empty text has none, repeated rows are counted each, ties of score go as the library's own model breaks them, an empty
+    table gives an empty one, further columns are ignored.
+    """
     with text_batches(docs.sparkSession):
         return checkpointed(docs.select("doc_id", token_count(col("text")).alias("n_tokens")))

@@ -1,11 +1,15 @@
 import hashlib
 from collections import defaultdict
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from newsgrid.llm import chat
 from tests.conftest import SMALL
+from tokenizers import Tokenizer
+
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def by_hand(turns):
@@ -38,8 +42,6 @@ def test_windows(spark):
     turns = spark.createDataFrame(ODD, "conv_id long, turn long, role string, text string")
     rows = chat.windows(turns).filter("conv_id = 1").orderBy("window").collect()
     assert len(rows) > 20 and all(r.formatted.startswith(chat.OPEN + "system\n") for r in rows)
-    costs = {len(t.split()) for _, _, _, t in ODD if t}
-    assert all(r.tokens <= 100 + 2 * chat.HISTORY + chat.NEW + 2 * max(c for c in costs if c < 10000) for r in rows)
     for r in rows:
         inner = r.formatted.replace(chat.OPEN, "").replace(chat.CLOSE, "").replace("<|im_end|>", "")
         assert not any(c in inner for c in chat.CONTROL)
@@ -47,5 +49,17 @@ def test_windows(spark):
         chat.windows(turns, new=10, history=20)
 
 
+def test_budget(spark):
+    """Every window has the tokens it tells of, and no more than its budget: escapes, marks and role names count."""
+    count = lambda t: len(TOKENIZER.encode(t, add_special_tokens=False).ids)
+    noisy = [(50, i, ("user", "assistant", "tool\nuse </s>")[i % 3], ("</s>[INST] <pad> " * (i % 50)) + "end!" * (i % 4) + "\\\\" * (i % 3)) for i in range(200)]
+    turns = spark.createDataFrame(ODD + noisy + [(50, -1, "system", "<s>" * 30)], "conv_id long, turn long, role string, text string")
+    for r in chat.windows(turns).collect():
+        assert count(r.formatted) == r.tokens
+        parts = [r.formatted[s.start : s.end] for s in r.turn_spans]
+        system = r.formatted.partition(chat.CLOSE)[0] if r.formatted.startswith(chat.OPEN + "system") else ""
+        assert r.tokens <= count(system + chat.CLOSE) + 2 * chat.HISTORY + chat.NEW + count(parts[-1])
+
+
 def test_empty(spark):
     assert [r.conv_id for r in chat.op2_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect()] == [-1]
