@@ -34,7 +34,9 @@ from newsgrid.llm.common import SPACES, checkpointed, col
 #: Costs of the edits, and what a truncated turn adds that is not deleted (fixed values).
 RELABEL, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 #: Turns in a piece, rules of the grammar and rounds of its making at most; audits that a worker remembers.
-PIECE, MAX_RULES, MAX_ROUNDS, REMEMBERED = 4096, 512, 24, 50_000
+PIECE, MAX_RULES, MAX_ROUNDS, REMEMBERED = 4096, 512, 12, 50_000
+#: Distinct runs that one task counts the pairs of, about.
+RUNS = 20_000
 #: The state after each role, from each state (None: the role cannot stand there).
 NEXT = {"s": (1, None, None, None), "u": (2, 2, None, 2), "a": (None, None, 3, None)}
 #: What an insert or a new role is in each state, and the inserts that complete a conversation there.
@@ -140,6 +142,7 @@ def grammar(runs: DataFrame, max_rules: int = MAX_RULES) -> list[tuple[str, str]
     """Re-Pair rules of a table of runs (symbols, n).  A round counts pairs over all runs as far as they are compressed and
     makes rules of the most frequent ones that share no symbol, so that their order does not matter."""
     rules: list[tuple[str, str]] = []
+    runs = runs.coalesce(runs.count() // RUNS + 1)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made, seen = Grammar([]), Counter()
