@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from newsgrid.checkpoint import checkpointed
 from newsgrid.functions import similarity, text
 from newsgrid.operators.components import connected_components
 from newsgrid.operators.rank import small
-from newsgrid.operators.tfidf import cosine_pairs, tfidf
+from newsgrid.operators.tfidf import cosine_pairs, packed_tfidf
 
+PLACES = "array<struct<country:string,admin1:string,admin2:string,city:string,metro:string>>"
 #: Rows of features, which may hold long lists, that are sent to all tasks at most.
 FEATURE_ROWS = 20_000
 
@@ -44,26 +46,72 @@ def features(items: DataFrame, municipalities: DataFrame | None = None, key: str
 
 def pair_features(pairs: DataFrame, feats: DataFrame, key: str = "item_id", weights: dict[str, float] | None = None, hours: float = vocab.CLUSTER_HOURS) -> DataFrame:
     """Pairs (a, b, cosine) with location, entity, time and score, those without genuine overlap left out."""
-    side = lambda n: feats.select(F.col(key).alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("entities", "places", "locations", "published_at")])
+    hashed = lambda x: F.transform(x, lambda e: F.xxhash64(e))  # noqa: E731  what is compared for each pair is made once
+    long = lambda x: F.filter(x, lambda e: e.contains(" "))
+    folded = F.transform("locations", lambda x: F.struct(*[F.lower(x[f]).alias(f) for f in ("country", "admin1", "admin2", "city", "metro")]))
+    light = feats.select(key, hashed(F.col("entities")).alias("e"), hashed(long(F.col("entities"))).alias("l"), hashed(F.col("places")).alias("p"), folded.alias("w"), F.col("published_at").alias("t"))
+    side = lambda n: light.select(F.col(key).alias(n), *[F.col(c).alias(f"{c}_{n}") for c in "elpwt"])
     both = pairs.join(small(side("a"), FEATURE_ROWS), "a").join(small(side("b"), FEATURE_ROWS), "b")
-    out = both.withColumns({
-        "location": similarity.location_similarity(F.col("locations_a"), F.col("locations_b")),
-        "entity": similarity.entity_similarity(F.col("entities_a"), F.col("entities_b"), F.concat("places_a", "places_b")),
-        "time": similarity.time_similarity(F.col("published_at_a"), F.col("published_at_b"), hours),
+    shared = both.withColumn("s", F.array_except(F.array_intersect("e_a", "e_b"), F.concat("p_a", "p_b")))
+    out = shared.withColumns({
+        "location": similarity.location_similarity(F.col("w_a"), F.col("w_b"), lambda x: x),
+        "entity": F.when(F.size("s") == 0, 0.0).when(F.arrays_overlap("s", "l_a"), 1.0).otherwise(F.least(F.lit(1.0), 0.5 + 0.25 * (F.size("s") - 1))),
+        "time": similarity.time_similarity(F.col("t_a"), F.col("t_b"), hours),
     }).filter(similarity.genuine_overlap(F.col("cosine"), F.col("entity")))
     score = similarity.pair_score(F.col("cosine"), F.col("location"), F.col("entity"), F.col("time"), weights)
     return out.select(*[c for c in pairs.columns], "location", "entity", "time", score.alias("score"))
 
 
+def place_codes(locations: Column) -> Column:
+    """Five numbers for each location: hashes of country, state, county, metro and city, 0 where there is none."""
+    def code(x: Column) -> Column:
+        return F.when(F.coalesce(x, F.lit("")) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(F.lower(x)))
+
+    return F.flatten(F.transform(F.coalesce(locations, F.array().cast(PLACES)), lambda x: F.array(*[code(x[f]) for f in ("country", "admin1", "admin2", "metro", "city")])))
+
+
+def may_reach(least: float, w: dict[str, float], hours: float):
+    """For blocks of items with columns at, codes and entities: which pairs can reach a score of `least`.  Dates and places
+    count as they are, entities as a full mark where any is shared."""
+
+    def codes(rows: pd.DataFrame) -> np.ndarray:
+        n = max(1, max((len(x) // 5 for x in rows["codes"]), default=1))
+        out = np.zeros((len(rows), n, 5), dtype=np.int64)
+        for i, x in enumerate(rows["codes"]):
+            out[i, : len(x) // 5] = np.reshape(np.asarray(x, dtype=np.int64), (-1, 5))
+        return out
+
+    def run(left: pd.DataFrame, right: pd.DataFrame, r: np.ndarray, c: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        ta, tb = left["at"].to_numpy(dtype=float)[r], right["at"].to_numpy(dtype=float)[c]
+        time = np.nan_to_num(np.maximum(0.0, 1 - np.abs(ta - tb) / 3600 / hours), nan=0.5)
+        score = w["tfidf"] * cosine + w["time"] * time
+        held = np.flatnonzero(score + w["location"] + w["entity"] >= least - 1e-9)
+        la, lb, place = codes(left), codes(right), np.zeros(len(held))
+        for x in range(la.shape[1]):
+            for y in range(lb.shape[1]):
+                p, q = la[r[held], x], lb[c[held], y]
+                same = (p == q) & (p != 0)
+                level = np.where(same[:, 4], 1.0, np.where(same[:, 2] | same[:, 3], 0.8, np.where(same[:, 1], 0.6, 0.4)))
+                place = np.maximum(place, np.where(same[:, 0], level, 0.0))
+        score = score[held] + w["location"] * place
+        near = score + w["entity"] >= least - 1e-9
+        held, score = held[near], score[near]
+        needs = np.flatnonzero((score < least + 1e-9) | (cosine[held] < vocab.TEXT_ALONE))
+        ea, eb = [set(x) for x in left["entities"]], [set(x) for x in right["entities"]]
+        lacks = [k for k in needs.tolist() if ea[r[held[k]]].isdisjoint(eb[c[held[k]]])]
+        return np.delete(held, lacks)
+
+    return run
+
+
 def scored_pairs(items: DataFrame, municipalities: DataFrame | None = None, by: str | None = None, weights: dict[str, float] | None = None, hours: float = vocab.CLUSTER_HOURS, least: float = 0.0) -> DataFrame:
     """Pairs of items with their cosine, similarities and score; those that cannot reach a score of `least` may be left out."""
-    pairs = cosine_pairs(tfidf(items.withColumn("_text", item_text()), "item_id", "_text", by), "item_id", vocab.TEXT_WITH_ENTITY, by)
-    if least > 0:  # full marks for places and entities at best: dates alone rule many pairs out, before lists are joined
-        w = {**vocab.CLUSTER_WEIGHTS, **(weights or {})}
-        at = lambda n: small(items.select(F.col("item_id").alias(n), F.col("published_at").alias(f"t{n}")))
-        best = w["tfidf"] * F.col("cosine") + w["location"] + w["entity"] + w["time"] * similarity.time_similarity(F.col("ta"), F.col("tb"), hours)
-        pairs = pairs.join(at("a"), "a").join(at("b"), "b").filter(best >= least - 1e-9).drop("ta", "tb")
-    return pair_features(pairs, checkpointed(features(items, municipalities, by=by)), weights=weights, hours=hours)
+    w, feats = {**vocab.CLUSTER_WEIGHTS, **(weights or {})}, checkpointed(features(items, municipalities, by=by))
+    vectors, keep = packed_tfidf(items.withColumn("_text", item_text()), "item_id", "_text", by), None
+    if least > 0:  # full marks for entities at best: dates and places rule many pairs out, before lists are joined
+        light = feats.select("item_id", (F.unix_micros(F.col("published_at").cast("timestamp")) / 1e6).alias("at"), place_codes(F.col("locations")).alias("codes"), F.transform("entities", lambda e: F.xxhash64(e)).alias("entities"))
+        vectors, keep = vectors.join(light, "item_id"), may_reach(least, w, hours)
+    return pair_features(cosine_pairs(vectors, "item_id", vocab.TEXT_WITH_ENTITY, by, keep), feats, weights=weights, hours=hours)
 
 
 def _assign(hours: float):
@@ -196,7 +244,7 @@ def merge_clusters(members: DataFrame, threshold: float = vocab.MERGE_THRESHOLD,
     floor = max(vocab.TEXT_WITH_ENTITY, (threshold - w["location"] - w["entity"] - w["time"]) / w["tfidf"])
     ordered = F.array_sort(F.collect_list(F.struct("published_at", "url", "item_id", item_text().alias("text"))))
     docs = checkpointed(members.groupBy("event_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"), F.flatten(F.collect_list("locations")).alias("locations"), F.min("published_at").alias("first"), (F.unix_micros(F.max("published_at").cast("timestamp")) / 1e6).alias("last_at")))
-    pairs = checkpointed(cosine_pairs(tfidf(docs, "event_id", "text"), "event_id", floor))
+    pairs = checkpointed(cosine_pairs(packed_tfidf(docs, "event_id", "text"), "event_id", floor))
     groups = connected_components(pairs).withColumnRenamed("node", "event_id")
     rows = docs.join(groups, "event_id").select("component", F.struct("first", "event_id").alias("order"), "event_id", text.extract_entities(F.col("text")).alias("entities"), similarity.place_names(F.col("locations")).alias("places"), "locations", "last_at")
     rows = checkpointed(rows)

@@ -117,7 +117,7 @@ COSINES = VECTORS + ", cos AS (SELECT x.item_id AS a, y.item_id AS b, sum(x.w *
 
 def vectors(spark, d):
     i = items(spark, d).withColumn("t", F.concat_ws(" ", "headline", "excerpt"))
-    return tfidf.tfidf(i, "item_id", "t", stops=STOPS)
+    return tfidf.packed_tfidf(i, "item_id", "t", stops=STOPS)
 
 
 @query("vocabulary", with_views("items", COUNTS + " SELECT term, df, total FROM words"))
@@ -128,7 +128,7 @@ def vocabulary(spark, d):
 
 @query("tfidf", with_views("items", VECTORS + " SELECT item_id, term, round(w, 6)::DOUBLE AS weight FROM vec"))
 def tfidf_vectors(spark, d):
-    return vectors(spark, d).select("item_id", "term", F.round("weight", 6).alias("weight"))
+    return tfidf.unpacked(vectors(spark, d), "item_id").select("item_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("cosine_pairs", with_views("items", COSINES + " SELECT a, b, round(cosine, 6)::DOUBLE AS cosine FROM cos WHERE cosine >= 0.2"))
