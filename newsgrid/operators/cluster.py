@@ -7,6 +7,8 @@ With `by`, the items of each value of that column are clustered by themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,8 @@ from newsgrid.checkpoint import checkpointed
 from newsgrid.functions import similarity, text
 from newsgrid.operators.components import connected_components
 from newsgrid.operators.rank import small
-from newsgrid.operators.tfidf import cosine_pairs, packed_tfidf
+from newsgrid.operators.state import REPLACEMENT
+from newsgrid.operators.tfidf import cosine_pairs, packed_tfidf, stop_words, tokens, weigh, words_of
 
 PLACES = "array<struct<country:string,admin1:string,admin2:string,city:string,metro:string>>"
 #: Rows of features, which may hold long lists, that are sent to all tasks at most.
@@ -199,7 +202,7 @@ def _merge(threshold: float, hours: float, w: dict[str, float]):
         return best
 
     def features(r) -> dict:
-        return {"locs": [tuple(x[f] or "" for f in ("country", "admin1", "admin2", "city", "metro")) for x in r.locations], "ents": set(r.entities), "places": set(r.places), "last": r.last_at}
+        return {"locs": [tuple(x[f] or "" for f in ("country", "admin1", "admin2", "city", "metro")) for x in r.locations], "ents": set(r.entities), "places": set(r.places), "last": r.last_at, "first": r.first_at}
 
     def alike(x: dict, y: dict, cos: float) -> bool:
         shared = (x["ents"] & y["ents"]) - x["places"] - y["places"]
@@ -226,50 +229,240 @@ def _merge(threshold: float, hours: float, w: dict[str, float]):
                     y = features(r)
                     if alike(x, y, r.cosine):
                         into[r.later] = name
-                        known = x["last"] == x["last"] and y["last"] == y["last"]
-                        x["locs"], x["places"] = x["locs"] + y["locs"], x["places"] | y["places"]
-                        x["last"] = max(x["last"], y["last"]) if known else (x["last"] if x["last"] == x["last"] else y["last"])
+                        x["locs"], x["places"] = list({*x["locs"], *y["locs"]}), x["places"] | y["places"]
+                        known = [t for t in (x["first"], x["last"], y["first"], y["last"]) if t == t]
+                        x["first"], x["last"] = (min(known), max(known)) if known else (x["first"], x["last"])
             yield pd.DataFrame(out, columns=["event_id", "survivor"])
 
     return run
 
 
-def merge_clusters(members: DataFrame, threshold: float = vocab.MERGE_THRESHOLD, hours: float = vocab.CLUSTER_HOURS, weights: dict[str, float] | None = None) -> DataFrame:
+def _in_order(members: DataFrame) -> DataFrame:
+    """event_id, pos (from 1, by date, URL and id, undated first) and text of all members."""
+    turn = Window.partitionBy("event_id").orderBy(F.col("published_at").asc_nulls_first(), F.asc("url"), F.asc("item_id"))
+    return members.select("event_id", F.row_number().over(turn).alias("pos"), item_text().alias("text"))
+
+
+def event_terms(ordered: DataFrame, stops: list[str] | None = None) -> DataFrame:
+    """(event_id, term, tf) of the texts of events, put one after the other: the terms of each item, and the pairs of words
+    that meet where one item ends and the next with words begins.  Only these two words travel with an item."""
+    stops = stops if stops is not None else stop_words()
+    own = ordered.select("event_id", F.explode(tokens(F.col("text"), stops)).alias("term"))
+    ends = ordered.withColumn("w", words_of(F.col("text"), stops)).filter(F.size("w") > 0).select("event_id", "pos", F.element_at("w", 1).alias("first"), F.element_at("w", -1).alias("last"))
+    before = F.lag("last").over(Window.partitionBy("event_id").orderBy("pos"))
+    seams = ends.withColumn("before", before).filter("before IS NOT NULL").select("event_id", F.concat_ws(" ", "before", "first").alias("term"))
+    return own.unionByName(seams).groupBy("event_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def event_entities(ordered: DataFrame) -> DataFrame:
+    """(event_id, entity) of the texts of events, put one after the other.  Capitalised spans that end one item and begin
+    the next are one span there; texts stay apart, only such spans are put together."""
+    span = "[A-Z][a-z]{2,}(?:\\s+[A-Z][a-z]{2,})*"
+    rows = ordered.filter("text <> ''").select("event_id", "pos", F.regexp_extract_all("text", F.lit(rf"(?U)\b({span})\b"), F.lit(1)).alias("spans"), F.regexp_extract("text", rf"(?U)^({span})\b", 1).alias("head"), F.regexp_extract("text", rf"(?U)\b({span})$", 1).alias("tail"), "text")
+    turn = Window.partitionBy("event_id").orderBy("pos")
+    rows = rows.select("event_id", "pos", "spans", "head", "tail", (F.col("head") == F.col("text")).alias("whole"), ((F.col("head") != "") & (F.lag("tail", 1, "").over(turn) != "")).alias("left"), ((F.col("tail") != "") & (F.lead("head", 1, "").over(turn) != "")).alias("right"))
+    inner = F.slice("spans", F.when(F.col("left"), 2).otherwise(1), F.greatest(F.size("spans") - F.col("left").cast("int") - F.when(F.col("whole") & F.col("left"), 0).otherwise(F.col("right").cast("int")), F.lit(0)))
+    own = rows.select("event_id", F.explode(inner).alias("span"))
+    part = lambda text, starts, k: F.struct(F.col(text).alias("part"), starts.alias("starts"), F.lit(k).alias("k"))
+    ends = F.when(F.col("whole") & (F.col("left") | F.col("right")), F.array(part("head", ~F.col("left"), 0))).otherwise(F.filter(F.array(F.when(F.col("left") & ~F.col("whole"), part("head", F.lit(False), 0)), F.when(F.col("right") & ~F.col("whole"), part("tail", F.lit(True), 1))), lambda x: x.isNotNull()))
+    parts = rows.select("event_id", "pos", F.explode(ends).alias("x")).select("event_id", "pos", "x.*")
+    each = Window.partitionBy("event_id").orderBy("pos", "k")
+    chains = parts.withColumn("chain", F.sum(F.col("starts").cast("int")).over(each.rowsBetween(Window.unboundedPreceding, 0))).withColumn("gap", F.when(F.col("starts"), 0).otherwise(F.col("pos") - F.lag("pos").over(each)))
+    # items without text leave one more blank each
+    spelt = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.concat(F.repeat(F.lit(" "), F.col("gap")), F.col("part")).alias("t")))), lambda x: x["t"]), "")
+    joined = chains.groupBy("event_id", "chain").agg(spelt.alias("span")).select("event_id", "span")
+    return own.unionByName(joined).filter(~F.col("span").isin(*vocab.ENTITY_STOP_WORDS)).select("event_id", F.lower("span").alias("entity")).distinct()
+
+
+def merge_survivors(members: DataFrame, threshold: float = vocab.MERGE_THRESHOLD, hours: float = vocab.CLUSTER_HOURS, weights: dict[str, float] | None = None, bounds: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """C14: (event_id, survivor): clusters that are nearly the same go into the oldest; members: items with event_id.
 
-    A pair can only merge if its cosine makes up for full marks in everything else; the ordered rule runs on the
-    components of such pairs.  Texts, and so cosines and entities, stay those of the clusters as they came.
+    bounds: event_id, first_seen and last_seen (timestamps) of the clusters, else those of the members.  With `by`, the
+    clusters of each value of that column are merged by themselves.  A pair can only merge if its cosine makes up for full
+    marks in everything else; the ordered rule runs on the components of such pairs.  Texts, and so cosines and entities,
+    stay those of the clusters as they came; a cluster's texts are never put into one row.
     """
-    w = {**vocab.CLUSTER_WEIGHTS, **(weights or {})}
+    w, group = {**vocab.CLUSTER_WEIGHTS, **(weights or {})}, [by] if by else []
     floor = max(vocab.TEXT_WITH_ENTITY, (threshold - w["location"] - w["entity"] - w["time"]) / w["tfidf"])
-    ordered = F.array_sort(F.collect_list(F.struct("published_at", "url", "item_id", item_text().alias("text"))))
-    docs = checkpointed(members.groupBy("event_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"), F.flatten(F.collect_list("locations")).alias("locations"), F.min("published_at").alias("first"), (F.unix_micros(F.max("published_at").cast("timestamp")) / 1e6).alias("last_at")))
-    pairs = checkpointed(cosine_pairs(packed_tfidf(docs, "event_id", "text"), "event_id", floor))
+    ordered = checkpointed(_in_order(members))
+    if bounds is None:
+        bounds = members.groupBy("event_id").agg(F.min("published_at").alias("first_seen"), F.max("published_at").alias("last_seen"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    events = bounds.select("event_id", F.col("first_seen").alias("first"), micros("first_seen").alias("first_at"), micros("last_seen").alias("last_at"))
+    if by:
+        events = events.join(members.select("event_id", by).distinct(), "event_id")
+    events = checkpointed(events)
+    terms = event_terms(ordered)
+    vectors = weigh(terms.join(events.select("event_id", *group), "event_id") if by else terms, events, "event_id", by)
+    pairs = checkpointed(cosine_pairs(vectors, "event_id", floor, by).select("a", "b", "cosine"))
     groups = connected_components(pairs).withColumnRenamed("node", "event_id")
-    rows = docs.join(groups, "event_id").select("component", F.struct("first", "event_id").alias("order"), "event_id", text.extract_entities(F.col("text")).alias("entities"), similarity.place_names(F.col("locations")).alias("places"), "locations", "last_at")
-    rows = checkpointed(rows)
+    inside = members.join(groups, "event_id", "left_semi")
+    places = inside.select("event_id", F.explode("locations").alias("x")).groupBy("event_id").agg(F.collect_set("x").alias("locations"))
+    names = event_entities(ordered.join(groups, "event_id", "left_semi")).groupBy("event_id").agg(F.collect_set("entity").alias("entities"))
+    rows = events.drop(*group).join(groups, "event_id").join(places, "event_id", "left").join(names, "event_id", "left")
+    locations = F.coalesce("locations", F.array().cast(members.schema["locations"].dataType))
+    rows = checkpointed(rows.select("component", F.struct("first", "event_id").alias("order"), "event_id", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), similarity.place_names(locations).alias("places"), locations.alias("locations"), "first_at", "last_at"))
     of = lambda n: rows.select(F.col("event_id").alias(n), F.col("order").alias(f"order_{n}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     low, high = (F.when((F.col("order_a") < F.col("order_b")) == first, F.struct(F.col("order_a").alias("order"), F.col("a").alias("id"))).otherwise(F.struct(F.col("order_b").alias("order"), F.col("b").alias("id"))) for first in (True, False))
     ends = both.select(low.alias("low"), high.alias("high"), "cosine").select(F.col("low.order").alias("order"), F.col("low.id").alias("event_id"), F.col("high.order").alias("later_order"), F.col("high.id").alias("later"), "cosine")
     links = ends.join(rows.drop("order").withColumnRenamed("event_id", "later"), "later")
     heads = rows.withColumns({"later_order": F.lit(None).cast(rows.schema["order"].dataType), "later": F.lit(None).cast("string"), "cosine": F.lit(None).cast("double")})
-    ordered = heads.unionByName(links.select(*heads.columns)).repartition("component").sortWithinPartitions("component", "order", F.col("later_order").asc_nulls_first()).drop("order", "later_order")
-    merged = ordered.mapInPandas(_merge(threshold, hours, w), "event_id string, survivor string")
-    return docs.select("event_id").join(merged, "event_id", "left").withColumn("survivor", F.coalesce("survivor", "event_id"))
+    ordered_rows = heads.unionByName(links.select(*heads.columns)).repartition("component").sortWithinPartitions("component", "order", F.col("later_order").asc_nulls_first()).drop("order", "later_order")
+    merged = ordered_rows.mapInPandas(_merge(threshold, hours, w), "event_id string, survivor string")
+    return events.select("event_id").join(merged, "event_id", "left").withColumn("survivor", F.coalesce("survivor", "event_id"))
 
 
-def revalidate_clusters(members: DataFrame, threshold: float = vocab.CLUSTER_THRESHOLD, hours: float = vocab.CLUSTER_HOURS, weights: dict[str, float] | None = None) -> DataFrame:
-    """(event_id, item_id, new_id, split): each stored cluster's members are clustered again by themselves.
+def merge_records(clusters: DataFrame, survivors: DataFrame) -> DataFrame:
+    """C14: the records of clusters after a merge: event_id, version, aliases, first_seen, last_seen, absorbed.
 
-    Of a cluster that falls apart the piece with the earliest member keeps the id; the others are named after their
-    first members, with a suffix where that id is taken.
+    clusters: event_id, version, aliases, first_seen, last_seen; survivors: event_id, survivor.  Clusters go into a survivor
+    in the order of first_seen and id.  Its aliases stay first, then each absorbed id follows with its own aliases; the first
+    place of an alias counts, empty ones and the survivor's own id are left out.  Bounds widen, the largest version stays.
     """
-    pieces = cluster_items(members, threshold, hours, weights, by="event_id").select("item_id", F.col("event_id").alias("piece"))
-    rows = members.select("event_id", "item_id", "published_at", "url").join(pieces, "item_id")
-    heads = rows.groupBy("event_id", "piece").agg(F.min(F.struct(F.col("published_at").isNull().alias("n"), "published_at", "url", "item_id")).alias("head"))
-    order = Window.partitionBy("event_id").orderBy("head")
-    heads = heads.withColumn("i", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("event_id")))
-    taken = members.select(F.col("event_id").alias("piece")).distinct().withColumn("taken", F.lit(True))
-    named = heads.join(taken, "piece", "left").select("event_id", "piece", F.when(F.col("i") == 1, F.col("event_id")).when(F.coalesce("taken", F.lit(False)), F.concat("piece", F.lit("-2"))).otherwise(F.col("piece")).alias("new_id"), (F.col("n") > 1).alias("split"))
-    return rows.join(named, ["event_id", "piece"]).select("event_id", "item_id", "new_id", "split")
+    rows = clusters.join(survivors, "event_id").withColumn("rank", F.struct((F.col("event_id") != F.col("survivor")).alias("taken"), "first_seen", "event_id"))
+    own = F.when(F.col("rank.taken"), F.array("event_id")).otherwise(F.array().cast("array<string>"))
+    claims = rows.select("survivor", "rank", F.posexplode(F.concat(own, F.coalesce("aliases", F.array().cast("array<string>")))).alias("i", "alias")).filter("alias <> '' AND alias <> survivor")
+    first = claims.groupBy("survivor", "alias").agg(F.min(F.struct("rank", "i")).alias("at"))
+    lists = first.groupBy("survivor").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    ends = F.array("first_seen", "last_seen")
+    wide = rows.groupBy("survivor").agg(F.max(F.coalesce("version", F.lit(1))).cast("int").alias("version"), F.min("first_seen").alias("f"), F.max("last_seen").alias("l"), F.min(F.array_min(ends)).alias("first_seen"), F.max(F.array_max(ends)).alias("last_seen"), F.count_if("rank.taken").alias("absorbed"))
+    lone = F.col("absorbed") == 0  # as it came, even if its bounds are the wrong way round
+    out = wide.join(lists, "survivor", "left")
+    return out.select(F.col("survivor").alias("event_id"), "version", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.when(lone, F.col("f")).otherwise(F.col("first_seen")).alias("first_seen"), F.when(lone, F.col("l")).otherwise(F.col("last_seen")).alias("last_seen"), "absorbed")
+
+
+def merge_members(clusters: DataFrame, members: DataFrame, survivors: DataFrame) -> DataFrame:
+    """C14: (event_id, item_id, position): the members of merged clusters, a survivor's own first, then those of each cluster
+    that it took in; within a cluster by date, URL and id."""
+    rows = members.join(survivors, "event_id").join(clusters.select("event_id", "first_seen"), "event_id")
+    turn = Window.partitionBy("survivor").orderBy(F.col("event_id") != F.col("survivor"), F.col("first_seen").asc_nulls_first(), "event_id", F.col("published_at").asc_nulls_first(), "url", "item_id")
+    return rows.select(F.col("survivor").alias("event_id"), "item_id", (F.row_number().over(turn) - 1).alias("position"))
+
+
+def merge_clusters(clusters: DataFrame, members: DataFrame, threshold: float = vocab.MERGE_THRESHOLD, hours: float = vocab.CLUSTER_HOURS, weights: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """C14: (records, members) after clusters that are nearly the same were merged; see merge_survivors, merge_records and
+    merge_members.  An item that two merged clusters hold is listed for each, as the records list it."""
+    survivors = checkpointed(merge_survivors(members, threshold, hours, weights, clusters.select("event_id", "first_seen", "last_seen")))
+    return merge_records(clusters, survivors), merge_members(clusters, members, survivors)
+
+
+BRIEF = ("brief_headline", "brief_dek", "brief_body", "brief_fingerprint", "brief_hash", "brief_at", "brief_model")
+SOURCE = "struct<source_id:string,publisher:string,headline:string,url:string,published_at:timestamp,rights_mode:string>"
+
+
+def _free_ids(claims: DataFrame, stored: DataFrame, tries: int = 100) -> DataFrame:
+    """claims (event_id, piece, base, rank) with new_id: base, or where it is taken the hash of base and a counter, as other
+    ids are made.  Ids of all stored clusters are taken; claimants of one base come in the order of rank."""
+    known = stored.select(F.col("event_id").alias("base")).distinct().withColumn("there", F.lit(1))
+    turn = F.row_number().over(Window.partitionBy("base").orderBy("rank")) - 1
+    numbered = claims.join(known, "base", "left").withColumn("n", turn + F.coalesce("there", F.lit(0))).drop("there")
+    for _ in range(tries):
+        named = checkpointed(numbered.withColumn("new_id", F.when(F.col("n") == 0, F.col("base")).otherwise(text.event_id(F.concat_ws("#", "base", F.col("n").cast("string"))))))
+        used = stored.select(F.col("event_id").alias("new_id")).distinct().withColumn("bad", F.lit(True))
+        again = F.row_number().over(Window.partitionBy("new_id").orderBy("rank")) > 1
+        judged = checkpointed(named.join(used, "new_id", "left").withColumn("bad", F.coalesce("bad", F.lit(False)) | again))
+        if judged.filter("bad").isEmpty():
+            return judged.drop("bad", "n")
+        numbered = judged.withColumn("n", F.col("n") + F.col("bad").cast("int")).drop("bad", "new_id")
+    raise RuntimeError("no free ids")
+
+
+def split_pieces(clusters: DataFrame, members: DataFrame, threshold: float = vocab.CLUSTER_THRESHOLD, merge_threshold: float = vocab.MERGE_THRESHOLD, hours: float = vocab.CLUSTER_HOURS, weights: dict[str, float] | None = None) -> DataFrame:
+    """(event_id, item_id, new_id, split): each stored cluster's members are clustered and merged again by themselves.
+
+    Of a cluster that falls apart the piece with the earliest member keeps the id; the others are named after their first
+    members, with a counter where that id is taken.  Clusters of one member are as they were.
+    """
+    # an item may be held by several clusters, and its id be of any kind
+    members = members.withColumn("k", F.xxhash64("event_id", "item_id"))
+    name = F.coalesce(F.when(F.col("url") != "", F.col("url")), F.col("item_id").cast("string"))
+    found = cluster_items(members.withColumns({"item_id": F.col("k"), "url": name}), threshold, hours, weights, by="event_id")
+    found = found.select(F.col("item_id").alias("k"), F.col("seed_id").cast("string").alias("seed"), F.col("event_id").alias("name"))
+    # a piece is named after its cluster as well, as two clusters can have pieces of one name
+    rows = members.join(found, "k").withColumn("piece", F.concat_ws("/", "event_id", "seed"))
+    again = rows.withColumn("stored", F.col("event_id")).withColumn("event_id", F.col("piece")).drop("piece", "seed", "name", "k")
+    survivors = merge_survivors(again, merge_threshold, hours, weights, by="stored").select(F.col("event_id").alias("piece"), "survivor")
+    names = rows.select(F.col("piece").alias("survivor"), "name").distinct()
+    rows = checkpointed(rows.join(survivors, "piece").drop("name").join(names, "survivor"))
+    key = F.struct(F.col("published_at").isNotNull().alias("dated"), "published_at", "url", F.col("item_id").cast("string").alias("id"))
+    heads = rows.groupBy("event_id", "survivor", "name").agg(F.min(key).alias("head"), F.min("published_at").alias("first"))
+    per = Window.partitionBy("event_id")
+    heads = heads.withColumn("n", F.count(F.lit(1)).over(per)).withColumn("anchor", F.row_number().over(per.orderBy("head")) == 1)
+    born = clusters.select("event_id", F.col("first_seen").alias("born"))
+    claims = heads.filter("n > 1 AND NOT anchor").join(born, "event_id").select("event_id", F.col("survivor").alias("piece"), F.col("name").alias("base"), F.struct("born", "event_id", "first", "name", "survivor").alias("rank"))
+    named = _free_ids(claims, clusters).select("event_id", F.col("piece").alias("survivor"), "new_id")
+    out = rows.join(heads.select("event_id", "survivor", "n"), ["event_id", "survivor"]).join(named, ["event_id", "survivor"], "left")
+    return out.select("event_id", "item_id", F.coalesce("new_id", "event_id").alias("new_id"), (F.col("n") > 1).alias("split"))
+
+
+def split_aliases(clusters: DataFrame, members: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(event_id, new_id, aliases) of the pieces of clusters that fell apart.
+
+    No piece claims another piece's id.  An alias that is the id made of a URL or id of a split-off's own member goes to that
+    split-off; what is left stays with the piece that keeps the id.  Order and first places are kept.
+    """
+    torn = pieces.filter("split")
+    claims = clusters.select("event_id", F.posexplode("aliases").alias("i", "alias")).filter("alias <> ''").groupBy("event_id", "alias").agg(F.min("i").alias("i"))
+    claims = claims.join(torn.select("event_id").distinct(), "event_id")
+    ids = torn.select("event_id", F.col("new_id").alias("alias")).distinct()
+    claims = checkpointed(claims.join(ids, ["event_id", "alias"], "left_anti"))
+    item = lambda c: F.col(c).cast("string")
+    seeds = torn.filter("new_id <> event_id").join(members.select("event_id", "item_id", "url"), ["event_id", "item_id"])
+    seeds = seeds.select("event_id", "new_id", F.explode(F.filter(F.array(item("url"), item("item_id")), lambda x: x != "")).alias("x")).select("event_id", "new_id", text.event_id(F.col("x")).alias("alias")).distinct()
+    moved = checkpointed(claims.join(seeds, ["event_id", "alias"]))
+    kept = claims.join(moved.select("event_id", "alias").distinct(), ["event_id", "alias"], "left_anti").withColumn("new_id", F.col("event_id"))
+    lists = moved.select("event_id", "new_id", "i", "alias").unionByName(kept.select("event_id", "new_id", "i", "alias")).groupBy("event_id", "new_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    every = torn.select("event_id", "new_id").distinct().join(lists, ["event_id", "new_id"], "left")
+    return every.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+
+
+def revalidate_clusters(clusters: DataFrame, members: DataFrame, threshold: float = vocab.CLUSTER_THRESHOLD, merge_threshold: float = vocab.MERGE_THRESHOLD, hours: float = vocab.CLUSTER_HOURS, weights: dict[str, float] | None = None, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(records, members) of stored clusters after their members were clustered again under the present rules.
+
+    clusters: event_id, version, status, aliases, first_seen, last_seen, headline, section, category, locations, sources
+    (arrays) and the columns of BRIEF; members: event_id, item_id, source_id, publisher, headline, excerpt, url, published_at,
+    rights_mode, locations.  U+FFFD goes from all texts, and a brief that held it goes whole.  A cluster whose members still
+    belong together keeps its record, with the bounds of its members.  Of one that falls apart, every piece loses the brief
+    and has the bounds, the first headline and at most `most` places of its members.  The piece that keeps the id keeps
+    version, status and those sources that tell of its members, by URL or headline, or all of its members if none do; a
+    split-off starts at version 1, `updated`, with its members as sources.  Ids of all stored clusters count as taken, so
+    no record is lost to another's piece.
+    """
+    clean = lambda c: F.replace(F.col(c), F.lit(REPLACEMENT), F.lit(""))
+    members = checkpointed(members.withColumns({c: clean(c) for c in ("headline", "excerpt")}))
+    dirty = reduce(or_, [F.coalesce(F.col(c).contains(REPLACEMENT), F.lit(False)) for c in BRIEF[:3]])
+    fixed = F.transform("sources", lambda x: x.withField("headline", F.replace(x["headline"], F.lit(REPLACEMENT), F.lit(""))))
+    clusters = checkpointed(clusters.withColumn("dirty", dirty).withColumns({c: F.when(~F.col("dirty"), F.col(c)) for c in BRIEF}).withColumns({"headline": clean("headline"), "sources": fixed}).drop("dirty"))
+    pieces = checkpointed(split_pieces(clusters, members, threshold, merge_threshold, hours, weights))
+    aliases = checkpointed(split_aliases(clusters, members, pieces))
+    mine = checkpointed(members.join(pieces, ["event_id", "item_id"]))
+    order = F.struct(F.col("published_at").isNotNull().alias("dated"), "published_at", "url", F.col("item_id").cast("string").alias("id"))
+    facts = mine.groupBy("event_id", "new_id", "split").agg(F.min("published_at").alias("f"), F.max("published_at").alias("l"), F.min_by("headline", order).alias("h"), F.count(F.lit(1)).alias("n_members"))
+    spots = mine.filter("split").select("new_id", order.alias("o"), F.posexplode("locations").alias("i", "x")).groupBy("new_id", "x").agg(F.min(F.struct("o", "i")).alias("at"))
+    spots = spots.withColumn("r", F.row_number().over(Window.partitionBy("new_id").orderBy("at"))).filter(F.col("r") <= most).groupBy("new_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "x"))), lambda x: x["x"]).alias("places"))
+    source = F.struct(F.col("source_id").cast("string").alias("source_id"), "publisher", "headline", F.col("url"), F.col("published_at").cast("timestamp").alias("published_at"), "rights_mode").cast(SOURCE)
+    own = mine.filter("split").groupBy("new_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), source.alias("s")))), lambda x: x["s"]).alias("own"))
+    told = clusters.select("event_id", F.posexplode("sources").alias("i", "s")).join(facts.filter("split").select("event_id").distinct(), "event_id")
+    named = mine.filter("split AND new_id = event_id").select("event_id", F.explode(F.array(F.struct(F.lit("u").alias("k"), F.col("url").alias("v")), F.struct(F.lit("h").alias("k"), F.col("headline").alias("v")))).alias("m")).select("event_id", "m.*").filter("v <> ''").distinct()
+    keys = told.select("event_id", "i", "s", F.explode(F.array(F.struct(F.lit("u").alias("k"), F.col("s.url").alias("v")), F.struct(F.lit("h").alias("k"), F.col("s.headline").alias("v")))).alias("m")).select("event_id", "i", "s", "m.*")
+    left = keys.join(named, ["event_id", "k", "v"], "left_semi").select("event_id", "i", "s").distinct().groupBy("event_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("left_sources"))
+    rows = facts.join(clusters, "event_id").join(aliases.withColumnRenamed("aliases", "theirs"), ["event_id", "new_id"], "left").join(spots, "new_id", "left").join(own, "new_id", "left").join(left, "event_id", "left")
+    torn, off = F.col("split"), F.col("new_id") != F.col("event_id")
+    none = F.array().cast(clusters.schema["locations"].dataType)
+    records = rows.select(
+        F.col("new_id").alias("event_id"),
+        F.when(off, F.lit(1)).otherwise(F.col("version")).cast("int").alias("version"),
+        F.when(off, F.lit("updated")).otherwise(F.col("status")).alias("status"),
+        F.when(torn, F.col("theirs")).otherwise(F.col("aliases")).alias("aliases"),
+        F.when(torn, F.col("f")).when(F.col("n_members") > 1, F.coalesce("f", "first_seen")).otherwise(F.col("first_seen")).alias("first_seen"),
+        F.when(torn, F.col("l")).when(F.col("n_members") > 1, F.coalesce("l", "last_seen")).otherwise(F.col("last_seen")).alias("last_seen"),
+        F.when(off, F.coalesce("h", F.lit(""))).when(torn, F.coalesce(F.when(F.col("h") != "", F.col("h")), "headline")).otherwise(F.col("headline")).alias("headline"),
+        "section", "category",
+        F.when(off, F.coalesce("places", none)).when(torn, F.coalesce("places", "locations")).otherwise(F.col("locations")).alias("locations"),
+        F.when(off, F.col("own")).when(torn, F.coalesce("left_sources", "own")).otherwise(F.col("sources")).alias("sources"),
+        *[F.when(~torn, F.col(c)).alias(c) for c in BRIEF],
+        "n_members",
+    )
+    bare = clusters.join(mine.select("event_id").distinct(), "event_id", "left_anti").withColumn("n_members", F.lit(0).cast("long")).select(records.columns)
+    return records.unionByName(bare), mine.select(F.col("new_id").alias("event_id"), "item_id", F.col("event_id").alias("stored_id"))

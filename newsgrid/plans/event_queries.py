@@ -200,18 +200,58 @@ def cluster_items(spark, d):
     return cluster.cluster_items(located(spark, d))
 
 
+def stored(spark, d):
+    """Stored clusters that each hold the items of a day and source, with their members."""
+    m = located(spark, d).withColumns({"event_id": F.concat_ws("-", "source_id", F.to_date("published_at").cast("string")), "publisher": F.upper("source_id"), "rights_mode": F.lit("OPEN_LICENSE")})
+    source = F.struct("source_id", "publisher", "headline", "url", "published_at", "rights_mode")
+    # one source of each cluster is told of
+    records = m.groupBy("event_id").agg(F.min("published_at").alias("first_seen"), F.max("published_at").alias("last_seen"), F.min_by("headline", "url").alias("headline"), F.array(F.min_by(source, "url")).alias("sources"), F.max_by("locations", "url").alias("locations"), F.sort_array(F.collect_set(F.when(F.col("item_id") % 7 == 0, text.event_id(F.col("url"))))).alias("aliases"))
+    fixed = {"version": F.length("event_id") % 5, "status": F.lit("unchanged"), "section": F.lit("local"), "category": F.lit("local"), **{c: F.concat(F.lit(f"{c} "), "event_id") for c in cluster.BRIEF}}
+    return records.withColumns(fixed), m
+
+
 @query("merge_clusters")
 def merge_clusters(spark, d):
-    """C14 of the events that documents of the same day and source form."""
-    m = located(spark, d).withColumn("event_id", F.concat_ws("-", "source_id", F.to_date("published_at").cast("string")))
-    return cluster.merge_clusters(m)
+    """C14: the records of clusters of a day and source, after a merge."""
+    return cluster.merge_clusters(*stored(spark, d))[0]
+
+
+MERGED = """c AS (SELECT o_orderkey::VARCHAR AS event_id, o_orderkey % 7 AS version, o_orderdate AS first_seen, o_orderdate + INTERVAL (o_custkey % 9) DAY AS last_seen, CASE WHEN o_orderkey % 3 = 0 THEN ['x' || o_custkey, o_orderkey::VARCHAR, '', 'y' || o_orderkey % 50] ELSE [] END AS aliases, o_custkey FROM orders),
+s AS (SELECT event_id, first_value(event_id) OVER (PARTITION BY o_custkey, year(first_seen) ORDER BY first_seen, event_id) AS survivor, * EXCLUDE (event_id) FROM c)"""
+
+
+@query("merge_records", f"""WITH {MERGED}, claims AS (SELECT survivor, event_id <> survivor AS taken, first_seen, event_id, unnest(l) AS alias, generate_subscripts(l, 1) AS i FROM (SELECT *, CASE WHEN event_id <> survivor THEN list_prepend(event_id, aliases) ELSE aliases END AS l FROM s)),
+firsts AS (SELECT survivor, alias, min((taken, first_seen, event_id, i)) AS place FROM claims WHERE alias <> '' AND alias <> survivor GROUP BY ALL), lists AS (SELECT survivor, list(alias ORDER BY place) AS aliases FROM firsts GROUP BY survivor)
+SELECT survivor AS event_id, max(version)::INT AS version, coalesce(any_value(lists.aliases), []) AS aliases, epoch(min(first_seen))::BIGINT AS first_s, epoch(max(last_seen))::BIGINT AS last_s, count(*) - 1 AS absorbed FROM s LEFT JOIN lists USING (survivor) GROUP BY survivor""")
+def merge_records(spark, d):
+    """C14: orders of one customer and year as clusters that went into the oldest of them."""
+    c, survivors = customer_merges(spark, d)
+    return cluster.merge_records(c, survivors).select("event_id", "version", "aliases", F.unix_seconds("first_seen").alias("first_s"), F.unix_seconds("last_seen").alias("last_s"), "absorbed")
+
+
+def customer_merges(spark, d):
+    at = F.col("o_orderdate").cast("timestamp")
+    none = F.array().cast("array<string>")
+    aliases = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.concat(F.lit("x"), "o_custkey"), F.col("o_orderkey").cast("string"), F.lit(""), F.concat(F.lit("y"), F.col("o_orderkey") % 50))).otherwise(none)
+    last = F.timestamp_seconds(F.unix_seconds(at) + F.col("o_custkey") % 9 * 86400)
+    c = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("event_id"), (F.col("o_orderkey") % 7).alias("version"), at.alias("first_seen"), last.alias("last_seen"), aliases.alias("aliases"), "o_custkey")
+    oldest = c.groupBy("o_custkey", F.year("first_seen").alias("y")).agg(F.min_by("event_id", F.struct("first_seen", "event_id")).alias("survivor"))
+    return c, c.withColumn("y", F.year("first_seen")).join(oldest, ["o_custkey", "y"]).select("event_id", "survivor")
+
+
+@query("merge_members", f"""WITH {MERGED}, m AS (SELECT l_orderkey::VARCHAR AS event_id, l_linenumber AS item_id, 'u' || l_partkey AS url, l_shipdate AS published_at FROM lineitem)
+SELECT survivor AS event_id, event_id || '/' || item_id AS item_id, row_number() OVER (PARTITION BY survivor ORDER BY event_id <> survivor, first_seen, event_id, published_at NULLS FIRST, url, item_id) - 1 AS position FROM m JOIN s USING (event_id)""")
+def merge_members(spark, d):
+    """C14: the lines of these orders in the order in which clusters took each other in."""
+    c, survivors = customer_merges(spark, d)
+    m = table(spark, d, "lineitem").selectExpr("CAST(l_orderkey AS string) AS event_id", "concat(l_orderkey, '/', l_linenumber) AS item_id", "concat('u', l_partkey) AS url", "l_shipdate AS published_at")
+    return cluster.merge_members(c, m, survivors).select("event_id", "item_id", F.col("position").cast("long").alias("position"))
 
 
 @query("revalidate_clusters")
 def revalidate_clusters(spark, d):
-    """C16 of stored clusters that each hold the items of a day and source."""
-    m = located(spark, d).withColumn("event_id", F.concat_ws("-", "source_id", F.to_date("published_at").cast("string")))
-    return cluster.revalidate_clusters(m)
+    """The records of clusters of a day and source, after their members were clustered again."""
+    return cluster.revalidate_clusters(*stored(spark, d))[0]
 
 
 @query("resolve_postal", "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 AND c_custkey % 50 <> 7 AND c_custkey % 1000 < 500 THEN 'place ' || c_custkey % 1000 END AS place, CASE WHEN c_custkey % 3 < 2 AND c_custkey % 50 = 7 AND c_custkey % 1000 < 500 THEN 2 ELSE 0 END::BIGINT AS n FROM customer")
