@@ -8,8 +8,9 @@ Index: the distinct vectors lie in shards, and in a shard every substring number
 A query probes each table with all values within its radius, so by the pigeonhole rule every code within the Hamming
 radius R is retrieved: with m substrings and R = m*r + a, two codes within R agree up to r bits in one of the first a+1
 substrings, or up to r-1 bits in one of the others.  What is retrieved is checked by the distance of whole codes, then
-reranked by the vectors themselves.  Codes are made once; a task holds one shard and one block of queries, both of
-bounded size, and gives the best of each query, so no pairs of queries and vectors leave it.
+reranked by the vectors themselves.  Codes are made once, and every vector is shuffled once, to its shard: a task holds
+one shard, of bounded size, builds its tables once and takes the queries in turn, so no pairs of queries and vectors
+leave it.  Queries come to all shards in broadcasts of bounded size, and each broadcast is one pass over the shards.
 
 R, the number of substrings in use and the bound on whole codes are set so that they cover a share of the true
 neighbours of a bounded set of trial queries, which are compared with all vectors once.  Queries that end with fewer
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -35,8 +37,12 @@ TABLES = (32, 64, 128)
 FIT_ROWS, TRIALS, BLOCK = 8192, 128, 4096
 #: Shares of the trials' true neighbours that the probes and the bound on whole codes cover.
 RETRIEVED, WITHIN = 0.96, 0.99
-#: Vectors in a shard and queries in a block, about; shards at least, so that all cores have work.
+#: Vectors in a shard, about; queries whose hits are marked at a time; shards at least, so that all cores have work.
 SHARD, QUERIES, LEAST_SHARDS = 32768, 1024, 12
+#: Bytes of query vectors in a broadcast, about.
+SENT = 1 << 25
+#: Substrings of so many bits at most have a table of starts, longer ones are searched for.
+DIRECT = 15
 
 
 class Codes:
@@ -168,49 +174,75 @@ def fit(sample: np.ndarray, queries: np.ndarray, differing: np.ndarray, model: C
     return min(found)[1:]
 
 
+class Tables:
+    """The substring tables of a shard: for each substring in use the order of its values and where each value starts."""
+
+    def __init__(self, codes: np.ndarray, sub: int, radius: int) -> None:
+        self.n, self.sub, self.radii = len(codes), sub, [r for r in radii(radius, codes.shape[1]) if r >= 0]
+        self.masks = np.array(ball(sub, self.radii[0]) if self.radii else [], dtype=np.int32)
+        self.orders, self.values, self.starts = [], [], []
+        for j in range(len(self.radii)):
+            order = np.argsort(codes[:, j], kind="stable").astype(np.int32)
+            values = codes[order, j]
+            self.orders.append(order)
+            self.values.append(values)
+            self.starts.append(np.searchsorted(values, np.arange((1 << sub) + 1)).astype(np.int32) if sub <= DIRECT else None)
+
+    def retrieve(self, asked: np.ndarray) -> np.ndarray:
+        """(queries x vectors) whether the probes of a query's substrings meet the vector: all codes within the radius, and
+        others."""
+        hit = np.zeros((len(asked), self.n), dtype=bool)
+        for j, r in enumerate(self.radii):
+            order, values, starts = self.orders[j], self.values[j], self.starts[j]
+            mine = self.masks[: _ball_size(self.sub, r)]
+            for lo in range(0, len(asked), 256):
+                wanted = asked[lo : lo + 256, j, None] ^ mine[None, :]
+                if starts is None:
+                    first, stop = np.searchsorted(values, wanted, side="left"), np.searchsorted(values, wanted, side="right")
+                else:
+                    first, stop = starts[wanted], starts[wanted + 1]
+                n = stop - first
+                q, probe = np.nonzero(n)
+                first, n = first[q, probe], n[q, probe]
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                hit[lo + np.repeat(q, n), order[at]] = True
+        return hit
+
+
 def retrieve(codes: np.ndarray, asked: np.ndarray, sub: int, radius: int) -> np.ndarray:
-    """(queries x vectors) whether the probes of a query's substrings meet the vector: all codes within the radius, and others."""
-    hit = np.zeros((len(asked), len(codes)), dtype=bool)
-    masks = np.array(ball(sub, radii(radius, codes.shape[1])[0]), dtype=np.int32)
-    for j, r in enumerate(radii(radius, codes.shape[1])):
-        if r < 0:
-            break
-        order = np.argsort(codes[:, j], kind="stable")
-        starts = np.searchsorted(codes[order, j], np.arange((1 << sub) + 1)).astype(np.int32)
-        mine = masks[: _ball_size(sub, r)]
-        for lo in range(0, len(asked), 256):
-            values = asked[lo : lo + 256, j, None] ^ mine[None, :]
-            first, n = starts[values], starts[values + 1] - starts[values]
-            q, probe = np.nonzero(n)
-            first, n = first[q, probe], n[q, probe]
-            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            hit[lo + np.repeat(q, n), order[at]] = True
-    return hit
-
-
-def _search(model: Codes, tables: int, radius: int, bound: int, k: int) -> Callable:
-    """Cell body: a shard of points (x, ids, code) and a block of queries (q, y, q_code) -> the k best entries of each query."""
-
-    def run(points: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if points.num_rows and asked.num_rows:
-            x, y = (_matrix(t.column(c).combine_chunks()) for t, c in ((points, "x"), (asked, "y")))
-            codes, q_codes = (_matrix(t.column(c).combine_chunks()).astype(np.int32) for t, c in ((points, "code"), (asked, "q_code")))
-            ids, q_ids = points.column("ids").combine_chunks(), asked.column("q").to_numpy()
-            hit = retrieve(codes, q_codes, model.sub, radius)
-            for i in range(len(y)):
+    """What the probes of `asked` meet among codes."""
+    return Tables(codes, sub, radius).retrieve(asked)
+
+
+def _search(model: Codes, sent: object, tables: int, radius: int, bound: int, k: int) -> Callable:
+    """A partition of points (x, ids, code) is a shard -> the k best entries there of each query that was sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = [b for b in batches if b.num_rows]
+        q_ids, y, q_codes = sent.value
+        if not shard:
+            return
+        points = pa.Table.from_batches(shard)
+        x = _matrix(points.column("x").combine_chunks())
+        codes = _matrix(points.column("code").combine_chunks()).astype(np.int32)[:, :tables]
+        ids, index = points.column("ids").combine_chunks(), Tables(codes, model.sub, radius)
+        types = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        for lo in range(0, len(q_ids), QUERIES):
+            out: list[tuple] = []
+            asked = q_codes[lo : lo + QUERIES, :tables]
+            hit = index.retrieve(asked)
+            for i in range(len(asked)):
                 rows = np.flatnonzero(hit[i])
-                rows = rows[apart(q_codes[i], codes[rows]).sum(axis=1) <= bound]
-                d = x[rows] - y[i]
+                rows = rows[apart(asked[i], codes[rows]).sum(axis=1) <= bound]
+                d = x[rows] - y[lo + i]
                 score = np.sqrt((d * d).sum(axis=1))
                 if len(rows) > k:  # all points up to the score of the k-th may give an entry
                     near = score <= np.partition(score, k - 1)[k - 1]
                     rows, score = rows[near], score[near]
                 entries = sorted((s, e["vec_id"], e["copies"]) for r, s in zip(rows.tolist(), score.tolist()) for e in ids[r].as_py())
-                out += [(int(q_ids[i]), *e) for e in entries[:k]]
-        columns = list(zip(*out)) or [()] * 4
-        types = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["q", "score", "vec_id", "copies"])
+                out += [(int(q_ids[lo + i]), *e) for e in entries[:k]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["q", "score", "vec_id", "copies"])
 
     return run
 
@@ -253,16 +285,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, seed: int = 42)
     if not true:
         return empty
     tables, radius, bound = fit(sample, np.array([r["x"] for r in trials], dtype=np.float64), np.array([r[0] for r in true]), model, n, n_queries)
-    code = lambda t, i: t.join(t.select(i, "x").mapInArrow(_encode(model), "id long, code array<int>").withColumnRenamed("id", i), i)
-    index, probes = checkpointed(code(points, "v")), checkpointed(code(asked, "q"))
-    shards, blocks = max(LEAST_SHARDS, -(-n // SHARD)), -(-n_queries // QUERIES)
+    coded = points.join(points.select("v", "x").mapInArrow(_encode(model), "id long, code array<int>").withColumnRenamed("id", "v"), "v")
+    index = checkpointed(coded.select("x", "ids", "code").repartition(max(LEAST_SHARDS, -(-n // SHARD))))
     part = lambda c, seed_, parts: F.pmod(F.xxhash64(F.lit(seed_), c), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    cells = index.select("x", "ids", F.slice("code", 1, tables).alias("code"), part("v", seed + 3, shards).alias("shard"), every(blocks).alias("block")).groupBy("shard", "block")
-    others = probes.select("q", F.col("x").alias("y"), F.slice("code", 1, tables).alias("q_code"), part("q", seed + 4, blocks).alias("block"), every(shards).alias("shard")).groupBy("shard", "block")
-    rows_ = cells.cogroup(others).applyInArrow(_search(model, tables, radius, bound, k + 1), "q long, score double, vec_id long, copies long")
     place = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
-    top = rows_.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id", "copies"))).alias("near"))  # k + 1 at most
+    passes, tops = -(-n_queries * dims * 8 // SENT), []
+    for b in range(passes):
+        block = asked.filter(part("q", seed + 4, passes) == b).collect()  # about SENT bytes of vectors
+        if not block:
+            continue
+        y = np.array([r["x"] for r in block], dtype=np.float64)
+        sent = spark.sparkContext.broadcast((np.array([r["q"] for r in block], dtype=np.int64), y, model.substrings(y)))
+        near = index.mapInArrow(_search(model, sent, tables, radius, bound, k + 1), "q long, score double, vec_id long, copies long")
+        best = near.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id", "copies"))).alias("near"))  # k + 1 at most
+        tops.append(checkpointed(best))
+    top = reduce(DataFrame.union, tops)
     other = F.filter("near", lambda e: e["vec_id"] != F.col("query_id"))
     each = F.slice(F.flatten(F.transform(other, lambda e: F.array_repeat(F.struct(e["vec_id"].alias("vec_id"), e["score"].alias("score")), F.least(e["copies"], F.lit(k)).cast("int")))), 1, k)
     found = checkpointed(links.join(top, "q", "left").select("query_id", "q", F.coalesce(each, F.array().cast("array<struct<vec_id:bigint,score:double>>")).alias("near")))

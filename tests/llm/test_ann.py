@@ -49,6 +49,9 @@ def test_pigeonhole_finds_every_code():
         codes[20:200, 0] = asked[0, 0]
         differing = ann.apart(asked[:, None], codes[None])
         met = ann.retrieve(codes, asked, sub, radius)
+        direct, ann.DIRECT = ann.DIRECT, 0
+        assert (met == ann.retrieve(codes, asked, sub, radius)).all()
+        ann.DIRECT = direct
         assert (met == (ann.reach(differing) <= radius)).all() and met[differing.sum(axis=2) <= radius].all()
 
 
@@ -84,6 +87,7 @@ def test_copies_and_short_queries(spark, monkeypatch):
     assert got[0] == list(range(100, 110)) and got[100] == [0, *range(101, 110)] and got[200] == [0, *range(100, 109)]
     monkeypatch.setattr(ann, "BLOCK", 2)
     monkeypatch.setattr(ann, "QUERIES", 1)
+    monkeypatch.setattr(ann, "SENT", 64)
     monkeypatch.setattr(ann, "SHARD", 9)
     monkeypatch.setattr(ann, "WITHIN", 0.0)
     monkeypatch.setattr(ann, "RETRIEVED", 0.0)
