@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgrid import vocab
+from newsgrid.sources.documents import write_documents
 
 
 def slug(text: Column) -> Column:
@@ -164,10 +165,11 @@ def edition_index(docs: DataFrame) -> DataFrame:
 
 
 def write_editions(docs: DataFrame, path: str) -> None:
-    """IO16: JSON documents under editions/, a folder per feed and kind, and their index under index/."""
+    """IO16: a JSON document for each edition at the path that the index has for it, below editions/, and when all are there,
+    the index as JSON lines under index/."""
     body = F.to_json(F.struct("dir", "kind", "story_ids", "sections", "story_count"))
-    docs.select(F.col("dir").alias("feed"), F.col("kind").alias("edition"), body.alias("value")).write.partitionBy("feed", "edition").text(f"{path}/editions")
-    edition_index(docs).write.json(f"{path}/index")
+    write_documents(docs.select(F.concat("dir", "kind", F.lit(".json")).alias("path"), F.lit(0).alias("line"), body.alias("value")), f"{path}/editions")
+    edition_index(docs).write.mode("overwrite").json(f"{path}/index")
 
 
 def write_stories(stories: DataFrame, path: str, buckets: int = 256) -> None:
@@ -186,11 +188,23 @@ def story_counters(stories: DataFrame) -> DataFrame:
     return stories.agg(F.count(F.lit(1)).alias("n"), F.count_if("ai").alias("ai"), F.count_if(~F.col("ai")).alias("cards"), F.count_if("has_image").alias("with_image"), F.count_if("downgraded").alias("downgraded"))
 
 
-def write_location_slices(places: DataFrame, path: str) -> None:
-    """IO17: the places of each lower-case country as JSON lines, a folder per country; a country's places may be spread
-    over several files."""
-    slices = places.withColumn("country", F.lower("country"))
-    slices.select(F.col("country").alias("slice"), F.to_json(F.struct(*slices.columns)).alias("value")).write.partitionBy("slice").text(path)
+def write_location_slices(places: DataFrame, path: str, postal: DataFrame | None = None, default: str = "us") -> None:
+    """IO17: for each lower-case country a document of its places, <country>.json, and of its postal codes,
+    <country>-postal.json: a line with the country and the kind, then a line for each place or code.  A null country is the
+    default one, which is always there."""
+    spark = places.sparkSession
+
+    def lines(rows: DataFrame, tail: str, kind: str) -> DataFrame:
+        country = F.lower(F.coalesce("country", F.lit(default)))
+        each = rows.select(country.alias("c"), F.lit(1).alias("k"), F.to_json(F.struct(*rows.columns)).alias("value"))
+        base = spark.createDataFrame([(default,)], "c string").union(each.select("c")).distinct()
+        heads = base.select("c", F.lit(0).alias("k"), F.to_json(F.struct(F.upper("c").alias("country"), F.lit(kind).alias("kind"))).alias("value"))
+        return heads.unionByName(each).select(F.concat("c", F.lit(f"{tail}.json")).alias("path"), F.struct("k", "value").alias("line"), "value")
+
+    every = lines(places, "", "places")
+    if postal is None:
+        postal = spark.createDataFrame([], "country string, postal string")
+    write_documents(every.unionByName(lines(postal, "-postal", "postal")), path)
 
 
 def location_slices(places: DataFrame, default: str = "us") -> DataFrame:

@@ -38,12 +38,20 @@ def write_stage(spark, d):
     return spark.read.parquet(at)
 
 
+def opened(spark, at: str, wholetext: bool):
+    """Files below a folder: path (relative to it) and value, a row for each file or line."""
+    rows = spark.read.option("recursiveFileLookup", True).option("wholetext", wholetext).text(at)
+    return rows.select(F.substring_index(F.expr("url_decode(input_file_name())"), f"{at.rpartition('/')[2]}/", -1).alias("path"), "value")
+
+
 @query("write_editions", with_views("stories", pq.ALL + "SELECT dir, kind, to_json(list(story_id ORDER BY place))::VARCHAR AS story_ids, dir || kind || '.json' AS path, count(*) AS story_count FROM rows GROUP BY dir, kind"))
 def write_editions(spark, d):
+    """IO16: what the files hold that stand at the paths of the index."""
     at = folder(spark, "editions")
     publish.write_editions(publish.editions(pq.editions_of(spark, d)), at)
-    docs = spark.read.text(f"{at}/editions").select(F.from_json("value", "dir string, kind string, story_ids array<bigint>").alias("e")).select("e.dir", "e.kind", F.to_json("e.story_ids").alias("story_ids"))
-    return docs.join(spark.read.schema("dir string, kind string, path string, story_count bigint").json(f"{at}/index"), ["dir", "kind"])
+    index = spark.read.schema("dir string, kind string, path string, story_count bigint").json(f"{at}/index")
+    docs = opened(spark, f"{at}/editions", True).select("path", F.to_json(F.from_json("value", "story_ids array<bigint>")["story_ids"]).alias("story_ids"))
+    return index.join(docs, "path")
 
 
 @query("write_stories", "SELECT doc_id AS story_id, coalesce(text, '') AS body FROM documents")
@@ -53,9 +61,15 @@ def write_stories(spark, d):
     return spark.read.text(at).select(F.from_json("value", "story_id bigint, body string").alias("s")).select("s.*")
 
 
-@query("write_location_slices", "SELECT lower(r_name) AS country, c_custkey AS place_id, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+@query("write_location_slices", """SELECT lower(r_name) || '.json' AS path, c_custkey AS place_id, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT lower(r_name) || '-postal.json', s_suppkey, 'z' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT unnest(['us.json', 'us-postal.json']), NULL, NULL UNION ALL SELECT DISTINCT lower(r_name) || unnest(['.json', '-postal.json']), NULL::INT, NULL FROM region""")
 def write_location_slices(spark, d):
+    """IO17: the lines of all slices, the first of each without a place; `us` has no place here and is written too."""
     at = folder(spark, "locations")
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey"))
-    publish.write_location_slices(table(spark, d, "customer").join(n, F.expr("c_nationkey = n_nationkey")).selectExpr("r_name AS country", "c_custkey AS place_id", "c_name AS name"), at)
-    return spark.read.text(at).select(F.from_json("value", "country string, place_id bigint, name string").alias("p")).select("p.*")
+    places = table(spark, d, "customer").join(n, F.expr("c_nationkey = n_nationkey")).selectExpr("r_name AS country", "c_custkey AS place_id", "c_name AS name")
+    postal = table(spark, d, "supplier").join(n, F.expr("s_nationkey = n_nationkey")).selectExpr("r_name AS country", "s_suppkey AS place_id", "concat('z', s_suppkey) AS name")
+    publish.write_location_slices(places, at, postal)
+    lines = opened(spark, at, False).select("path", F.from_json("value", "place_id bigint, name string").alias("p"))
+    return lines.select("path", "p.*")

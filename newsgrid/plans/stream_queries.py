@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsgrid.operators.library import in_quiet_hours
 from newsgrid.plans.registry import query
+from newsgrid.plans.views import table
 from newsgrid.streaming import jobs
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -73,12 +74,37 @@ def stream_quota(spark, d):
     return jobs.with_rocksdb(awake, spark)
 
 
-@query("stream_state", "SELECT user_id::VARCHAR AS event_id, 'new' AS status, 1 AS version, epoch_us(min(ts)) // 1000000 AS first_seen_s FROM events GROUP BY user_id")
+#: Three batches of clusters of customers (k): each has two items at first; then some come again under another id with a new
+#: source (0), some as they were (1), some as one cluster with a neighbour's items (2), some not at all (3), some grow twice (4).
+BATCHES = """SELECT 0 AS batch, 'a' || c_custkey AS event_id, c_custkey * 10 + i AS item_id, 's1' AS source_id, CASE WHEN c_custkey % 6 = 5 THEN 0 ELSE 500000 END AS at FROM customer, (SELECT 1 AS i UNION ALL SELECT 2)
+UNION ALL SELECT 1, 'b' || c_custkey, c_custkey * 10 + i, 's' || i, 500100 FROM customer, (SELECT 1 AS i UNION ALL SELECT 3) WHERE c_custkey % 6 = 0 OR c_custkey % 6 = 4
+UNION ALL SELECT 1, 'a' || c_custkey, c_custkey * 10 + i, 's1', 500000 FROM customer, (SELECT 1 AS i UNION ALL SELECT 2) WHERE c_custkey % 6 = 1
+UNION ALL SELECT 1, 'c' || (c_custkey - c_custkey % 12), c_custkey * 10 + i, 's1', 500200 FROM customer, (SELECT 1 AS i UNION ALL SELECT 2) WHERE c_custkey % 6 = 2
+UNION ALL SELECT 2, 'd' || c_custkey, c_custkey * 10 + i, 's' || i, 500300 FROM customer, (SELECT 3 AS i UNION ALL SELECT 4) WHERE c_custkey % 6 = 4"""
+
+
+@query("stream_state", """WITH c AS (SELECT c_custkey AS k, c_custkey % 6 AS kind, c_custkey - c_custkey % 12 AS pair FROM customer), twos AS (SELECT pair, min('a' || k) AS low, max('a' || k) AS high, count(*) AS n FROM c WHERE kind = 2 GROUP BY pair)
+SELECT 'a' || k AS event_id, CASE kind WHEN 4 THEN 'updated' ELSE 'unchanged' END AS status, CASE kind WHEN 0 THEN 2 WHEN 4 THEN 3 ELSE 1 END AS version, CASE kind WHEN 0 THEN 'b' || k WHEN 4 THEN 'b' || k || ',d' || k ELSE '' END AS aliases, CASE kind WHEN 0 THEN 500100 WHEN 4 THEN 500300 ELSE 500000 END::BIGINT AS last_seen_s, 2 AS n_items FROM c WHERE kind NOT IN (2, 5)
+UNION ALL SELECT low, 'unchanged', 1, CASE WHEN n = 2 THEN high || ',c' || pair ELSE 'c' || pair END, 500200, 2 * n FROM twos""")
 def stream_state(spark, d):
-    rows = events(spark, d).select(F.col("user_id").cast("string").alias("event_id"), F.unix_seconds("published_at").alias("first_seen_s"), F.unix_seconds("published_at").alias("last_seen_s"), F.array().cast("array<string>").alias("aliases"), F.col("event_id").alias("item_id"), "source_id")
-    place = jobs._place(spark)
-    jobs.stream_state(rows, place, 1706659200, 3650)
-    return spark.read.parquet(f"{place}/0/state").select("event_id", "status", "version", "first_seen_s")
+    """ST6 over three batches: clusters that grow, stay, merge, are carried along and grow old."""
+    table(spark, d, "customer").createOrReplaceTempView("_customers")
+    rows = spark.sql(BATCHES.replace("customer", "_customers").replace("c_custkey", "CAST(c_custkey AS bigint)"))
+    rows = rows.select("batch", "event_id", F.col("at").cast("long").alias("first_seen_s"), F.col("at").cast("long").alias("last_seen_s"), F.array().cast("array<string>").alias("aliases"), "item_id", "source_id")
+    # what was last seen at 0 grows too old between the first batch and the second
+    held = jobs.stream_state(jobs.land(rows, "batch").drop("batch"), jobs._place(spark), lambda n: 500000 + n * 200000, 7)
+    sizes = held.members(2).groupBy("event_id").agg(F.count(F.lit(1)).alias("n_items"))
+    return held.clusters(2).join(sizes, "event_id").select("event_id", "status", "version", F.array_join("aliases", ",").alias("aliases"), "last_seen_s", "n_items")
+
+
+@query("stream_tight_spans", "WITH o AS (SELECT user_id, ts, lead(ts) OVER w AS b, lead(ts, 2) OVER w AS c, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) SELECT user_id AS cluster_id, round(min(CASE WHEN n = 2 THEN epoch_us(b) ELSE epoch_us(c) END - epoch_us(ts)) / 6e7, 6)::DOUBLE AS span, round(min(epoch_us(b) - epoch_us(ts)) / 6e7, 6)::DOUBLE AS two FROM o GROUP BY user_id")
+def stream_tight_spans(spark, d):
+    """ST4 in batches of a day each: the exact spans of all reports."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("published_at"), F.col("user_id").alias("cluster_id"))
+    week = rows.withColumn("week", F.floor(F.unix_seconds("published_at") / 604800))
+    out = jobs.with_rocksdb(lambda: jobs.stream_tight_spans(jobs.land(week, "week"), 3), spark)
+    last = out.groupBy("cluster_id").agg(F.max_by(F.struct("span", "two"), "n").alias("x"))
+    return last.select("cluster_id", F.round("x.span", 6).alias("span"), F.round("x.two", 6).alias("two"))
 
 
 @query("stream_ingest", "SELECT event_id::VARCHAR AS source_id, 'M ' || value AS title FROM events")

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from newsgrid import vocab
-from newsgrid.checkpoint import ensure_checkpoint_dir
+from newsgrid.checkpoint import checkpointed, ensure_checkpoint_dir
 from newsgrid.operators import state, weather
 from newsgrid.sources import feeds
 
@@ -38,6 +40,14 @@ def run_to_table(stream: DataFrame, path: str | None = None, checkpoint: str | N
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def land(rows: DataFrame, order: str) -> DataFrame:
+    """A table as a stream that gives the rows of one value of `order` at a time, in the order of the values."""
+    spark, at = rows.sparkSession, f"{_place(rows.sparkSession)}/landed"
+    for v in sorted(r[0] for r in rows.select(order).distinct().collect()):
+        rows.filter(F.col(order) == v).coalesce(1).write.mode("append").parquet(f"{at}/{order}={v}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
     """Hand every micro-batch of what has landed to `each`."""
     checkpoint = checkpoint or f"{_place(stream.sparkSession)}/checkpoint"
@@ -72,47 +82,222 @@ def stream_sessions(members: DataFrame, gap: str = "72 hours", late: str = "1 ho
     return runs.select("cluster_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def stream_state(clusters: DataFrame, snapshots: str, now_s: int, prune_days: float = 7, checkpoint: str | None = None) -> None:
-    """ST6: each micro-batch of clusters (event_id, first_seen_s, last_seen_s, aliases, item_id, source_id; a row per
-    member) makes the next snapshot from the last one; ids may merge across keys, so state is the whole snapshot."""
+#: Hash partitions of the state tables.
+BUCKETS = 64
+STATE = "event_id string, status string, version int, aliases array<string>, first_seen_s long, last_seen_s long, batch long"
+MEMBERS = "event_id string, item_id string, source_id string"
+#: table: its columns and the one that says in which partition a row lies.
+TABLES = {"state": (STATE, "event_id"), "members": (MEMBERS, "event_id"), "claims": ("key string, event_id string", "key"), "owners": ("item_id string, event_id string", "item_id")}
+MANIFEST = "name string, bucket int, at long, oldest_s long"
 
-    def each(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        bounds = lambda m: m.groupBy("event_id").agg(F.min("first_seen_s").alias("first_seen_s"), F.max("last_seen_s").alias("last_seen_s"), F.first("aliases").alias("aliases"))
-        members = batch.select("event_id", "item_id", "source_id")
+
+def _bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+class StateTable:
+    """Clusters between runs as partitioned tables: state and members by cluster, claims (ids and aliases) and owners (items)
+    as indexes from what a batch names to the clusters it touches.
+
+    A batch writes only the partitions that change, under its own number, and last of all a manifest: which batch wrote the
+    partition that holds, and the oldest cluster in it.  What no manifest names does not count, so a batch that failed is
+    simply done again, and one that is complete is not done twice.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.root, self.buckets = spark, root, buckets
+
+    def manifest(self, n: int) -> dict[tuple[str, int], tuple[int, int | None]] | None:
+        """(table, partition) -> (batch that wrote it, oldest last_seen_s), after batch n; None: there is none."""
         try:
-            prev, prev_members = spark.read.parquet(f"{snapshots}/{n - 1}/state"), spark.read.parquet(f"{snapshots}/{n - 1}/members")
-        except Exception as error:  # the first batch has no snapshot before it
-            if n or "PATH_NOT_FOUND" not in str(error):
+            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/{n}").collect()  # a row for each partition of four tables
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            prev = bounds(batch).limit(0).withColumn("version", F.lit(1))
-            prev_members = members.limit(0)
-        nxt = state.update_state(bounds(batch), members, prev, prev_members, now_s, prune_days)
-        nxt.select("event_id", "status", "version", "aliases", "first_seen_s", "last_seen_s", "origin").write.mode("overwrite").parquet(f"{snapshots}/{n}/state")
-        kept = spark.read.parquet(f"{snapshots}/{n}/state")
-        fresh = kept.filter("origin IS NOT NULL").select("event_id", "origin").join(members.withColumnRenamed("event_id", "origin"), "origin").select("event_id", "item_id", "source_id")
-        old = prev_members.join(kept.filter("origin IS NULL").select("event_id"), "event_id", "left_semi")
-        fresh.unionByName(old).write.mode("overwrite").parquet(f"{snapshots}/{n}/members")
+            return None
+        return {(r["name"], r["bucket"]): (r["at"], r["oldest_s"]) for r in rows}
+
+    def read(self, name: str, held: dict, buckets: set[int] | None = None) -> DataFrame:
+        """The rows of a table, or of some of its partitions."""
+        schema, parts = TABLES[name][0], {}
+        for (table, b), (at, _) in held.items():
+            if table == name and (buckets is None or b in buckets):
+                parts.setdefault(at, []).append(b)
+        found = [self.spark.read.schema(f"{schema}, bucket int").parquet(f"{self.root}/{name}/{at}").filter(F.col("bucket").isin(bs)) for at, bs in parts.items()]
+        empty = self.spark.createDataFrame([], f"{schema}, bucket int")
+        return reduce(DataFrame.union, found, empty)
+
+    def touched(self, keys: DataFrame, key: str) -> set[int]:
+        return {r["b"] for r in keys.select(_bucket_of(key, self.buckets).alias("b")).distinct().collect()}
+
+    def look_up(self, name: str, held: dict, keys: DataFrame) -> DataFrame:
+        """The clusters that an index has for keys (a column named like the table's key)."""
+        key = TABLES[name][1]
+        return self.read(name, held, self.touched(keys, key)).join(keys.select(key).distinct(), key, "left_semi").select("event_id").distinct()
+
+    def replace(self, name: str, held: dict, n: int, gone: DataFrame, new: DataFrame, also: set[int] = frozenset(), keep: Column | None = None) -> dict:
+        """Write the partitions that hold a key of gone (event_id and the key) or a row of new, without gone's rows and with
+        new's, and those in `also`; -> what the manifest has for them."""
+        schema, key = TABLES[name]
+        names = [c.split()[0] for c in schema.split(", ")]
+        buckets = self.touched(gone, key) | self.touched(new, key) | set(also)
+        if not buckets:
+            return {}
+        rest = self.read(name, held, buckets).select(*names).join(gone.select("event_id").distinct(), "event_id", "left_anti")
+        rows = rest.unionByName(new.select(*names))
+        rows = (rows.filter(keep) if keep is not None else rows).withColumn("bucket", _bucket_of(key, self.buckets))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/{n}")
+        oldest = {}
+        if name == "state":
+            # an empty result leaves no file to read
+            kept = self.read(name, {(name, b): (n, None) for b in buckets}) if not rows.isEmpty() else rows
+            oldest = {r["bucket"]: r["o"] for r in kept.groupBy("bucket").agg(F.min("last_seen_s").alias("o")).collect()}
+        there = {r["bucket"] for r in rows.select("bucket").distinct().collect()}
+        return {(name, b): (n, oldest.get(b)) if b in there else None for b in buckets}
+
+    def apply(self, clusters: DataFrame, members: DataFrame, n: int, now_s: int, prune_days: float = 7) -> bool:
+        """Make batch n (clusters: event_id, aliases, first_seen_s, last_seen_s; members: MEMBERS) part of the state; False if
+        it already is."""
+        if self.manifest(n) is not None:
+            return False
+        held = (self.manifest(n - 1) if n else {}) or {}
+        clusters, members = clusters.persist(), members.persist()
+        try:
+            keys = clusters.select(F.explode(F.concat(F.array("event_id"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("key")).distinct()
+            near = self.look_up("claims", held, keys).union(self.look_up("owners", held, members.select("item_id"))).distinct()
+            near = checkpointed(near)
+            first = self._of(held, near)
+            # clusters whose id a touched one claims can be taken in, if all their members are held
+            claimed = first.select(F.explode("aliases").alias("key")).union(keys).distinct()
+            near = checkpointed(near.union(self.look_up("claims", held, claimed)).distinct())
+            prev, prev_members = checkpointed(self._of(held, near)), checkpointed(self._of(held, near, "members"))
+            nxt = checkpointed(state.update_state(clusters, members, prev, prev_members, now_s, prune_days))
+            fresh = nxt.filter("origin IS NOT NULL").select("event_id", "origin").join(members.withColumnRenamed("event_id", "origin"), "origin").select("event_id", "item_id", "source_id")
+            stay = prev_members.join(nxt.filter("origin IS NULL").select("event_id"), "event_id", "left_semi")
+            now_members = checkpointed(fresh.unionByName(stay).distinct())
+            alive = F.col("last_seen_s").isNull() | (now_s - F.col("last_seen_s") <= prune_days * 86400)
+            stale = {b for (name, b), (_, oldest) in held.items() if name == "state" and oldest is not None and now_s - oldest > prune_days * 86400}
+            expired = checkpointed(self.read("state", held, stale).filter(~alive).select("event_id", "aliases"))
+            gone = prev.select("event_id", "aliases").union(expired)
+            gone_members = prev_members.unionByName(self._of(held, expired, "members").select("event_id", "item_id", "source_id"))
+            claims = lambda d: d.select("event_id", F.explode(F.concat(F.array("event_id"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("key")).distinct()
+            done = dict(held)
+            for name, old, new, also in (
+                ("state", gone, nxt.withColumn("batch", F.lit(n).cast("long")), stale),
+                ("members", gone, now_members, ()),
+                ("claims", claims(gone), claims(nxt), ()),
+                ("owners", gone_members, now_members.select("item_id", "event_id").distinct(), ()),
+            ):
+                for k, v in self.replace(name, held, n, old, new, set(also)).items():
+                    done.pop(k, None)
+                    if v is not None:
+                        done[k] = v
+            rows = [(name, b, at, oldest) for (name, b), (at, oldest) in done.items()]
+            self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/{n}")
+        finally:
+            clusters.unpersist()
+            members.unpersist()
+        return True
+
+    def _of(self, held: dict, ids: DataFrame, name: str = "state") -> DataFrame:
+        return self.read(name, held, self.touched(ids, "event_id")).drop("bucket").join(ids.select("event_id").distinct(), "event_id", "left_semi")
+
+    def clusters(self, n: int) -> DataFrame:
+        """All clusters after batch n; those that it did not touch are unchanged."""
+        rows = self.read("state", self.manifest(n) or {})
+        return rows.withColumn("status", F.when(F.col("batch") == n, F.col("status")).otherwise("unchanged")).drop("bucket", "batch")
+
+    def members(self, n: int) -> DataFrame:
+        return self.read("members", self.manifest(n) or {}).drop("bucket")
+
+
+def stream_state(clusters: DataFrame, root: str, now_s: int | Callable[[int], int], prune_days: float = 7, checkpoint: str | None = None, buckets: int = BUCKETS) -> StateTable:
+    """ST6: each micro-batch of clusters (event_id, first_seen_s, last_seen_s, aliases, item_id, source_id; a row per
+    member) becomes part of the state table under `root`; now_s: the moment, or the moment of each batch."""
+    table = StateTable(clusters.sparkSession, root, buckets)
+
+    def each(batch: DataFrame, n: int) -> None:
+        bounds = batch.groupBy(F.col("event_id").cast("string").alias("event_id")).agg(F.min("first_seen_s").alias("first_seen_s"), F.max("last_seen_s").alias("last_seen_s"), F.first("aliases").alias("aliases"))
+        members = batch.select(*[F.col(c).cast("string").alias(c) for c in ("event_id", "item_id", "source_id")]).distinct()
+        table.apply(bounds, members, n, now_s(n) if callable(now_s) else now_s, prune_days)
 
     run_batches(clusters, each, checkpoint)
+    return table
 
 
 class SourceSets(StatefulProcessor):
-    """Remembers the sources of a cluster and tells of new ones."""
+    """Remembers the sources of a cluster and tells of new ones; forgets a cluster some time after its last report."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getMapState("seen", StructType([StructField("source", StringType())]), StructType([StructField("n", IntegerType())]))
+        self.last = handle.getValueState("last", StructType([StructField("ms", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
+        out, known = [], self.last.get()[0] if self.last.exists() else None
+        if known is not None and timerValues.getCurrentWatermarkInMs() > known + self.keep_ms:
+            # new reports come before the timers of a batch
+            self.handle.deleteTimer(known + self.keep_ms)
+            self.seen.clear()
+            known = None
+        last = known
         for part in rows:
-            for source in part["source_id"].astype(str):
+            for source, at in zip(part["source_id"].astype(str), part["published_at"]):
+                ms = int(at.timestamp() * 1000)
+                last = ms if last is None else max(last, ms)
                 if not self.seen.containsKey((source,)):
                     self.seen.updateValue((source,), (1,))
                     out.append((key[0], source))
+        if last != known:
+            if known is not None:
+                self.handle.deleteTimer(known + self.keep_ms)
+            self.last.update((last,))
+            self.handle.registerTimer(last + self.keep_ms)
         if out:
             yield pd.DataFrame(out, columns=["cluster_id", "source_id"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        self.last.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class TightSpans(StatefulProcessor):
+    """Keeps the moments of a cluster's reports in order and the tightest spans over two and over `least` of them.  Moments
+    are dropped once no report that can still come makes a tighter span with them."""
+
+    def __init__(self, least: int) -> None:
+        self.least = least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.moments = handle.getListState("moments", StructType([StructField("us", LongType())]))
+        self.found = handle.getValueState("found", StructType([StructField(n, LongType()) for n in ("n", "two", "many")]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, two, many = self.found.get() if self.found.exists() else (0, None, None)
+        moments = [m[0] for m in self.moments.get()] if self.moments.exists() else []
+        new = [int(t.value // 1000) for part in rows for t in part["published_at"]]
+        n, moments = n + len(new), sorted([*moments, *new])
+
+        def tightest(k: int, known: int | None) -> int | None:
+            return min([b - a for a, b in zip(moments, moments[k - 1 :])] + ([known] if known is not None else []), default=None)
+
+        two, many = tightest(2, two), tightest(self.least, many)
+        span = many if n >= self.least else moments[-1] - moments[0] if n > 1 else None
+        if many is not None:
+            edge = timerValues.getCurrentWatermarkInMs() * 1000 - max(two, many)
+            moments = [m for m in moments if m >= edge]
+        self.moments.put([(m,) for m in moments])
+        self.found.update((n, two, many))
+        minutes = lambda x: None if x is None else x / 6e7
+        yield pd.DataFrame([(key[0], n, minutes(span), minutes(two))], columns=["cluster_id", "n", "span", "two"])
+
     def close(self) -> None:
         pass
 
@@ -127,9 +312,19 @@ def _with_rocksdb(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFram
         spark.conf.set(name, before)
 
 
-def stream_source_sets(members: DataFrame) -> DataFrame:
-    """ST7: (cluster_id, source_id) the first time that a source reports on a cluster; needs the RocksDB state store."""
-    return members.select(F.col("cluster_id").cast("long").alias("cluster_id"), F.col("source_id").cast("string").alias("source_id")).groupBy("cluster_id").transformWithStateInPandas(SourceSets(), StructType.fromDDL("cluster_id long, source_id string"), "Append", "None")
+def stream_source_sets(members: DataFrame, keep: str = "30 days", late: str = "1 hour") -> DataFrame:
+    """ST7: (cluster_id, source_id) the first time that a source reports on a cluster.  `keep` after its last report, by the
+    time of events, a cluster is forgotten, and its sources join anew.  Needs the RocksDB state store."""
+    rows = members.select(F.col("cluster_id").cast("long").alias("cluster_id"), F.col("source_id").cast("string").alias("source_id"), F.col("published_at").cast("timestamp").alias("published_at")).withWatermark("published_at", late)
+    return rows.groupBy("cluster_id").transformWithStateInPandas(SourceSets(int(pd.Timedelta(keep).total_seconds() * 1000)), StructType.fromDDL("cluster_id long, source_id string"), "Append", "EventTime")
+
+
+def stream_tight_spans(members: DataFrame, min_sources: int = vocab.BREAKING_SOURCES, late: str = "1 hour") -> DataFrame:
+    """ST4: (cluster_id, n, span, two) whenever a cluster has new reports: the exact spans of tight_spans, in minutes, over
+    its n dated reports so far, so of the rows of a cluster the one with the largest n counts.  Needs the RocksDB state
+    store."""
+    rows = members.filter(F.col("published_at").isNotNull()).select(F.col("cluster_id").cast("long").alias("cluster_id"), F.col("published_at").cast("timestamp").alias("published_at")).withWatermark("published_at", late)
+    return rows.groupBy("cluster_id").transformWithStateInPandas(TightSpans(min_sources), StructType.fromDDL("cluster_id long, n long, span double, two double"), "Append", "EventTime")
 
 
 def stream_alerts(alerts: DataFrame, memory: str = "30 days") -> DataFrame:
