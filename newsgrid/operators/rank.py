@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgrid import vocab
+from newsgrid.operators.state import reusable_briefs
 
 SMALL_TABLE_ROWS = 200_000
 
@@ -176,3 +177,24 @@ def score_clusters(members: DataFrame, sources: DataFrame, clusters: DataFrame,
 def order_clusters(scored: DataFrame) -> DataFrame:
     """The queue order: by score, first report and id; a range sort, no single task."""
     return scored.orderBy(F.desc("score"), "first_seen", "cluster_id")
+
+
+def fingerprint(members: DataFrame, columns: tuple[str, ...] = ("item_id", "source_id", "url", "headline", "excerpt", "published_at")) -> DataFrame:
+    """(cluster_id, fingerprint): a hash of what a cluster's members say that does not depend on their order.  Each
+    member is hashed by itself, so only hashes meet."""
+    line = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    return members.groupBy("cluster_id").agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256), 1, 32).alias("fingerprint"))
+
+
+def work_queue(scored: DataFrame, members: DataFrame, sources: DataFrame, stored: DataFrame, limit: int = 50) -> DataFrame:
+    """The best `limit` clusters that want a brief, in queue order; the limit is the feature.
+
+    Of scored clusters those of high or medium confidence with a member that may be used as text, which are new or updated,
+    or have no stored brief that is complete and fits what the members say now.  stored: cluster_id, status and the
+    brief_headline, brief_body, brief_fingerprint and fingerprint of the clusters; one that is not there is new.
+    """
+    usable = attach_source(members, sources).filter(F.col("source_rights").isin("PUBLIC_DOMAIN", "OPEN_LICENSE", "RSS_EXCERPT_ALLOWED", "METADATA_ONLY")).select("cluster_id").distinct()
+    sure = confidence(members, sources).filter(F.col("confidence").isin("HIGH", "MEDIUM"))
+    done = reusable_briefs(stored.filter(~F.coalesce(F.col("status"), F.lit("new")).isin("new", "updated"))).select("cluster_id")
+    queue = scored.join(usable, "cluster_id", "left_semi").join(sure, "cluster_id", "left_semi").join(done, "cluster_id", "left_anti")
+    return order_clusters(queue).limit(limit)

@@ -217,10 +217,15 @@ def _case(field, default):
 WANTED = "CASE k " + " ".join(f"WHEN {i} THEN ['{r}']" for i, (_, _, r) in enumerate(FAULTS) if r) + " ELSE [] END"
 
 
-@query("validate_briefs", f"SELECT o_orderkey AS event_id, {WANTED} AS reasons, len({WANTED}) = 0 AS ok FROM (SELECT o_orderkey, CASE WHEN o_custkey % {len(FAULTS)} = 14 AND n < 2 THEN 0 ELSE o_custkey % {len(FAULTS)} END AS k FROM orders JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey) ON l_orderkey = o_orderkey)")
+#: The fault whose reasons are all pairs of an order's lines.
+TORN = next(i for i, (_, change, _) in enumerate(FAULTS) if "report" in change)
+
+
+@query("validate_briefs", f"""WITH n AS (SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber)) AS ns FROM lineitem GROUP BY l_orderkey), o AS (SELECT o_orderkey, o_custkey % {len(FAULTS)} AS k, list_sort(flatten(list_transform(ns, lambda a: list_transform(list_filter(ns, lambda b: b > a), lambda b: 'sources disagree: ' || (a + 10) || ' and ' || (b + 10))))) AS torn FROM orders JOIN n ON l_orderkey = o_orderkey)
+SELECT o_orderkey AS event_id, CASE WHEN k = {TORN} THEN torn ELSE {WANTED} END AS reasons, len(CASE WHEN k = {TORN} THEN torn ELSE {WANTED} END) = 0 AS ok FROM o""")
 def validate_briefs(spark, d):
-    """Q17: a brief for each order, with one fault or none, against its two first lines as sources; all fourteen checks."""
-    lines = table(spark, d, "lineitem").filter("l_linenumber <= 2")
+    """Q17: a brief for each order, with one fault or none, against all its lines as sources; all fourteen checks."""
+    lines = table(spark, d, "lineitem")
     o = table(spark, d, "orders").join(lines.select("l_orderkey").distinct(), F.expr("l_orderkey = o_orderkey"), "left_semi").selectExpr("o_orderkey AS event_id", f"cast(o_custkey % {len(FAULTS)} AS int) AS k")
     body = F.concat(F.lit(f"{BASE}."), F.element_at(F.array(*[F.lit(extra) for extra, _, _ in FAULTS]), F.col("k") + 1))
     e = o.withColumn("body", body).selectExpr("event_id", _case("headline", "'river rose over road'"), "'crews closed the bridge' AS dek", "body", "'local' AS category", _case("confidence", "0.5D"), _case("people", "array('Crews')"), _case("organizations", "cast(array() AS array<string>)"), _case("source_ids", "array('S1')"), _case("city", "cast(NULL AS string)"), f"'{BASE}; crash took place say. {' '.join(reversed(CLOSED.split()))}' AS source_text", "'' AS dated_text", "array('town c') AS places")

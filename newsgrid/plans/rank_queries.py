@@ -119,19 +119,18 @@ def provenance(spark, d):
     return members(spark, d).groupBy("cluster_id").agg(ordered.alias("p")).select("cluster_id", F.array_join(F.transform("p", lambda x: F.concat(x["source_id"].cast("string"), F.lit("@"), F.unix_seconds(x["published_at"]).cast("string"))), ",").alias("provenance"))
 
 
-@query("fingerprint", with_views("members", "SELECT cluster_id, substr(sha256(array_to_string(list(line ORDER BY line), chr(10))), 1, 32) AS fingerprint FROM (SELECT cluster_id, item_id || '|' || source_id || '|' || ts AS line FROM members) GROUP BY cluster_id"))
+@query("fingerprint", with_views("members", "SELECT cluster_id, substr(sha256(array_to_string(list(line ORDER BY line), chr(10))), 1, 32) AS fingerprint FROM (SELECT cluster_id, sha256(item_id || '|' || source_id || '|' || ts) AS line FROM members) GROUP BY cluster_id"))
 def fingerprint(spark, d):
-    """A hash of a cluster's members that does not depend on their order."""
-    line = F.concat_ws("|", F.col("item_id").cast("string"), F.col("source_id").cast("string"), F.unix_seconds("published_at").cast("string"))
-    return members(spark, d).groupBy("cluster_id").agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256), 1, 32).alias("fingerprint"))
+    return rank.fingerprint(members(spark, d).withColumn("ts", F.unix_seconds("published_at")), ("item_id", "source_id", "ts"))
 
 
 @query("work_queue", with_views("members sources clusters", f"""{KNOWN}, {SPANS}, {AGG}, {DUPS}, {SCORED}, u AS (SELECT cluster_id, count(DISTINCT source_id) AS p, count(*) AS n, max(priority) AS priority,
   bool_or(source_rights IN ('PUBLIC_DOMAIN', 'OPEN_LICENSE', 'RSS_EXCERPT_ALLOWED', 'METADATA_ONLY')) AS usable FROM known GROUP BY cluster_id)
-SELECT cluster_id, round(score, 6)::DOUBLE AS score FROM scored JOIN u USING (cluster_id) WHERE usable AND (p >= 2 OR n = 1 AND priority >= 70) ORDER BY scored.score DESC, first_seen, cluster_id LIMIT 50"""))
+SELECT cluster_id, round(score, 6)::DOUBLE AS score FROM scored JOIN u USING (cluster_id) WHERE usable AND (p >= 2 OR n = 1 AND priority >= 70) AND (cluster_id % 4 < 2 OR cluster_id % 3 <> 0 OR cluster_id % 5 = 0) ORDER BY scored.score DESC, first_seen, cluster_id LIMIT 50"""))
 def work_queue(spark, d):
-    """The best clusters of at least medium confidence with a usable member; the limit is the feature."""
-    usable = rank.attach_source(members(spark, d), sources(spark, d)).filter(F.col("source_rights").isin("PUBLIC_DOMAIN", "OPEN_LICENSE", "RSS_EXCERPT_ALLOWED", "METADATA_ONLY")).select("cluster_id").distinct()
-    sure = rank.confidence(members(spark, d), sources(spark, d)).filter(F.col("confidence").isin("HIGH", "MEDIUM"))
-    queue = scored(spark, d).join(usable, "cluster_id", "left_semi").join(sure, "cluster_id", "left_semi")
-    return rank.order_clusters(queue).limit(50).select("cluster_id", F.round("score", 6).alias("score"))
+    """A third of the briefs that unchanged clusters have still fit, but a fifth of these is incomplete."""
+    m = members(spark, d)
+    prints = rank.fingerprint(m, ("item_id", "source_id", "published_at"))
+    k = F.col("cluster_id")
+    stored = prints.select("cluster_id", F.element_at(F.array(*map(F.lit, ("new", "updated", "unchanged", "unchanged"))), (k % 4 + 1).cast("int")).alias("status"), F.lit("Headline").alias("brief_headline"), F.when(k % 5 > 0, "Body").alias("brief_body"), F.when(k % 3 == 0, F.col("fingerprint")).otherwise("old").alias("brief_fingerprint"), "fingerprint")
+    return rank.work_queue(scored(spark, d), m, sources(spark, d), stored).select("cluster_id", F.round("score", 6).alias("score"))
