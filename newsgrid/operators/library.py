@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsgrid.operators.publish import admin1_slug, slug
@@ -24,13 +26,18 @@ def search_terms(text: str, most: int = 8) -> list[str]:
 
 
 def search(index: DataFrame, stories: DataFrame, text: str, category: str = "", links: DataFrame | None = None, location: str = "", limit: int = 100) -> DataFrame:
-    """Stories with a word that starts with each term, newest first; links: story_id, location_id."""
+    """Stories with a word that starts with each term, newest first; index: story_id, term; links: story_id, location_id."""
     terms = search_terms(text)
     if not terms:
         return stories.limit(0)
     hit = F.array(*[F.when(F.col("term").startswith(t), F.lit(t)) for t in terms])
     found = index.filter(reduce(lambda a, b: a | b, [F.col("term").startswith(t) for t in terms])).select("story_id", F.explode(F.array_compact(hit)).alias("hit"))
-    full = found.groupBy("story_id").agg(F.count_distinct("hit").alias("n")).filter(F.col("n") == len(set(terms)))
+    return _chosen(found, len(set(terms)), stories, category, links, location, limit)
+
+
+def _chosen(found: DataFrame, n: int, stories: DataFrame, category: str, links: DataFrame | None, location: str, limit: int) -> DataFrame:
+    """Stories that all n terms hit; found: story_id, hit."""
+    full = found.groupBy("story_id").agg(F.count_distinct("hit").alias("n")).filter(F.col("n") == n)
     out = stories.join(full, "story_id", "left_semi")
     if category:
         out = out.filter(F.col("category") == category)
@@ -39,6 +46,54 @@ def search(index: DataFrame, stories: DataFrame, text: str, category: str = "",
     return out.orderBy(F.desc("published_s"), "story_id").limit(limit)
 
 
+#: Story numbers in a block of a posting list, and ranges of terms in a written index, about.
+POSTINGS, RANGES = 1 << 16, 64
+
+
+def write_search_index(index: DataFrame, path: str, ranges: int = RANGES) -> None:
+    """An index (story_id, term) as posting lists, the terms sorted and cut into ranges, a folder for each, and under
+    dictionary/ the first and last term of each range.
+
+    A list is cut into blocks of POSTINGS story numbers, so a term of very many stories is many rows; a block holds its first
+    number and the steps from each to the next.
+    """
+    block = F.floor(F.col("story_id") / POSTINGS)
+    lists = index.select("term", F.col("story_id").cast("long").alias("story_id")).distinct().groupBy("term", block.alias("block")).agg(F.sort_array(F.collect_list("story_id")).alias("ids"))
+    steps = F.zip_with(F.slice("ids", 2, F.size("ids")), "ids", lambda b, a: (b - a).cast("int"))
+    coded = lists.select("term", F.element_at("ids", 1).alias("first"), F.slice(steps, 1, F.size("ids") - 1).alias("steps"))
+    ordered = coded.repartitionByRange(ranges, "term").sortWithinPartitions("term", "first").withColumn("range", F.spark_partition_id())
+    ordered.write.partitionBy("range").parquet(f"{path}/postings")
+    written = index.sparkSession.read.parquet(f"{path}/postings")
+    written.groupBy("range").agg(F.min("term").alias("low"), F.max("term").alias("high")).coalesce(1).write.parquet(f"{path}/dictionary")
+
+
+def _numbers(first: pd.Series, steps: pd.Series) -> pd.Series:
+    return pd.Series([np.cumsum([a, *s]) for a, s in zip(first, steps)])
+
+
+def postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """(story_id, hit) of a written index: the stories with a word that starts with each term; only the ranges that can hold
+    such words are read."""
+    # a row for each range; what starts with t lies between t and the last string that does
+    ranges = spark.read.parquet(f"{path}/dictionary").collect()
+    wanted = [r["range"] for r in ranges if any(r["low"][: len(t)] <= t <= r["high"] or r["low"].startswith(t) for t in terms)]
+    if not wanted:
+        return spark.createDataFrame([], "story_id long, hit string")
+    rows = spark.read.schema("term string, first long, steps array<int>").parquet(*[f"{path}/postings/range={k}" for k in wanted])
+    rows = rows.filter(reduce(lambda a, b: a | b, [F.col("term").startswith(t) for t in terms]))
+    hit = F.array_compact(F.array(*[F.when(F.col("term").startswith(t), F.lit(t)) for t in terms]))
+    each = rows.select(hit.alias("hits"), F.explode(F.pandas_udf(_numbers, "array<long>")(F.col("first"), F.col("steps"))).alias("story_id"))
+    return each.select("story_id", F.explode("hits").alias("hit"))
+
+
+def search_written(path: str, stories: DataFrame, text: str, category: str = "", links: DataFrame | None = None, location: str = "", limit: int = 100) -> DataFrame:
+    """J16 over a written index; see search."""
+    terms = search_terms(text)
+    if not terms:
+        return stories.limit(0)
+    return _chosen(postings(stories.sparkSession, path, terms), len(set(terms)), stories, category, links, location, limit)
+
+
 def saved_stories(saved: DataFrame, stories: DataFrame) -> DataFrame:
     """Saved stories, the last saved first."""
     return saved.join(stories, "story_id").orderBy(F.desc("saved_s"), "story_id")

@@ -9,6 +9,7 @@ from newsgrid.operators import library as lib
 from newsgrid.operators import normalize, publish, weather
 from newsgrid.plans import publish_queries as pq
 from newsgrid.plans.registry import query
+from newsgrid.plans.sink_queries import folder
 from newsgrid.plans.views import NOW, items, sources, table, with_views
 from newsgrid.sources import feeds
 
@@ -30,6 +31,15 @@ def search(spark, d):
     return lib.search(lib.search_index(s, "text"), s, "Thin* an", "en", links, "L0").select("story_id", "published_s")
 
 
+@query("search_written", """WITH w AS (SELECT doc_id AS story_id, doc_id * 1000 % 7919 AS published_s, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents)
+SELECT story_id, published_s FROM w WHERE len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'une'))) > 0 ORDER BY published_s DESC, story_id LIMIT 100""")
+def search_written(spark, d):
+    """J16 over posting lists in ranges of terms."""
+    s, at = story_rows(spark, d), folder(spark, "search")
+    lib.write_search_index(lib.search_index(s, "text"), at)
+    return lib.search_written(at, s, "th une").select("story_id", "published_s")
+
+
 @query("saved_stories", "SELECT o_orderkey AS story_id, o_custkey AS saved_s, o_totalprice FROM orders WHERE o_orderkey % 5 = 0 ORDER BY saved_s DESC, story_id")
 def saved_stories(spark, d):
     o = table(spark, d, "orders")
