@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsgrid.checkpoint import checkpointed
 from newsgrid.operators.publish import admin1_slug, slug
 from newsgrid.operators.rank import small
 
@@ -186,7 +187,7 @@ def breaking_picks(stories: DataFrame, users: DataFrame, known: DataFrame, quota
     hour, quiet_start, quiet_end; known: user_id, story_id."""
     awake = users.filter(~in_quiet_hours(F.col("hour"), F.col("quiet_start"), F.col("quiet_end")))
     # breaking stories are few: readers of the same feed need not meet in one task
-    fit = awake.join(small(stories.filter("breaking")), "dir").filter((F.size("interests") == 0) | F.array_contains("interests", F.col("category")))
+    fit = awake.join(small(checkpointed(stories.filter("breaking").select("dir", "story_id", "category", "place"))), "dir").filter((F.size("interests") == 0) | F.array_contains("interests", F.col("category")))
     fit = fit.join(known, ["user_id", "story_id"], "left_anti")
     turn = F.row_number().over(Window.partitionBy("user_id").orderBy("place", "story_id"))
     return fit.withColumn("turn", turn).filter(F.col("turn") <= quota).filter(F.col("turn") <= quota - F.col("sent")).select("user_id", "story_id", "turn")
