@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import newsgrid.llm
-from newsgrid.llm import mixing, near_dedup, packing, quality, sharding, simhash, warc
+from newsgrid.llm import mixing, near_dedup, packing, quality, repair, sharding, simhash, suffix_dedup, variants, warc
 from tests.conftest import SMALL
 
 SOURCES = "".join(open(f).read() for f in sorted(glob.glob(f"{list(newsgrid.llm.__path__)[0]}/*.py")))
@@ -26,7 +26,7 @@ def docs(spark):
     return d.union(d.filter("doc_id % 9 = 0"))
 
 
-@pytest.mark.parametrize("stage", [simhash.dedup_stage, near_dedup.near_dedup_stage, mixing.mixing_stage, quality.quality_stage])
+@pytest.mark.parametrize("stage", [near_dedup.near_dedup_stage, mixing.mixing_stage, quality.quality_stage])
 def test_stages(docs, stage):
     wide = widened(docs)
     got = stage(wide)
@@ -37,8 +37,10 @@ def test_stages(docs, stage):
 
 
 def test_operators(spark, docs):
-    for op in (mixing.op1_mixing, packing.op4_packing, simhash.op7_simhash, sharding.op8_sharding, quality.op9_quality):
+    for op in (mixing.op1_mixing, packing.op4_packing, simhash.op7_simhash, sharding.op8_sharding, quality.op9_quality, variants.op11_variants, suffix_dedup.op12_suffix_dedup):
         assert Counter(map(str, op(widened(docs)).collect())) == Counter(map(str, op(docs).collect()))
+    turns = spark.read.parquet(f"{SMALL}/conversations.parquet")
+    assert Counter(map(str, repair.op13_repair(widened(turns)).collect())) == Counter(map(str, repair.op13_repair(turns).collect()))
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     resolved = warc.resolve(widened(pages))
     key = lambda r: (r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)
