@@ -73,3 +73,11 @@ def test_exact_spans_in_the_stream(spark):
     want = {r.cluster_id: (r.span, r.two) for r in rank.tight_spans(df, 3).collect()}
     close = lambda a, b: a == b or a is not None and b is not None and abs(a - b) < 1e-6
     assert set(got) == set(want) and all(close(*p) for k in want for p in zip(got[k], want[k]))
+
+
+def test_breaking_counts_publishers_exactly(spark):
+    at = lambda h: datetime(2024, 1, 1, h)
+    rows = [(0, 1, f"s{k % 3000}", at(1)) for k in range(4000)] + [(0, 1, None, at(1)), (0, 2, "a", at(1)), (0, 2, "b", at(1)), (0, 3, "a", at(1)), (0, 3, "a", at(1)), (1, 9, "z", datetime(2024, 1, 3))]
+    stream = jobs.land(spark.createDataFrame(rows, "batch int, cluster_id long, source_id string, published_at timestamp"), "batch")
+    out = jobs.run_to_table(jobs.stream_breaking(stream.drop("batch"), 2, "1 hour", "1 hour"))
+    assert sorted((r.cluster_id, r.n_publishers) for r in out.collect()) == [(1, 3000), (2, 2)]
