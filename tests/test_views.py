@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsgrid.operators import rank
-from newsgrid.plans import views
+from newsgrid.plans import QUERIES, views
 from tests.conftest import SMALL
 
 
@@ -23,3 +23,9 @@ def test_confidence_holds_no_set_of_publishers(spark):
     found = rank.confidence(m, s)
     assert {r.cluster_id: r.confidence for r in found.collect()} == {1: "LOW", 2: "HIGH", 3: "LOW", 4: "LOW"}
     assert "Expand" not in found._jdf.queryExecution().executedPlan().toString() and "distinct" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_category_makes_the_text_once(spark):
+    """The text of an item is put together and folded once, not again for each keyword."""
+    plan = QUERIES["classify_category"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(concat_ws(") == 1
