@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgrid import vocab
+from newsgrid.checkpoint import written
+from newsgrid.operators.rank import small
 from newsgrid.sources.documents import write_documents
 
 
@@ -43,6 +45,15 @@ def section_of(country: str, admin1: str, admin2: str, city: str, metro: str) ->
 
 def fan_out_feeds(stories: DataFrame) -> DataFrame:
     """A row per story and feed (city, metro, state, nation; world and city outside the US)."""
+    return _fanned(stories.withColumn("feeds", _feeds()))
+
+
+def _fanned(listed: DataFrame) -> DataFrame:
+    return listed.withColumn("feed", F.explode("feeds")).select(*[c for c in listed.columns if c != "feeds"], "feed.dir", "feed.tier")
+
+
+def _feeds() -> Column:
+    """The feeds of a story: structs of directory and tier."""
     country = F.lower(F.coalesce("country", F.lit("US")))
     us, base = country == "us", F.concat(F.lit("feeds/"), country, F.lit("/"), admin1_slug(F.col("admin1")), F.lit("/"))
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
@@ -57,7 +68,7 @@ def fan_out_feeds(stories: DataFrame) -> DataFrame:
         feed(us, F.concat(F.lit("feeds/"), country, F.lit("/national/")), "national"),
         feed(~us, F.lit("feeds/world/"), "world"),
     )
-    return stories.withColumn("feed", F.explode(F.array_compact(feeds))).select("*", "feed.dir", "feed.tier").drop("feed")
+    return F.array_compact(feeds)
 
 
 def cap_stories(fanned: DataFrame, caps: dict[str, int] | None = None, most: int = vocab.EDITION_MAX) -> DataFrame:
@@ -86,7 +97,8 @@ def feed_donors(fanned: DataFrame) -> DataFrame:
     A city's metro feed is that of its first story; if that names none, the metro feed of the same state that shares
     most stories with the city (ties: the feed whose directory sorts first).
     """
-    heads = feed_heads(fanned)
+    # a row for each feed, read four times
+    heads = written(feed_heads(fanned))
     country = F.lower(F.coalesce("country", F.lit("US")))
     base = F.concat(F.lit("feeds/"), country, F.lit("/"), admin1_slug(F.col("admin1")), F.lit("/"))
     there = heads.select(F.col("dir").alias("donor"))
@@ -99,6 +111,9 @@ def feed_donors(fanned: DataFrame) -> DataFrame:
     ))
     named = heads.select("dir", F.explode(wide).alias("w")).select("dir", "w.step", "w.donor").join(there, "donor", "left_semi")
     lost = heads.filter((F.col("tier") == "city") & (country == "us")).join(named.filter("step = 1").select("dir"), "dir", "left_anti").select("dir")
+    if lost.isEmpty():
+        # no feed asks for the stories that it shares with others
+        return named.select("dir", "step", "donor")
     mine = fanned.filter("tier = 'city'").select("dir", "story_id", "admin1").join(lost, "dir", "left_semi").distinct()
     metros = fanned.filter("tier = 'metro'").select(F.col("dir").alias("donor"), "story_id", "admin1").distinct()
     shared = mine.join(metros, ["story_id", "admin1"]).groupBy("dir", "donor").agg(F.count(F.lit(1)).alias("n"))
@@ -117,13 +132,16 @@ def backfill(capped: DataFrame, donors: DataFrame, most: int = vocab.EDITION_MAX
 
 def build_feeds(stories: DataFrame, caps: dict[str, int] | None = None, most: int = vocab.EDITION_MAX) -> DataFrame:
     """Fan out, cap, fill up."""
-    fanned = fan_out_feeds(stories)
-    return backfill(cap_stories(fanned, caps, most), feed_donors(fanned), most)
+    # directories are made of places by patterns, once, in tasks of even size, and read four times
+    fanned = _fanned(written(stories.repartition("story_id").withColumn("feeds", _feeds())))
+    # at most `most` rows for each feed, read for the feed itself and for those that it fills, and once more by most users
+    capped = written(cap_stories(fanned, caps, most).select("dir", "story_id", "place"))
+    return written(backfill(capped, feed_donors(fanned), most))
 
 
 def feed_index(feeds: DataFrame, stories: DataFrame) -> DataFrame:
     """Stories and last update of each feed."""
-    return feeds.join(stories.select("story_id", "published_s"), "story_id").groupBy("dir").agg(F.count(F.lit(1)).alias("n_stories"), F.max("published_s").alias("updated_s"))
+    return stories.select("story_id", "published_s").join(small(feeds), "story_id").groupBy("dir").agg(F.count(F.lit(1)).alias("n_stories"), F.max("published_s").alias("updated_s"))
 
 
 def slot_of_hour(hour: Column) -> Column:
@@ -148,7 +166,7 @@ def feed_timezone(feeds: DataFrame, cities: DataFrame, metros: DataFrame, admins
 
 def edition_rows(feeds: DataFrame, stories: DataFrame, slot: Column) -> DataFrame:
     """A row per feed, kind (latest, the slot's, breaking) and story; breaking editions hold breaking stories only."""
-    known = feeds.join(stories.select("story_id", "section", "breaking"), "story_id")
+    known = stories.select("story_id", "section", "breaking").join(small(feeds), "story_id")
     kinds = F.array_compact(F.array(F.lit("latest"), slot, F.when(F.col("breaking"), F.lit("breaking"))))
     return known.withColumn("kind", F.explode(kinds)).select("dir", "kind", "story_id", "section", "place")
 
@@ -167,6 +185,7 @@ def edition_index(docs: DataFrame) -> DataFrame:
 def write_editions(docs: DataFrame, path: str) -> None:
     """IO16: a JSON document for each edition at the path that the index has for it, below editions/, and when all are there,
     the index as JSON lines under index/."""
+    docs = written(docs)
     body = F.to_json(F.struct("dir", "kind", "story_ids", "sections", "story_count"))
     write_documents(docs.select(F.concat("dir", "kind", F.lit(".json")).alias("path"), F.lit(0).alias("line"), body.alias("value")), f"{path}/editions")
     edition_index(docs).write.mode("overwrite").json(f"{path}/index")
