@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from newsgrid import vocab
 from newsgrid.checkpoint import checkpointed, ensure_checkpoint_dir
@@ -230,42 +230,43 @@ def stream_state(clusters: DataFrame, root: str, now_s: int | Callable[[int], in
 
 
 class SourceSets(StatefulProcessor):
-    """Remembers the sources of a cluster and tells of new ones; forgets a cluster some time after its last report."""
+    """Remembers the sources of a cluster and tells of new ones; forgets a cluster some time after its last report.  The sources
+    and the moment of that report are one value, read and written once for a cluster and batch: a call for each source costs
+    a trip to the state store and back."""
 
     def __init__(self, keep_ms: int) -> None:
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", StructType([StructField("source", StringType())]), StructType([StructField("n", IntegerType())]))
-        self.last = handle.getValueState("last", StructType([StructField("ms", LongType())]))
+        self.held = handle.getValueState("held", StructType([StructField("ms", LongType()), StructField("sources", ArrayType(StringType()))]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, known = [], self.last.get()[0] if self.last.exists() else None
+        held = self.held.get()
+        known, sources = (held[0], list(held[1])) if held is not None else (None, [])
         if known is not None and timerValues.getCurrentWatermarkInMs() > known + self.keep_ms:
             # new reports come before the timers of a batch
             self.handle.deleteTimer(known + self.keep_ms)
-            self.seen.clear()
-            known = None
-        last = known
+            known, sources = None, []
+        last, seen, out = known, set(sources), []
         for part in rows:
-            for source, at in zip(part["source_id"].astype(str), part["published_at"]):
-                ms = int(at.timestamp() * 1000)
-                last = ms if last is None else max(last, ms)
-                if not self.seen.containsKey((source,)):
-                    self.seen.updateValue((source,), (1,))
+            ms = int(part["published_at"].max().timestamp() * 1000)
+            last = ms if last is None else max(last, ms)
+            for source in part["source_id"].astype(str).unique():
+                if source not in seen:
+                    seen.add(source)
                     out.append((key[0], source))
+        if last != known or out:
+            self.held.update((last, sources + [source for _, source in out]))
         if last != known:
             if known is not None:
                 self.handle.deleteTimer(known + self.keep_ms)
-            self.last.update((last,))
             self.handle.registerTimer(last + self.keep_ms)
         if out:
             yield pd.DataFrame(out, columns=["cluster_id", "source_id"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
-        self.last.clear()
+        self.held.clear()
         yield from ()
 
     def close(self) -> None:
